@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracewise.llm import exact_dedup
+from tracewise.llm import bpe, exact_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_bpe": bpe.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
