@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tracewise.llm import bpe, exact_dedup
+from tracewise.llm import bpe, exact_dedup, mixing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_bpe": bpe.query,
+    "op3_mixing": mixing.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op3_mixing": mixing.ORACLE,
 }
