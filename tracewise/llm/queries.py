@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tracewise.llm import bpe, exact_dedup, mixing
+from tracewise.llm import bpe, exact_dedup, line_dedup, mixing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_bpe": bpe.query,
     "op3_mixing": mixing.query,
+    "op4_line_dedup": line_dedup.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
 }
