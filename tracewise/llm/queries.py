@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tracewise.llm import bpe, exact_dedup, line_dedup, mixing
+from tracewise.llm import bpe, chat, exact_dedup, line_dedup, mixing, secret_ledger
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_bpe": bpe.query,
     "op3_mixing": mixing.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_secrets": secret_ledger.query,
+    "op7_chat": chat.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_secrets": secret_ledger.ORACLE,
+    "op7_chat": chat.ORACLE,
 }
