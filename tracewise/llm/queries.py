@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewise.llm import bpe, chat, exact_dedup, line_dedup, mixing, secret_ledger
+from tracewise.llm import bpe, chat, exact_dedup, line_dedup, mixing, secret_ledger, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op5_secrets": secret_ledger.query,
     "op7_chat": chat.query,
+    "op9_topk": topk.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -18,4 +19,5 @@ ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op5_secrets": secret_ledger.ORACLE,
     "op7_chat": chat.ORACLE,
+    "op9_topk": topk.ORACLE,
 }
