@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewise.llm import bpe, chat, exact_dedup, line_dedup, mixing, secret_ledger, topk
+from tracewise.llm import bpe, chat, exact_dedup, langid, line_dedup, mixing, secret_ledger, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secrets": secret_ledger.query,
     "op7_chat": chat.query,
     "op9_topk": topk.query,
+    "op10_language_id": langid.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
