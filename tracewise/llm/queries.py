@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewise.llm import bpe, chat, exact_dedup, langid, line_dedup, mixing, secret_ledger, topk
+from tracewise.llm import bpe, chat, exact_dedup, langid, line_dedup, mixing, secret_ledger, simhash, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op5_secrets": secret_ledger.query,
     "op7_chat": chat.query,
+    "op8_simhash": simhash.query,
     "op9_topk": topk.query,
     "op10_language_id": langid.query,
 }
