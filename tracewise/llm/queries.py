@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewise.llm import bpe, chat, exact_dedup, langid, line_dedup, mixing, secret_ledger, simhash, topk
+from tracewise.llm import bpe, chat, exact_dedup, langid, line_dedup, mixing, pii, secret_ledger, simhash, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.query,
     "op4_line_dedup": line_dedup.query,
     "op5_secrets": secret_ledger.query,
+    "op6_pii": pii.query,
     "op7_chat": chat.query,
     "op8_simhash": simhash.query,
     "op9_topk": topk.query,
