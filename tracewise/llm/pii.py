@@ -129,7 +129,9 @@ def _added(text: str, base: list[tuple[str, int, int]], found: list[tuple[str, i
     for kind, a, b in free:
         own = text[a:b]
         a, b = a + len(own) - len(own.lstrip()), b - len(own) + len(own.rstrip())
-        if b > a and fits(kind, text[a:b]):
+        # A part of a longer number or word is nothing of its own.
+        alone = not text[max(0, a - 1) : a].isalnum() and not text[b : b + 1].isalnum()
+        if b > a and alone and fits(kind, text[a:b]):
             good.append((kind, a, b))
     return good
 
