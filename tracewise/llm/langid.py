@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tracewise.llm.common import cut, table
 
 UND = "und"
-#: Labelled documents per language that teach: those whose id hashes lowest. A bound on training, not on scoring.
+#: Labelled documents per language that teach, about: those whose id hashes lowest. A bound on training, not on scoring.
 TEACHERS = 1000
 ROUNDS, SMOOTHING, UNKNOWN = 2, 0.05, 1e-7
 LONGEST = 40
@@ -192,14 +192,13 @@ def fit(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id",
     pieces = vocabulary(vocab_path or public_tokenizers.path("piece_bpe_32k.model"))
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # The n-th lowest hash of each language bounds its teachers; only hashes are gathered for it.
-    h = F.xxhash64("id")
-    marks = rows.select("lang", h.alias("h")).selectExpr("*", "row_number() over (partition by lang order by h) as turn")
-    limits = marks.where(F.col("turn") <= teachers).groupBy("lang").agg(F.max("h").alias("limit")).collect()
-    if not limits:
+    # Hashes are spread evenly, so a share of their range holds about so many rows of each language.
+    sizes = rows.groupBy("lang").count().collect()
+    if not sizes:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
+    h, limits = F.xxhash64("id"), [(r["lang"], int(-(2**63) + 2**64 * min(1.0, teachers / r["count"])) - 1) for r in sizes]
     # One number per language; with it the scan itself picks the teachers.
-    limit = F.create_map(*[F.lit(x) for r in limits for x in (r["lang"], r["limit"])])
+    limit = F.create_map(*[F.lit(x) for pair in limits for x in pair])
     chosen = rows.where(h <= limit[F.col("lang")]).select("lang", "text")
     counts = cut(chosen.mapInArrow(_counting, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
