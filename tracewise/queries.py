@@ -26,14 +26,13 @@ EARLY, OVERRIDES = (5.1, 6.1), {"passive_axons": (5.0, 6.5), "NO_DREADDs": (4.0,
 LOOSE, FEW = {"sd": 0.5, "min_samples": 4}, {"sd": 1.0, "min_samples": 2}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under a name, by default its function's, with its SQL."""
 
     def put(make: Query) -> Query:
-        name = make.__name__
-        QUERIES[name] = make
+        QUERIES[name or make.__name__] = make
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name or make.__name__] = sql
         return make
 
     return put
@@ -57,7 +56,7 @@ ALL = ("peak", "ev_onset", "peak_time", "ev_offset", "ev_duration", "integral")
 # Windows and counts --------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {EVENTS_SQL} SELECT row_ord, protocol, k0, k1, round(ev_onset, 6) AS ev_onset FROM ev WHERE ev_onset > 5.1 AND ev_onset < 6.1")
+@query(f"WITH {EVENTS_SQL} SELECT row_ord, protocol, k0, k1, round(ev_onset, 6) AS ev_onset FROM ev WHERE ev_onset > 5.1 AND ev_onset < 6.1", "events_in_window")
 def window_events(spark, sf):
     return rounded(events_in_window(_events(spark, sf), EARLY).select("row_ord", "protocol", "k0", "k1", "ev_onset"))
 
