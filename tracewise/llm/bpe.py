@@ -5,7 +5,7 @@ binary search over the sorted pair keys, takes the lowest rank of each word, and
 it; words without a known pair are done. Encoded words are kept, up to a bound, for later batches of the task.
 
 Defined cases: null text counts as empty; empty text has no tokens. The special token's string in a text becomes the
-special token, as in the tokenizers library. Other columns pass through; rows are independent, so repeated rows, null
+special token, as in the tokenizers library. Other columns pass through, but for ones named as an output, which gives way; rows are independent, so repeated rows, null
 ids and empty tables need no care. Texts are encoded whole, whatever their length; what is held at once is one text or
 ``SLICE_CHARS`` characters of several, and their words.
 """
@@ -255,19 +255,19 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", out_col: st
 
     The vocabulary's tables, of fixed size, are read on the driver and broadcast.
     """
-    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab_path))
+    vocab, docs = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab_path)), docs.drop(out_col)
     return docs.mapInArrow(_encoding(vocab, text_col, out_col), _plus(docs, T.StructField(out_col, T.BinaryType())))
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` plus the text of each row's packed ids; null ids give empty text."""
-    vocab = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab_path))
+    vocab, encoded = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab_path)), encoded.drop(out_col)
     return encoded.mapInArrow(_decoding(vocab, ids_col, out_col), _plus(encoded, T.StructField(out_col, T.StringType())))
 
 
 def round_trip(docs: DataFrame, vocab_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``ids`` and ``decoded``, encoded and decoded in one worker."""
-    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab_path))
+    vocab, docs = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab_path)), docs.drop("ids", "decoded")
     encoding, decoding = _encoding(vocab, text_col, "ids"), _decoding(vocab, "ids", "decoded")
     fields = T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())
     return docs.mapInArrow(lambda batches: decoding(encoding(batches)), _plus(docs, *fields))

@@ -7,7 +7,7 @@ with a mark at the front; tasks keep the scores of words they have seen, up to a
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned;
 ties go to the first language by name; characters outside the vocabulary count alike for all languages, and words are cut
-at ``LONGEST`` letters. Rows with a null language don't teach; repeated rows count each; other columns pass through. A null
+at ``LONGEST`` letters. Rows with a null language don't teach; repeated rows count each; other columns pass through, but for ones named as an output, which give way. A null
 id counts as empty text in the choice of rows. Whole texts are scored.
 """
 
@@ -237,6 +237,8 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Each text's language and the language's probability."""
+        if not self.model.languages:
+            return [UND] * len(texts), np.zeros(len(texts))
         if len(self.numbers) > KEPT_WORDS:
             self._clear()
         split = [_WORDS(t.lower()) if t else [] for t in texts]
@@ -256,12 +258,10 @@ class Scorer:
         total = np.zeros((len(texts), len(self.model.languages)))
         lettered = np.zeros(len(texts), bool)
         some = np.flatnonzero(counts)
-        if len(some) and total.size:
+        if len(some):
             first = (ends - counts)[some]
             total[some] = np.add.reduceat(self.scores[numbers], first, axis=0)
             lettered[some] = np.logical_or.reduceat(self.letters[numbers], first)
-        if not total.size:
-            return [UND] * len(texts), np.zeros(len(texts))
         best = total.argmax(1)
         share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         names = [self.model.languages[b] if ok else UND for b, ok in zip(best, lettered, strict=True)]
@@ -297,7 +297,7 @@ def _predicting(model, text_col: str):
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` plus each text's language and score. The model's size is that of the vocabulary; it is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, docs = docs.sparkSession.sparkContext.broadcast(model), docs.drop(lang_out, score_out)
     fields = [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]
     found = docs.mapInArrow(_predicting(shared, text_col), T.StructType([*docs.schema.fields, *fields]))
     return found.withColumnsRenamed({"__lang": lang_out, "__score": score_out})

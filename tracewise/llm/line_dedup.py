@@ -8,7 +8,8 @@ repeats, are looked up in the table. Deletion takes keys that no document holds
 
 Defined cases: null or empty text is one empty line; keys under ``MIN_CHARS`` code points are never dropped; rows with
 the same id are one document (null ids too), whose id sorts last if null; a line repeated in the first document that
-holds it stays every time; texts that lose all lines become empty. Other columns play no part.
+holds it stays every time; texts that lose all lines become empty. Other columns pass
+through, but for ones named as an output, which give way. An empty table adds nothing.
 """
 
 from __future__ import annotations
@@ -172,8 +173,15 @@ def _meet(new: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     seen = held.contains(keys)
     held.add(keys[~seen])
     shard = int((new if len(new) else state)["shard"].iloc[0])
-    out = pd.DataFrame({"shard": shard, "k1": keys[seen, 0], "k2": keys[seen, 1]}).astype({"k1": "Int64", "k2": "Int64"})
-    return pd.concat([out.assign(content=None), pd.DataFrame({"shard": [shard], "k1": [pd.NA], "k2": [pd.NA], "content": [held.dump()]})])
+    n = int(seen.sum())
+    return pd.DataFrame(
+        {
+            "shard": np.full(n + 1, shard),
+            "k1": pd.array([*keys[seen, 0].tolist(), None], "Int64"),
+            "k2": pd.array([*keys[seen, 1].tolist(), None], "Int64"),
+            "content": [None] * n + [held.dump()],
+        }
+    )
 
 
 def _leave(gone: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -247,11 +255,12 @@ class LineIndex:
         ``repeated`` is what ``insert`` returned for these documents; by default all keys are looked up.
         """
         repeated = self.counts().where("n_docs > 1") if repeated is None else repeated
+        docs = docs.drop("n_lines", "n_dropped", "kept")
         held = references(docs, id_col, text_col)
         later = held.join(repeated, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
-        dropped = later.groupBy("id").agg(F.collect_set(F.struct("k1", "k2")).alias("dropped_keys"))
-        dropped = dropped.withColumnRenamed("id", "dropped_id")
-        joined = docs.join(dropped, docs[id_col].eqNullSafe(F.col("dropped_id")), "left").drop("dropped_id")
+        dropped = later.groupBy("id").agg(F.collect_set(F.struct("k1", "k2")).alias("__dropped_keys"))
+        dropped = dropped.withColumnRenamed("id", "__dropped_id")
+        joined = docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped_id")), "left").drop("__dropped_id")
         fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())]
         return joined.mapInArrow(_applying(text_col), T.StructType([*docs.schema.fields, *fields]))
 

@@ -7,7 +7,8 @@ globally: each character takes the tag of the window in which it lies deepest, a
 tagged span is added if it meets the kind's own rule and no base span overlaps it; base spans always stay.
 
 Defined cases: null text counts as empty and has no spans. Positions are in code points, ends exclusive. Rows are
-independent, so repeated rows, null ids, ties and empty tables need no care; other columns pass through. Texts are read
+independent, so repeated rows, null ids, ties and empty tables need no care; other columns pass through,
+but for one named as the output, which gives way. Texts are read
 whole; a task holds the windows of ``SLICE_WINDOWS`` at a time.
 """
 
@@ -170,7 +171,7 @@ def find(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> Dat
 
     The tagger is trained on the driver from a bounded set of labelled texts, and broadcast: a few thousand numbers.
     """
-    weights = docs.sparkSession.sparkContext.broadcast(tagger.train())
+    weights, docs = docs.sparkSession.sparkContext.broadcast(tagger.train()), docs.drop(out_col)
     found = docs.mapInArrow(_finding(weights, text_col), T.StructType([*docs.schema.fields, T.StructField("__spans", SPANS)]))
     return found.withColumnRenamed("__spans", out_col)
 
