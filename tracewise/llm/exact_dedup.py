@@ -48,11 +48,9 @@ def repeated_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hashed = rows.join(F.broadcast(keys), ["norm_len", "prefix"], "left_semi").select("id", "norm_len", _full_hash())
     else:
         hashed = rows.select("id", "norm_len", "prefix", _full_hash()).join(keys, ["norm_len", "prefix"], "left_semi")
-    return (
-        hashed.groupBy("norm_len", "sha")
-        .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .where("group_size > 1")
-    )
+    groups = hashed.groupBy("norm_len", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written apart, so that the later join with all rows has both sides dealt anew and a hot group can be split there.
+    return cut(groups.where("group_size > 1"))
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
