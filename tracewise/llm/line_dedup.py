@@ -234,7 +234,8 @@ class LineIndex:
         met.where("content is not null").select("shard", "content").write.parquet(f"{self.folder}/filters/{self.version + 1}")
         self.version += 1
         seen = met.where("content is null").select("k1", "k2")
-        return self.counts(keys.where("n > 1").select("k1", "k2").union(seen).distinct()).where("n_docs > 1")
+        # Written apart, so that a very common line can be split where its holders meet it.
+        return cut(self.counts(keys.where("n > 1").select("k1", "k2").union(seen).distinct()).where("n_docs > 1"))
 
     def delete(self, ids: DataFrame) -> None:
         """Take out all documents whose id is in the single column of ``ids``."""
@@ -254,7 +255,7 @@ class LineIndex:
 
         ``repeated`` is what ``insert`` returned for these documents; by default all keys are looked up.
         """
-        repeated = self.counts().where("n_docs > 1") if repeated is None else repeated
+        repeated = cut(self.counts().where("n_docs > 1")) if repeated is None else repeated
         docs = docs.drop("n_lines", "n_dropped", "kept")
         held = references(docs, id_col, text_col)
         later = held.join(repeated, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
