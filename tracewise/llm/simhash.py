@@ -139,7 +139,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lowest = named.groupBy("root").agg(F.min("first_id").alias("lowest")).withColumnRenamed("root", "of")
     linked = stars.join(lowest, F.col("root") == F.col("of")).select("node", "lowest")
     by_fp = distinct.join(linked, F.col("fp") == F.col("node"), "left")
-    by_fp = by_fp.select(F.col("fp").alias("held"), F.coalesce("lowest", "first_id").alias("component_id"))
+    # Written apart, so that a hot fingerprint can be split where its documents meet it.
+    by_fp = cut(by_fp.select(F.col("fp").alias("held"), F.coalesce("lowest", "first_id").alias("component_id")))
     return rows.join(by_fp, F.col("fp") == F.col("held")).select("id", "fp", "component_id")
 
 
