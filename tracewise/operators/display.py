@@ -9,7 +9,11 @@ from pyspark.sql.window import Window as W
 
 def bin_of(x: Column, low: float, high: float, bins: int) -> Column:
     """Bin of a value; bins are half open but for the last. Null outside."""
-    at = F.floor((x - low) / ((high - low) / bins))
+    step = (high - low) / bins
+    edge = lambda i: F.lit(low) + i * F.lit(step)
+    at = F.floor((x - low) / step)
+    # A value that division puts beside the edge it stands on goes by the edge.
+    at = F.when(x < edge(at), at - 1).when(x >= edge(at + 1), at + 1).otherwise(at)
     return F.when((x >= low) & (x <= high), F.least(at, F.lit(bins - 1)).cast("int"))
 
 

@@ -53,29 +53,27 @@ def rate_denominators(trial_counts: DataFrame, alignment: str) -> DataFrame:
     return held.select("protocol", "session", "outcome", F.coalesce("n_trials", "pooled").alias("n_trials"))
 
 
-def metrics_by_unit(events: DataFrame, denominators: DataFrame, alignment: str, session: Column | None = None) -> DataFrame:
+def metrics_by_unit(events: DataFrame, denominators: DataFrame, alignment: str, session: str = "k0") -> DataFrame:
     """Means and rate of each ``protocol, outcome, k0, k1`` of windowed, prepared events of both sides.
 
-    ``session`` names the session whose trials divide the count, by default ``k0``. Of an outcome that both sides have in
-    a protocol, the reference side counts. Units without a denominator are an error.
+    ``session`` is the column with the session whose trials divide the count; it follows from the unit. Of an outcome that
+    both sides have in a protocol, the reference side counts. Units without a denominator are an error.
     """
-    grouped = events.groupBy("side", *KEY).agg(*[F.avg(m).alias(m) for m in MEANS], F.count("*").alias("n_events"))
+    grouped = events.groupBy("side", *dict.fromkeys([*KEY, session])).agg(*[F.avg(m).alias(m) for m in MEANS], F.count("*").alias("n_events"))
     grouped = grouped.where(F.col("outcome").isin(*TYPES[alignment]))
     both = grouped.groupBy("protocol", "outcome").agg(F.max(F.col("side") == "reference").alias("from_reference"))
     kept = grouped.join(both, ["protocol", "outcome"]).where(F.when(F.col("from_reference"), F.col("side") == "reference").otherwise(True))
-    named = kept.withColumn("session", F.col("k0") if session is None else session)
-    held = named.join(denominators, ["protocol", "session", "outcome"], "left")
+    held = kept.withColumn("session", F.col(session)).join(denominators, ["protocol", "session", "outcome"], "left")
     known = F.when(F.col("n_trials").isNull(), F.raise_error(F.lit("an outcome has no trial count"))).otherwise(F.col("n_trials"))
     return held.select(*KEY, *MEANS, (F.col("n_events") / known).alias("rate"))
 
 
-def fill_inactive(metrics: DataFrame, universe: DataFrame, denominators: DataFrame, session: Column | None = None) -> DataFrame:
+def fill_inactive(metrics: DataFrame, universe: DataFrame, denominators: DataFrame, session: str = "k0") -> DataFrame:
     """``metrics`` plus rate 0 for units without events, for each outcome of their protocol; null where no such trial ran."""
     outcomes = metrics.select("protocol", "outcome").distinct()
-    wanted = universe.select("protocol", "k0", "k1").distinct().join(outcomes, "protocol")
-    missing = null_safe_join(wanted, metrics.select(*KEY), KEY, "left_anti")
-    named = missing.withColumn("session", F.col("k0") if session is None else session)
-    held = named.join(denominators, ["protocol", "session", "outcome"], "left")
+    units = universe.select("protocol", "k0", "k1", F.col(session).alias("session")).distinct()
+    missing = null_safe_join(units.join(outcomes, "protocol"), metrics.select(*KEY), KEY, "left_anti")
+    held = missing.join(denominators, ["protocol", "session", "outcome"], "left")
     return metrics.unionByName(held.select(*KEY, F.when(F.col("n_trials") > 0, 0.0).alias("rate")), allowMissingColumns=True)
 
 

@@ -85,7 +85,7 @@ def zero_phase(x: np.ndarray, order: int = 3, cut: float = 0.2) -> np.ndarray:
 def lowpass(traces: DataFrame, order: int = 3, cut: float = 0.2, design: str = "sos") -> DataFrame:
     """``traces`` with ``y`` low-passed without delay.
 
-    Null and NaN are left out before, and stand at the end afterwards. Both designs are the same filter. A recursion over
+    Null and NaN are left out before; as many nulls stand at the end afterwards. Both designs are the same filter. A recursion over
     frames has no column expression, so batches of rows of one length go through numpy together.
     """
     if design not in DESIGNS:

@@ -643,7 +643,8 @@ HISTOGRAM_SQL = f"""WITH {EVENTS_SQL}, tt AS (
   SELECT protocol, count(DISTINCT k0 || '/' || trial) FILTER (WHERE side = 'target') AS n_target, count(DISTINCT k0 || '/' || trial) FILTER (WHERE side = 'reference') AS n_reference,
          count(DISTINCT k0 || '/' || k1) FILTER (WHERE side = 'target') AS n_units FROM ev GROUP BY protocol
 ), bi AS (
-  SELECT protocol, side, least(floor((ev_onset - 5.0) / ((6.5 - 5.0) / 15)), 14)::INT AS bin, count(*) AS n_events FROM ev WHERE ev_onset >= 5.0 AND ev_onset <= 6.5 GROUP BY ALL
+  SELECT protocol, side, least((SELECT max(i) FROM range(15) t(i) WHERE 5.0::DOUBLE + i * 0.1::DOUBLE <= ev_onset), 14)::INT AS bin, count(*) AS n_events
+  FROM ev WHERE ev_onset >= 5.0 AND ev_onset <= 6.5 GROUP BY ALL
 )"""
 
 
