@@ -211,7 +211,7 @@ def compare(spark, a, b, test, threshold=0.05):
     rows = [("p", side, "s", str(i), v) for side, vs in (("a", a), ("b", b)) for i, v in enumerate(vs)]
     values = spark.createDataFrame(rows, "protocol string, outcome string, k0 string, k1 string, value double")
     specs = spark.createDataFrame([("x", test, "p", "a", "p", "b", threshold)], "name string, test string, a_protocol string, a_outcome string, b_protocol string, b_outcome string, p_threshold double")
-    return stats.run_comparisons(values, specs, (test,)).first()
+    return stats.run_comparisons(stats.samples(values, specs), specs, (test,)).first()
 
 
 def test_pairs_and_missing_values(spark):

@@ -77,10 +77,13 @@ def fill_inactive(metrics: DataFrame, universe: DataFrame, denominators: DataFra
     return metrics.unionByName(held.select(*KEY, F.when(F.col("n_trials") > 0, 0.0).alias("rate")), allowMissingColumns=True)
 
 
-def modulated_only(metrics: DataFrame, modulated: DataFrame) -> DataFrame:
-    """Rows of modulated units; protocols without a modulated set stay whole."""
+def modulated_only(metrics: DataFrame, modulated: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """Rows of modulated units; protocols without a modulated set stay whole.
+
+    ``measured`` lists the protocols that have a set, even an empty one; by default those of ``modulated``.
+    """
     unit = ["protocol", "k0", "k1"]
-    listed = modulated.select("protocol").distinct().withColumn("listed", F.lit(True))
+    listed = (modulated if measured is None else measured).select("protocol").distinct().withColumn("listed", F.lit(True))
     marked = metrics.join(listed, "protocol", "left")
     chosen = null_safe_join(marked, modulated.select(*unit).distinct().withColumn("chosen", F.lit(True)), unit, "left")
     return chosen.where(F.col("listed").isNull() | F.col("chosen")).drop("listed", "chosen")

@@ -42,11 +42,15 @@ def modulated_units(indices: DataFrame, kind: str) -> DataFrame:
     return indices.join(cutoffs(indices, kind), "protocol").where("mi > cutoff").drop("cutoff")
 
 
-def modulation_proportions(modulated: DataFrame, universe: DataFrame) -> DataFrame:
-    """``protocol, n_modulated, n_total, percent``; the universe is a list in which repeated units count."""
+def modulation_proportions(modulated: DataFrame, universe: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """``protocol, n_modulated, n_total, percent``; the universe is a list in which repeated units count.
+
+    ``measured`` lists the protocols that indices were made for: those without a modulated unit have a row too.
+    """
     total = universe.groupBy("protocol").agg(F.count("*").alias("n_total"))
     chosen = modulated.groupBy("protocol").agg(F.count("*").alias("n_modulated"))
-    held = total.join(chosen, "protocol").select("protocol", "n_modulated", "n_total")
+    wanted = chosen if measured is None else measured.select("protocol").distinct().join(chosen, "protocol", "left")
+    held = total.join(wanted, "protocol").select("protocol", F.coalesce("n_modulated", F.lit(0)).alias("n_modulated"), "n_total")
     return held.withColumn("percent", percent(F.col("n_modulated"), F.col("n_total")))
 
 

@@ -97,11 +97,11 @@ def _p(kind: str):
     return run
 
 
-def statistics(values: DataFrame, comparisons: DataFrame, test: str) -> DataFrame:
-    """One row per comparison of this test: statistic, ``freedom`` or rank terms, and both groups' n, mean and SEM."""
+def statistics(rows: DataFrame, test: str) -> DataFrame:
+    """One row per comparison of this test among samples: statistic, ``freedom`` or rank terms, and both groups' n, mean and SEM."""
     if test not in TESTS:
         raise ValueError(f"test must be one of {TESTS}, got {test!r}")
-    rows = samples(values, comparisons.where(F.col("test") == test))
+    rows = rows.where(F.col("test") == test)
     na, nb, va, vb = (F.col(c) for c in ("n_a", "n_b", "var_a", "var_b"))
     if test in PAIRED:
         pairs = paired_rows(rows)
@@ -123,9 +123,9 @@ def statistics(values: DataFrame, comparisons: DataFrame, test: str) -> DataFram
     return held.withColumns({"statistic": gap / F.sqrt(ea + eb), "freedom": (ea + eb) ** 2 / (ea**2 / (na - 1) + eb**2 / (nb - 1))})
 
 
-def run_test(values: DataFrame, comparisons: DataFrame, test: str) -> DataFrame:
-    """Results of all comparisons of one test."""
-    held = statistics(values, comparisons, test)
+def run_test(rows: DataFrame, test: str) -> DataFrame:
+    """Results of all comparisons of one test among samples."""
+    held = statistics(rows, test)
     if test == "mannwhitney":
         p = _p("mannwhitney")("u", "n_a", "n_b", "tie_sum")
     elif test == "wilcoxon":
@@ -135,11 +135,11 @@ def run_test(values: DataFrame, comparisons: DataFrame, test: str) -> DataFrame:
     return held.withColumn("p_value", p).select("name", "test", "statistic", "p_value", "n_a", "n_b", "mean_a", "mean_b", "sem_a", "sem_b")
 
 
-def run_comparisons(values: DataFrame, comparisons: DataFrame, tests: tuple[str, ...] = TESTS) -> DataFrame:
-    """Results of all comparisons, with the stars and whether p is below the comparison's ``p_threshold``."""
-    out = run_test(values, comparisons, tests[0])
+def run_comparisons(rows: DataFrame, comparisons: DataFrame, tests: tuple[str, ...] = TESTS) -> DataFrame:
+    """Results of all comparisons of samples, with the stars and whether p is below the comparison's ``p_threshold``."""
+    out = run_test(rows, tests[0])
     for test in tests[1:]:
-        out = out.unionByName(run_test(values, comparisons, test))
+        out = out.unionByName(run_test(rows, test))
     gates = comparisons.select("name", "test", "p_threshold")
     marked = out.join(gates, ["name", "test"]).withColumn("passed", F.col("p_value") < F.col("p_threshold"))
     return marked.withColumn("symbol", significance_symbol(F.col("p_value"))).drop("p_threshold")

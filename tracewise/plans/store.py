@@ -100,7 +100,7 @@ class Record:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Size of a DataFrame by the optimizer's estimate; nothing runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 class Store:

@@ -296,9 +296,12 @@ def _comparisons(spark: SparkSession, test: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "name string, test string, a_protocol string, a_outcome string, b_protocol string, b_outcome string, p_threshold double")
 
 
+def _samples(spark, sf, comparisons: DataFrame) -> DataFrame:
+    return stats.samples(metrics.comparison_values(_metrics(spark, sf), "peak"), comparisons)
+
+
 def _compared(spark, sf, test: str) -> DataFrame:
-    values = metrics.comparison_values(_metrics(spark, sf), "peak")
-    return rounded(stats.run_test(values, _comparisons(spark, test), test).drop("test"))
+    return rounded(stats.run_test(_samples(spark, sf, _comparisons(spark, test)), test).drop("test"))
 
 
 @query(f"""WITH {VALUES_SQL}, s AS (SELECT name, {SIDE_SQL} FROM sa GROUP BY name),
@@ -313,8 +316,7 @@ def compare_student_t(spark, sf):
 SELECT name, round((mean_a - mean_b) / sqrt(va / n_a + vb / n_b), 6) AS statistic,
   round((va / n_a + vb / n_b) ** 2 / ((va / n_a) ** 2 / (n_a - 1) + (vb / n_b) ** 2 / (n_b - 1)), 6) AS freedom, {OUT_SQL} FROM s""")
 def compare_welch_t(spark, sf):
-    values = metrics.comparison_values(_metrics(spark, sf), "peak")
-    held = stats.statistics(values, _comparisons(spark, "welch_t"), "welch_t")
+    held = stats.statistics(_samples(spark, sf, _comparisons(spark, "welch_t")), "welch_t")
     return rounded(held.select("name", "statistic", "freedom", "n_a", "n_b", "mean_a", "mean_b", "sem_a", "sem_b"))
 
 
@@ -352,8 +354,8 @@ def compare_wilcoxon(spark, sf):
 
 @query()
 def run_comparisons_gate(spark, sf):
-    values = metrics.comparison_values(_metrics(spark, sf), "peak")
-    return rounded(stats.run_comparisons(values, _comparisons(spark)))
+    comparisons = _comparisons(spark)
+    return rounded(stats.run_comparisons(_samples(spark, sf, comparisons), comparisons))
 
 
 SYMBOL_SQL = "CASE WHEN p < 0.0001 THEN '****' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE"
