@@ -280,3 +280,31 @@ def test_groups_found_again_replace_files(spark, converted, tmp_path):
     assert len(rows) == len(all_), "a group without a file stays out"
     with pytest.raises(ValueError):
         cohort.pooled(config(event_source="regenerated", regenerated_groups=["unknown"]), inputs)
+
+
+def test_command_line(spark, converted, tmp_path, capsys):
+    from tracewise import __main__ as cli
+
+    write_event_files(tmp_path)
+    assert cli.main(["validate", "--source", str(tmp_path), "--converted", converted]) == 0
+    assert "task_axons/target" in capsys.readouterr().out
+    assert cli.main(["validate", "--source", str(tmp_path), "--converted", converted, "--floor", "1.0"]) == 1
+    path = tmp_path / "c.yaml"
+    path.write_text(yaml.safe_dump(CONFIG | {"comparisons": []}))
+    assert cli.main(["onset", "--config", str(path), "--source", str(tmp_path), "--converted", converted, "--out", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out/x/totals")).count() >= 4
+    with pytest.raises(SystemExit):
+        cli.main(["latency", "--manifest", "v10", "--state", "v10", "--source", str(tmp_path), "--converted", converted, "--out", str(tmp_path)])
+
+
+def test_session_stages(spark):
+    from tracewise.plans.stages import session_pipeline
+
+    y = [100 + 2 * (i % 11 - 5) / 5 for i in range(216)]
+    y[150:180] = [300.0] * 30
+    rows = spark.createDataFrame([("s", "r", i, y, i) for i in range(3)], "session string, roi string, trial int, y array<double>, row_ord long")
+    config = session.SessionConfig("a", "b", "c", fps=30.0, baseline_window_s=(2.0, 3.0))
+    made = session_pipeline(config)
+    assert len(made) == 3 and list(made.results(rows)) == ["filter", "dff", "events"]
+    found = [r for r in made(rows).collect() if r.peak > 1]
+    assert len(found) == 3 and all(abs(r.ev_onset - 5.0) < 0.3 and 1.5 < r.peak < 2.6 for r in found)
