@@ -48,13 +48,17 @@ def simpson(y: str | Column) -> Column:
 def segments(y: str | Column, lower: Column) -> Column:
     """Maximal stretches of values above ``lower`` and of others, as an array of ``start, size, above``.
 
-    Null and NaN are not above.
+    Null and NaN are not above. Whole arrays are only arguments here, never inside a lambda, where they would be made
+    again for every element.
     """
     y = F.col(y) if isinstance(y, str) else y
     high = F.transform(y, lambda v: F.coalesce((v > lower) & ~F.isnan(v), F.lit(False)))
-    fronts = F.filter(F.sequence(F.lit(0), F.size(y) - 1), lambda i: (i == 0) | (F.get(high, i) != F.get(high, i - 1)))
-    ends = F.concat(F.slice(fronts, 2, F.greatest(F.size(fronts) - 1, F.lit(0))), F.array(F.size(y)))
-    found = F.zip_with(fronts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("size"), F.get(high, a).alias("above")))
+    before = F.concat(F.array(F.lit(None).cast("boolean")), high)
+    edges = F.zip_with(high, before, lambda h, b: F.struct(h.alias("above"), (~h.eqNullSafe(b)).alias("edge")))
+    placed = F.transform(edges, lambda e, i: F.struct(i.alias("start"), e["above"].alias("above"), (e["edge"] & e["above"].isNotNull()).alias("edge")))
+    fronts = F.filter(placed, lambda p: p["edge"])
+    ends = F.concat(F.transform(F.slice(fronts, 2, F.greatest(F.size(fronts) - 1, F.lit(0))), lambda p: p["start"]), F.array(F.size(y)))
+    found = F.zip_with(fronts, ends, lambda p, e: F.struct(p["start"].alias("start"), (e - p["start"]).alias("size"), p["above"].alias("above")))
     return F.when(F.size(y) > 0, found).otherwise(F.array().cast("array<struct<start:int,size:int,above:boolean>>"))
 
 
