@@ -194,3 +194,17 @@ def test_empty_frames_are_dropped_for_the_unit(spark):
     rows = one(spark, [1.0, nan, 2.0, nan], [3.0, nan, nan, nan])
     got = {r.trial: r.y for r in D.without_empty_frames(rows).collect()}
     assert got["0"] == [1.0, 2.0] and got["1"][0] == 3.0 and len(got["1"]) == 2
+
+
+def test_a_stream_of_trials_gives_the_same_events(spark, tmp_path):
+    from tracewise.streaming.detect import detect_stream
+
+    rows = one(spark, boxcar(), boxcar(at=70, size=7), boxcar(height=0.0))
+    limits = D.thresholds(rows, 10.0, (1.0, 2.0), 2.0)
+    want = D.trial_events(rows.join(limits, D.UNIT), 10.0).collect()
+    for i in range(3):
+        rows.where(F.col("row_ord") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = detect_stream(stream, limits, 10.0).writeStream.outputMode("append").format("memory").queryName("events_found").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("events_found").collect())) == sorted(map(tuple, want)) and len(want) == 2

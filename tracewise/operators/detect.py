@@ -102,6 +102,15 @@ def stacked_events(
     return out if window is None else out.where(inside("ev_onset", window))
 
 
+def trial_events(
+    traces: DataFrame, fps: float, min_samples: int = 6, label_base: int = 0, window: tuple[float, float] | None = None, unit: list[str] | None = None
+) -> DataFrame:
+    """Events of traces with a ``threshold``, each trial on its own: a projection, which needs no other rows."""
+    found = detect_segments(traces, F.col("threshold"), F.col("threshold"), min_samples)
+    out = found.select(*(unit or UNIT), "trial", "outcome", "row_ord", *_metrics(F.col("start"), F.col("values"), label_base, fps))
+    return out if window is None else out.where(inside("ev_onset", window))
+
+
 def stack_of(mode: str) -> Column:
     """What a trial is stacked by."""
     kinds = {"per_trial": F.col("row_ord").cast("string"), "per_branch": branch(), "flattened": F.lit("all")}
@@ -131,9 +140,7 @@ def detect(
     held = kept.join(thresholds(kept, fps, baseline, sd, unit), unit)
     if mode != "per_trial":
         return stacked_events(held, stack_of(mode), fps, min_samples, label_base, window, unit)
-    found = detect_segments(held, F.col("threshold"), F.col("threshold"), min_samples)
-    out = found.select(*unit, "trial", "outcome", "row_ord", *_metrics(F.col("start"), F.col("values"), label_base, fps))
-    return out if window is None else out.where(inside("ev_onset", window))
+    return trial_events(held, fps, min_samples, label_base, window, unit)
 
 
 def without_empty_frames(traces: DataFrame, unit: list[str] | None = None) -> DataFrame:
