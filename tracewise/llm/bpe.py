@@ -7,13 +7,13 @@ it; words without a known pair are done. Encoded words are kept, up to a bound,
 Defined cases: null text counts as empty; empty text has no tokens. The special token's string in a text becomes the
 special token, as in the tokenizers library. Other columns pass through, but for ones named as an output, which gives way; rows are independent, so repeated rows, null
 ids and empty tables need no care. Texts are encoded whole, whatever their length; what is held at once is one text or
-``SLICE_CHARS`` characters of several, and their words.
+``SLICE_BYTES`` of several, and their words.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewise.llm.batches import slices
 from tracewise.llm.common import table
 
-#: Characters of text that are encoded together.
-SLICE_CHARS = 1_000_000
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 1_000_000
 #: Distinct words kept by a task before it starts its store afresh.
 KEPT_WORDS = 300_000
 NO_RANK = np.int64(1) << 40
@@ -203,20 +204,6 @@ def decode_ids(ids: np.ndarray, counts: np.ndarray, vocab: Vocabulary) -> list[s
     return [content[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of batches that hold one text or up to ``SLICE_CHARS`` characters, with their texts."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column(text_col).to_pylist()]
-        first = held = 0
-        for i, text in enumerate(texts):
-            if i > first and held + len(text) > SLICE_CHARS:
-                yield batch.slice(first, i - first), texts[first:i]
-                first, held = i, 0
-            held += len(text)
-        if texts:
-            yield batch.slice(first), texts[first:]
-
-
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
@@ -229,8 +216,8 @@ def _packed(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
 def _encoding(vocab, text_col: str, out_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab.value)
-        for batch, texts in slices(batches, text_col):
-            yield _with(batch, out_col, _packed(*encoder.encode(texts)))
+        for batch, texts in slices(batches, text_col, SLICE_BYTES):
+            yield _with(batch, out_col, _packed(*encoder.encode([t or "" for t in texts])))
 
     return run
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewise.llm.batches import slices
 from tracewise.llm.common import cut, table
 
 UND = "und"
@@ -34,8 +35,8 @@ UND = "und"
 TEACHERS = 1000
 ROUNDS, SMOOTHING, UNKNOWN = 2, 0.05, 1e-7
 LONGEST = 40
-#: Words that a task keeps, and characters of text that it handles at once.
-KEPT_WORDS, SLICE_CHARS = 400_000, 2_000_000
+#: Words that a task keeps, and bytes of text that it handles at once.
+KEPT_WORDS, SLICE_BYTES = 400_000, 1_000_000
 MARK = "▁"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -200,7 +201,7 @@ def fit(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id",
     # One number per language; with it the scan itself picks the teachers.
     limit = F.create_map(*[F.lit(x) for pair in limits for x in pair])
     chosen = rows.where(h <= limit[F.col("lang")]).select("lang", "text")
-    counts = cut(chosen.mapInArrow(_counting, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counts = cut(chosen.mapInArrow(_counting, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), few=True)
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     probabilities = None
     for _ in range(ROUNDS + 1):
@@ -278,18 +279,8 @@ def _predicting(model, text_col: str):
         if key not in _HELD:
             _HELD.clear()
             _HELD[key] = Scorer(model.value)
-        for batch in batches:
-            texts, names, shares = batch.column(text_col).to_pylist(), [], []
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end] or "") <= SLICE_CHARS):
-                    chars += len(texts[end] or "")
-                    end += 1
-                some, share = _HELD[key].texts(texts[at:end])
-                names += some
-                shares += share.tolist()
-                at = end
+        for batch, texts in slices(batches, text_col, SLICE_BYTES):
+            names, shares = _HELD[key].texts(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[*batch.schema.names, "__lang", "__score"])
 
     return run
