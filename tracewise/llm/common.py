@@ -27,13 +27,14 @@ def one_spaced(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), SPACE_RUN, " ")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that its lineage ends there.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set only where that is unset, as in tests.
+    ``few`` is for results of groupings, narrow and much smaller than what they come from: they are written in four files a
+    core at most, where shuffle partitions would leave many tiny ones. The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set only where that is unset, as in tests.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="tracewise-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint(eager=True)
+    return (df.coalesce(4 * context.defaultParallelism) if few else df).checkpoint(eager=True)

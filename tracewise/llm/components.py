@@ -20,14 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs the larger neighbours of every node, then the smaller ones, on the lowest node near; the number of
     rounds grows with the logarithm of the longest path. Rounds end in a checkpoint; the driver sees two numbers.
     """
-    held = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    held = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), few=True)
     mark = None
     while True:
         both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _lowest(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _lowest(large)
         small = near.select("u", F.col("m").alias("v")).union(near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        held = cut(small.distinct())
+        held = cut(small.distinct(), few=True)
         now = tuple(held.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
         if now == mark:
             roots = held.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

@@ -41,16 +41,16 @@ def repeated_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each row's hash is made there and the join drops the rest.
     """
     rows = _narrowed(docs, id_col, text_col)
-    sizes = cut(rows.select("norm_len", "prefix").groupBy("norm_len", "prefix").agg(F.count("*").alias("n")))
+    sizes = cut(rows.select("norm_len", "prefix").groupBy("norm_len", "prefix").agg(F.count("*").alias("n")), few=True)
     lengths = sizes.groupBy("norm_len").agg(F.sum("n").alias("n")).where("n > 1").select("norm_len")
-    keys = cut(sizes.where("n > 1").join(lengths, "norm_len", "left_semi").select("norm_len", "prefix"))
+    keys = cut(sizes.where("n > 1").join(lengths, "norm_len", "left_semi").select("norm_len", "prefix"), few=True)
     if keys.count() <= BROADCAST_KEYS:
         hashed = rows.join(F.broadcast(keys), ["norm_len", "prefix"], "left_semi").select("id", "norm_len", _full_hash())
     else:
         hashed = rows.select("id", "norm_len", "prefix", _full_hash()).join(keys, ["norm_len", "prefix"], "left_semi")
     groups = hashed.groupBy("norm_len", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     # Written apart, so that the later join with all rows has both sides dealt anew and a hot group can be split there.
-    return cut(groups.where("group_size > 1"))
+    return cut(groups.where("group_size > 1"), few=True)
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -227,7 +227,7 @@ class LineIndex:
         (references(docs, id_col, text_col).distinct().withColumn("sign", F.lit(1))
          .write.mode("append").parquet(f"{self.folder}/references/batch={self.version + 1}"))
         batch = self.spark.read.parquet(f"{self.folder}/references/batch={self.version + 1}")
-        keys = cut(batch.groupBy("k1", "k2").agg(F.count("*").alias("n")))
+        keys = cut(batch.groupBy("k1", "k2").agg(F.count("*").alias("n")), few=True)
         self.shards = self.shards or max(MIN_SHARDS, -(-keys.count() // SHARD_KEYS))
         met = self._sharded(keys.select("k1", "k2")).groupBy("shard").cogroup(self._filters().groupBy("shard"))
         met = cut(met.applyInPandas(_meet, "shard int, k1 long, k2 long, content binary"))
@@ -235,7 +235,7 @@ class LineIndex:
         self.version += 1
         seen = met.where("content is null").select("k1", "k2")
         # Written apart, so that a very common line can be split where its holders meet it.
-        return cut(self.counts(keys.where("n > 1").select("k1", "k2").union(seen).distinct()).where("n_docs > 1"))
+        return cut(self.counts(keys.where("n > 1").select("k1", "k2").union(seen).distinct()).where("n_docs > 1"), few=True)
 
     def delete(self, ids: DataFrame) -> None:
         """Take out all documents whose id is in the single column of ``ids``."""
@@ -255,7 +255,7 @@ class LineIndex:
 
         ``repeated`` is what ``insert`` returned for these documents; by default all keys are looked up.
         """
-        repeated = cut(self.counts().where("n_docs > 1")) if repeated is None else repeated
+        repeated = cut(self.counts().where("n_docs > 1"), few=True) if repeated is None else repeated
         docs = docs.drop("n_lines", "n_dropped", "kept")
         held = references(docs, id_col, text_col)
         later = held.join(repeated, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))

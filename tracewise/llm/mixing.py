@@ -93,7 +93,7 @@ def source_weights(
     ``passes`` is how often the budget goes over the source's documents.
     """
     rows = docs.select(F.col(source_col).cast("string").alias("src"), token_count(text_col).alias("n_tokens"))
-    sources = cut(rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens")))
+    sources = cut(rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens")), few=True)
     known = sources.where("tokens > 0")
     total, least, most = known.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
     if total is None:

@@ -110,12 +110,12 @@ def tiles(distinct: DataFrame) -> DataFrame:
         F.lit(i << 40) + F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
     ]
     rows = distinct.select("fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*bands)).alias("cell"))
-    sizes = cut(rows.groupBy("cell", "ones").agg(F.count("*").alias("n")))
+    sizes = cut(rows.groupBy("cell", "ones").agg(F.count("*").alias("n")), few=True)
     whole = sizes.groupBy("cell").agg(F.sum("n").alias("of")).where("of > 1")
     sizes = sizes.join(whole, "cell")
     part = F.col("ones").cast("long") * (1 << 32) + F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / TILE))
     dealt = rows.join(sizes, ["cell", "ones"]).withColumn("tile", F.when(F.col("of") <= TILE, F.lit(-1)).otherwise(part))
-    return cut(dealt.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps"), F.min("ones").alias("low"), F.max("ones").alias("high")))
+    return cut(dealt.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps"), F.min("ones").alias("low"), F.max("ones").alias("high")), few=True)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -133,14 +133,14 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp, component_id`` of each row: the smallest id that links lead to."""
     rows = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
-    stars = cut(components(links(distinct.select("fp"))))
+    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")), few=True)
+    stars = cut(components(links(distinct.select("fp"))), few=True)
     named = stars.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "first_id")
     lowest = named.groupBy("root").agg(F.min("first_id").alias("lowest")).withColumnRenamed("root", "of")
     linked = stars.join(lowest, F.col("root") == F.col("of")).select("node", "lowest")
     by_fp = distinct.join(linked, F.col("fp") == F.col("node"), "left")
     # Written apart, so that a hot fingerprint can be split where its documents meet it.
-    by_fp = cut(by_fp.select(F.col("fp").alias("held"), F.coalesce("lowest", "first_id").alias("component_id")))
+    by_fp = cut(by_fp.select(F.col("fp").alias("held"), F.coalesce("lowest", "first_id").alias("component_id")), few=True)
     return rows.join(by_fp, F.col("fp") == F.col("held")).select("id", "fp", "component_id")
 
 

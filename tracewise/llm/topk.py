@@ -56,7 +56,7 @@ def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
     """``dim, block, ids, vectors``: packed blocks, each sorted by id. Which block a row is in follows from its content."""
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
     held = dealt.groupBy(F.size("v").alias("dim"), "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    return cut(held.mapInArrow(_packing, "dim int, block int, ids binary, vectors binary"))
+    return cut(held.mapInArrow(_packing, "dim int, block int, ids binary, vectors binary"), few=True)
 
 
 def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +157,8 @@ def _narrower(state: DataFrame, pairs: DataFrame) -> DataFrame:
             F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.greatest("low", top - width + 1)).alias("low"),
             F.when(F.col("bin").isNull(), F.col("low")).otherwise(top).alias("high"),
             (F.col("need") - F.coalesce("above", F.lit(0))).alias("need"),
-        )
+        ),
+        few=True,
     )
 
 
@@ -173,12 +174,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     n, asked, longest = rows.agg(F.count("*"), F.count_if("asked"), F.max(norm)).first()
     n_c, n_q = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
     candidates = _blocks(rows.select("id", "v"), n_c)
-    asking = cut(rows.where("asked").groupBy("id").agg(F.min("v").alias("v")))
+    asking = cut(rows.where("asked").groupBy("id").agg(F.min("v").alias("v")), few=True)
     queries = _blocks(asking, n_q)
     # No score is beyond the product of the lengths.
     most = (F.ceil(norm * F.lit(float(longest or 0.0)) * (1 + 1e-9)) + 1).cast("long")
     block = F.pmod(F.xxhash64("id", "v"), F.lit(n_q)).cast("int")
-    state = cut(asking.select(F.size("v").alias("dim"), block.alias("block"), "id", (-most).alias("low"), most.alias("high"), F.lit(k).cast("long").alias("need")))
+    state = cut(asking.select(F.size("v").alias("dim"), block.alias("block"), "id", (-most).alias("low"), most.alias("high"), F.lit(k).cast("long").alias("need")), few=True)
     while (state.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0) > 0:
         state = _narrower(state, _pairs(candidates, queries, state, n_c, n_q))
     chosen = _pairs(candidates, queries, state, n_c, n_q).mapInArrow(_selecting(k), "query_id long, vec_id long, score long")
