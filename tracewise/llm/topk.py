@@ -8,7 +8,7 @@ keeps what scores higher, and of the ties at the kth score the smallest ids.
 Vectors become integers floor(64 * x), so scores and ties are exact. Defined cases: vectors that are null or hold null or
 non-finite components, and rows with a null id, take no part; vectors are compared with those of the same length only;
 rows that repeat an id are candidates each, but none for a query of that id; a query id that repeats is one query, with
-the smallest of its vectors. Empty vectors score 0. Other columns play no part; an empty table gives an empty result.
+the smallest of its vectors. Empty vectors score 0. Scores beyond 2^61 wrap or are taken as lying there; there is no crash. Other columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -176,8 +176,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     candidates = _blocks(rows.select("id", "v"), n_c)
     asking = cut(rows.where("asked").groupBy("id").agg(F.min("v").alias("v")), few=True)
     queries = _blocks(asking, n_q)
-    # No score is beyond the product of the lengths.
-    most = (F.ceil(norm * F.lit(float(longest or 0.0)) * (1 + 1e-9)) + 1).cast("long")
+    # No score is beyond the product of the lengths, nor beyond what an integer holds.
+    most = (F.ceil(F.least(norm * F.lit(float(longest or 0.0)) * (1 + 1e-9), F.lit(2.0**61))) + 1).cast("long")
     block = F.pmod(F.xxhash64("id", "v"), F.lit(n_q)).cast("int")
     state = cut(asking.select(F.size("v").alias("dim"), block.alias("block"), "id", (-most).alias("low"), most.alias("high"), F.lit(k).cast("long").alias("need")), few=True)
     while (state.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0) > 0:
