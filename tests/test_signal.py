@@ -208,3 +208,41 @@ def test_a_stream_of_trials_gives_the_same_events(spark, tmp_path):
     query = detect_stream(stream, limits, 10.0).writeStream.outputMode("append").format("memory").queryName("events_found").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("events_found").collect())) == sorted(map(tuple, want)) and len(want) == 2
+
+
+def plain_segments(y, upper, lower, least):
+    """Stretches cut wherever the trace crosses ``lower``, by a loop."""
+    out, at = [], 0
+    while at < len(y):
+        end = at
+        while end < len(y) and (y[end] > lower) == (y[at] > lower):
+            end += 1
+        if sum(v > upper for v in y[at:end]) >= least:
+            out.append((at, tuple(y[at:end])))
+        at = end
+    return out
+
+
+def test_random_traces_against_a_loop(spark):
+    rng = np.random.default_rng(4)
+    made = [[float(v) for v in rng.choice([0.0, 1.0, 2.0, float("nan")], rng.integers(1, 30), p=[0.4, 0.3, 0.2, 0.1])] for _ in range(60)]
+    rows = one(spark, *made)
+    for upper, lower, least in ((0.5, 0.5, 2), (1.5, 0.5, 1), (0.5, 1.5, 1)):
+        found = {}
+        for r in D.detect_segments(rows, F.lit(upper), F.lit(lower), least).collect():
+            found.setdefault(int(r.trial), []).append((r.start, tuple(r["values"])))
+        for i, y in enumerate(made):
+            assert repr(sorted(found.get(i, []))) == repr(plain_segments(y, upper, lower, least)), (y, upper, lower)
+
+
+def test_random_stacks_against_one_long_trace(spark):
+    rng = np.random.default_rng(5)
+    frames, trials = 7, 40
+    made = rng.choice([0.0, 1.0, 2.0], (trials, frames), p=[0.5, 0.3, 0.2])
+    rows = one(spark, *made.tolist()).withColumn("threshold", F.lit(0.5))
+    found = D.stacked_events(rows, F.lit("all"), 1.0, 3).collect()
+    want = []
+    for start, values in plain_segments(made.ravel().tolist(), 0.5, 0.5, 3):
+        trial, place = divmod(start, frames)
+        want.append((str(trial), float(place), float(place + len(values) - 1), max(values), float(place + values.index(max(values)))))
+    assert sorted((r.trial, r.ev_onset, r.ev_offset, r.peak, r.peak_time) for r in found) == sorted(want)
