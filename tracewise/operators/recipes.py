@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.functions.keys import session_name, suffixed_key
-from tracewise.operators.detect import detect, without_empty_frames
+from tracewise.operators.detect import METRICS, detect, without_empty_frames
 from tracewise.plans.specs import EventTableParams
 
 PASSIVE_PROTOCOL = "NAIVE STIM REW"
@@ -120,11 +120,12 @@ def regenerate(tables: Mapping[str, DataFrame], params: EventTableParams, alignm
                     rows.where(where), recipe.mode, fps, params.threshold_sd, params.min_samples, baseline,
                     recipe.label_base, window, recipe.validated_only,
                 )
-                key = [F.col("session").alias("k0"), F.col("roi").alias("k1")] if recipe.passive else [suffixed_key("session", "roi").alias("k0"), F.lit(None).cast("string").alias("k1")]
-                history = F.col("outcome") if recipe.passive else F.lit(None).cast("string")
-                pieces.append(
-                    found.select(F.lit(group).alias("group"), side_of(recipe.passive, alignment).alias("side"), *key, "trial", "outcome", history.alias("history"), "peak", "ev_onset", "peak_time", "ev_offset", "ev_duration", "integral", "row_ord")
-                )
+                none = F.lit(None).cast("string")
+                own = (F.col("session"), F.col("roi")) if recipe.passive else (suffixed_key("session", "roi"), none)
+                key = [c.alias(n) for n, c in zip(("k0", "k1"), own, strict=True)]
+                history = F.col("outcome") if recipe.passive else none
+                head = [F.lit(group).alias("group"), side_of(recipe.passive, alignment).alias("side"), *key]
+                pieces.append(found.select(*head, "trial", "outcome", history.alias("history"), *METRICS, "row_ord"))
     if not pieces:
         raise ValueError(f"none of the groups' tables is there: {recipe_tables(groups or list(RECIPES))}")
     return reduce(DataFrame.unionByName, pieces).where("side is not null")

@@ -135,7 +135,10 @@ class Store:
             return self.spark.read.parquet(f"{self.root}/{key}/data")
         return function_of(record.function)(*[self.resolve(k) for k in record.inputs], **record.parameters)
 
-    def get_or_compute(self, name: str, function: Callable[..., DataFrame], inputs: Sequence[str] = (), parameters: Mapping[str, Any] | None = None, kind: str = "data", force: bool = False, note: str = "") -> tuple[str, DataFrame]:
+    def get_or_compute(
+        self, name: str, function: Callable[..., DataFrame], inputs: Sequence[str] = (), parameters: Mapping[str, Any] | None = None,
+        kind: str = "data", force: bool = False, note: str = "",
+    ) -> tuple[str, DataFrame]:
         """(key, artifact), made and noted if it isn't there.
 
         A result whose estimate is below the policy's size is written, and the time of that counts as its cost; a larger one

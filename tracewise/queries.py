@@ -462,14 +462,16 @@ def simpson_integral(spark, sf):
     return rounded(adapters.traces(spark, sf).select("trial", simpson("y").alias("integral")))
 
 
-@query(_detect_sql("row_ord", 0.5, 4, base=1).replace("SELECT roi, trial, round(peak", "SELECT CASE WHEN trial % 4 < 2 THEN 'target' ELSE 'reference' END AS side, roi, trial, round(peak"))
+@query(f"SELECT CASE WHEN trial % 4 < 2 THEN 'target' ELSE 'reference' END AS side, * FROM ({_detect_sql('row_ord', 0.5, 4, base=1)})")
 def regenerate_sides_reward(spark, sf):
     found = D.detect(adapters.traces(spark, sf), "per_trial", FPS, label_base=1, **LOOSE)
     return rounded(found.select(side_of(False, "reward").alias("side"), *EVENT_COLUMNS))
 
 
-@query(_detect_sql("'all'", 0.5, 4).replace("FROM tr WHERE", "FROM (SELECT * REPLACE (CASE vec4 WHEN 0 THEN 'cRew' WHEN 1 THEN 'nRew' WHEN 2 THEN 'cStim' ELSE 'nan' END AS outcome) FROM (SELECT *, trial % 4 AS vec4 FROM tr)) WHERE").replace(
-    "SELECT roi, trial, round(peak", "SELECT CASE trial % 4 WHEN 0 THEN 'reference' WHEN 1 THEN 'reference' WHEN 2 THEN 'target' END AS side, roi, trial, round(peak").replace("WHERE true", "WHERE trial % 4 <> 3"))
+SIDE_OF_TRIAL = "CASE trial % 4 WHEN 0 THEN 'reference' WHEN 1 THEN 'reference' WHEN 2 THEN 'target' END AS side"
+
+
+@query(f"SELECT {SIDE_OF_TRIAL}, * FROM ({_detect_sql("'all'", 0.5, 4)}) WHERE trial % 4 <> 3")
 def regenerate_sides_stimulus(spark, sf):
     history = F.element_at(F.array(*map(F.lit, ("cRew", "nRew", "cStim", "nan"))), (F.col("trial") % 4 + 1).cast("int"))
     rows = adapters.traces(spark, sf).withColumn("outcome", history)
