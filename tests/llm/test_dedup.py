@@ -124,6 +124,43 @@ def test_cuckoo_filter():
     assert held.contains(keys[:1]).all()
 
 
+def test_removal_with_a_smaller_second_table_leaves_other_keys():
+    rng = np.random.default_rng(1)
+    first = rng.integers(0, 2**31, (20_000, 2))
+    held = line_dedup.CuckooFilter()
+    held.add(first)
+    # These look like one of the first table in the small second one, but not in the first.
+    second = first[:12] + np.array([[1 << 10, 1 << 16]])
+    small = line_dedup.CuckooFilter()
+    small.add(second)
+    held.tables += small.tables
+    assert len(held.tables[1]) < len(held.tables[0])
+    held.remove(first[:12])
+    assert held.contains(second).all() and held.contains(first[12:]).all()
+    held.remove(second)
+    held.remove(first[12:])
+    assert not any(np.any(t) for t in held.tables)
+
+
+@pytest.mark.parametrize("gone", [0, 1])
+def test_lines_survive_the_deletion_of_a_line_with_the_same_mark(spark, gone, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MIN_SHARDS", 1)
+    # All marks and buckets are equal, so that each line looks like every other one.
+    key = lambda line: np.frombuffer(b"\0" * 7 + line[-1:] + b"\1" + b"\0" * 6 + line[-1:], "<i8").tolist()
+    keyed = lambda docs, *_: spark.createDataFrame([(*key(r.text.encode()), r.doc_id) for r in docs.collect()], "k1 long, k2 long, id long")
+    monkeypatch.setattr(line_dedup, "references", keyed)
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    lines = ["a first long line 1", "a second long line 2"]
+    index = line_dedup.LineIndex(spark)
+    index.insert(make((0, lines[0])))
+    index.insert(make((1, lines[1])))
+    index.delete(make((gone, "")).select("doc_id"))
+    again = index.insert(make((5, lines[1 - gone])))
+    assert [(r.n_docs, r.first_id) for r in again.collect()] == [(2, 1 - gone)]
+    index.delete(spark.createDataFrame([(0,), (1,), (5,)], "doc_id long"))
+    assert all(not np.any(t) for r in index._filters().collect() for t in line_dedup.CuckooFilter.load(r.content).tables)
+
+
 def plain_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     held = re.findall(r"[^\x20\x09-\x0D]+", low)

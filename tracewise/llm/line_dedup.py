@@ -4,7 +4,8 @@ A line's key is the line without ASCII white space at its ends, with A-Z lower-c
 every (key, document) reference, with a sign, in a table, so that documents can be deleted again and each key's count of
 documents and first document are exact. In front of that table, each shard of the key space has a cuckoo filter: a key of
 a new batch that its filter has not seen is new, so only keys that the filter may have seen, or that the batch itself
-repeats, are looked up in the table. Deletion takes keys that no document holds any more out of the filters.
+repeats, are looked up in the table. Each key that a document holds has a mark of its own in its filter, also where
+another key's mark looks the same. Deletion takes the marks of keys that no document holds any more out of the filters.
 
 Defined cases: null or empty text is one empty line; keys under ``MIN_CHARS`` code points are never dropped; rows with
 the same id are one document (null ids too), whose id sorts last if null; a line repeated in the first document that
@@ -124,9 +125,13 @@ class CuckooFilter:
         return None
 
     def remove(self, keys: np.ndarray) -> None:
-        """Take out keys that were added."""
+        """Take out keys that were added.
+
+        Larger tables are searched first. Keys that share a mark and its buckets in a table share them in all smaller ones
+        too: if the mark found is another key's, that key is still found by the mark that the removed one leaves behind.
+        """
         left = keys
-        for held in reversed(self.tables):
+        for held in sorted(self.tables, key=len, reverse=True):
             stay = []
             for key in left:
                 marks, a, b = self._places(key[None, :], held)
@@ -184,6 +189,13 @@ def _meet(new: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _mend(unmarked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """One shard: the filter with marks added for keys that it only seemed to have seen."""
+    held = CuckooFilter.load(state["content"].iloc[0] if len(state) else None)
+    held.add(_keys(unmarked))
+    return pd.DataFrame({"shard": [int((unmarked if len(unmarked) else state)["shard"].iloc[0])], "content": [held.dump()]})
+
+
 def _leave(gone: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     held = CuckooFilter.load(state["content"].iloc[0] if len(state) else None)
     held.remove(_keys(gone))
@@ -211,9 +223,10 @@ class LineIndex:
             return self.spark.createDataFrame([], "shard int, content binary")
         return self.spark.read.parquet(f"{self.folder}/filters/{self.version}")
 
-    def references(self) -> DataFrame:
-        """``k1, k2, id`` of all documents that are in."""
+    def references(self, before: int | None = None) -> DataFrame:
+        """``k1, k2, id`` of all documents that are in, or that were before a batch."""
         all_ = self.spark.read.parquet(f"{self.folder}/references")
+        all_ = all_ if before is None else all_.where(F.col("batch") < before)
         return all_.groupBy("k1", "k2", "id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
     def counts(self, keys: DataFrame | None = None) -> DataFrame:
@@ -231,9 +244,12 @@ class LineIndex:
         self.shards = self.shards or max(MIN_SHARDS, -(-keys.count() // SHARD_KEYS))
         met = self._sharded(keys.select("k1", "k2")).groupBy("shard").cogroup(self._filters().groupBy("shard"))
         met = cut(met.applyInPandas(_meet, "shard int, k1 long, k2 long, content binary"))
-        met.where("content is not null").select("shard", "content").write.parquet(f"{self.folder}/filters/{self.version + 1}")
+        filters, seen = met.where("content is not null").select("shard", "content"), met.where("content is null").select("k1", "k2")
+        if self.version:
+            unmarked = seen.join(self.references(before=self.version + 1), ["k1", "k2"], "left_anti")
+            filters = self._sharded(unmarked).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_mend, "shard int, content binary")
+        filters.write.parquet(f"{self.folder}/filters/{self.version + 1}")
         self.version += 1
-        seen = met.where("content is null").select("k1", "k2")
         # Written apart, so that a very common line can be split where its holders meet it.
         return cut(self.counts(keys.where("n > 1").select("k1", "k2").union(seen).distinct()).where("n_docs > 1"), few=True)
 
