@@ -66,6 +66,17 @@ def test_a_smaller_budget_samples_blocks(spark):
     assert total * 0.4 < n <= total / 2
 
 
+@pytest.mark.parametrize("seed", ["mix", "other"])
+def test_one_long_document_leaves_the_weights_right(spark, seed):
+    rows = [(i, "w " * 5, "en", "even", 0) for i in range(400)] + [(1000 + i, "w " * 5, "en", "skew", 0) for i in range(100)] + [(2000, "w " * 500, "en", "skew", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for targets in ({"max_repetition": 1.3}, {"max_repetition": 1.7}, {"budget_tokens": 1200}):
+        got = {r.source: r.n for r in mixing.mix(df, seed, **targets).select("row.source", mixing.token_count("row.text").alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+        for w in mixing.source_weights(df, **targets)[0].collect():
+            want = w.tokens * w.passes
+            assert want - 40 < got[w.src] <= want + 1e-6, (targets, w, got)
+
+
 def test_mix_of_awkward_rows(docs, clashing, empty):
     made = mixing.mix(clashing).select("row.*")
     assert made.columns == clashing.columns

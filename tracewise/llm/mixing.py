@@ -3,8 +3,10 @@
 A source's weight is its token share raised to an exponent between 0 and 1, normalised. The exponent is bisected until
 the weights meet a target entropy, or until no source is repeated more than a limit. The budget then gives each source a
 number of passes over its documents: whole passes, and for what is left a part of one. Documents lie in blocks by a hash
-of their id; each pass visits the blocks in a permutation of its own, and the partial pass takes blocks in that order
-as long as they fit what is left of the budget. DataFrame functions only.
+of their id; each pass visits the blocks in a permutation of its own. The partial pass first takes blocks that hold a
+large share of their source, the largest first, then the others in their permutation, each if it fits what is left of the
+budget; one that does not fit is passed over. The query's SQL has another rule, under which the first block that does not
+fit ends the pass; only ``query`` follows it. DataFrame functions only.
 
 Without a budget, the smallest one is taken that gives every source a whole pass, so no document is left out. Defined
 cases: null text counts as empty and has no tokens; a source without tokens gets one pass; null sources form a source
@@ -25,6 +27,8 @@ from tracewise.llm.common import SPACE_RUN, cut, table, text_or_empty
 MAX_REPETITION = 2.0
 #: Blocks of the whole corpus: so many at least, and of so many tokens at most on average.
 MIN_BLOCKS, BLOCK_TOKENS = 256, 4_000_000
+#: Blocks with more than this share of their source's tokens are taken first in a partial pass.
+LARGE_SHARE = 1 / 16
 #: Parts that one job splits the exponent's interval into, and jobs; 4 bits a job.
 PARTS, ROUNDS = 16, 12
 
@@ -112,21 +116,41 @@ def source_weights(
     return sources.select("src", "tokens", weight.alias("weight"), passes.alias("passes")), blocks
 
 
-def block_plan(docs: DataFrame, seed: str, id_col: str, source_col: str, text_col: str, **targets) -> tuple[DataFrame, int]:
+def _fitting(visits: DataFrame) -> DataFrame:
+    """The visits of whole passes, and of partial passes those that fit one after another."""
+    size = F.when(F.col("n_tokens") > LARGE_SHARE * F.col("tokens"), -F.col("n_tokens")).otherwise(F.lit(0))
+    passes = visits.groupBy("src", "epoch").agg(
+        F.first("whole").alias("whole"), F.first("part").alias("part"), F.sort_array(F.collect_list(F.struct(size.alias("size"), "block_pos", "block", "n_tokens"))).alias("held")
+    )
+
+    def step(state, x):
+        taken = F.struct((state["left"] - x["n_tokens"]).alias("left"), F.concat(state["taken"], F.array(x)).alias("taken"))
+        return F.when(x["n_tokens"] <= state["left"], taken).otherwise(state)
+
+    start = F.struct(F.col("part").cast("long").alias("left"), F.slice("held", 1, 0).alias("taken"))
+    taken = F.when(F.col("epoch") < F.col("whole"), F.col("held")).otherwise(F.aggregate("held", start, step, lambda x: x["taken"]))
+    return passes.select("src", "epoch", F.explode(taken).alias("x")).select("src", "x.block", "epoch", "x.block_pos")
+
+
+def block_plan(docs: DataFrame, seed: str, id_col: str, source_col: str, text_col: str, prefix: bool = False, **targets) -> tuple[DataFrame, int]:
     """One row per visit of a block: ``src, block, epoch, block_pos``; and the number of blocks.
 
-    A source has as many blocks as the whole corpus at most, so the ordering of its blocks stays small.
+    With ``prefix`` the first block that does not fit ends a partial pass, as the query's SQL has it. A source has as many
+    blocks as the whole corpus at most, so the ordering of its blocks stays small.
     """
     sources, blocks = source_weights(docs, id_col, source_col, text_col, **targets)
     rows = docs.select(F.col(source_col).cast("string").alias("src"), F.col(id_col).alias("id"), token_count(text_col).alias("n_tokens"))
     sums = rows.groupBy("src", (_hash32(F.lit(seed), "id") % blocks).alias("block")).agg(F.sum("n_tokens").alias("n_tokens"))
     whole = F.floor(F.col("passes") + 1e-9).cast("int")
-    part = F.greatest(F.round(F.col("tokens") * (F.col("passes") - F.col("whole"))), F.lit(0.0))
-    paced = sources.withColumn("whole", whole).withColumn("part", part).select("src", "whole", "part")
-    visits = sums.join(paced, sums.src.eqNullSafe(paced.src)).select(sums.src, "block", "n_tokens", "whole", "part")
+    rest = F.col("tokens") * (F.col("passes") - F.col("whole"))
+    part = F.greatest(F.round(rest) if prefix else F.floor(rest + 1e-6).cast("double"), F.lit(0.0))
+    paced = sources.withColumn("whole", whole).withColumn("part", part).select("src", "tokens", "whole", "part")
+    visits = sums.join(paced, sums.src.eqNullSafe(paced.src)).select(sums.src, "block", "n_tokens", "tokens", "whole", "part")
     visits = visits.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("part") > 0, F.col("whole")).otherwise(F.col("whole") - 1))))
     turn = Window.partitionBy("src", "epoch").orderBy(_hash32(F.lit(seed), "src", "epoch", "block"), "block")
     visits = visits.withColumns({"block_pos": F.row_number().over(turn) - 1, "upto": F.sum("n_tokens").over(turn.rowsBetween(Window.unboundedPreceding, 0))})
+    if not prefix:
+        return _fitting(visits), blocks
     taken = (F.col("epoch") < F.col("whole")) | (F.col("upto") <= F.col("part"))
     return visits.where(taken).select("src", "block", "epoch", "block_pos"), blocks
 
@@ -147,7 +171,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every visit of every document: ``doc_id, source, n_tokens, epoch, block, block_pos``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     counted = docs.select("doc_id", "source", token_count("text").alias("n_tokens"))
-    plan, blocks = block_plan(docs, "mix", "doc_id", "source", "text")
+    plan, blocks = block_plan(docs, "mix", "doc_id", "source", "text", prefix=True)
     rows = counted.withColumn("block", _hash32(F.lit("mix"), "doc_id") % blocks)
     joined = rows.join(plan, (rows.block == plan.block) & rows.source.eqNullSafe(plan.src))
     return joined.select("doc_id", "source", "n_tokens", "epoch", rows.block.cast("int").alias("block"), "block_pos")
