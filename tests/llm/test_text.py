@@ -146,6 +146,15 @@ def test_windows_cover_all_places_and_agree_with_one_window():
     assert sum(text[a:b] == "(713) 555-8702" for _, a, b in found) >= 7
 
 
+def test_windows_hold_whole_spelled_addresses():
+    long_name, long_host = "n" * 70, "h" * 70
+    for own in ("jane at\nexample dot com", "jane\tat\texample\tdot\tcom", f"{long_name} at {long_host} dot com", f"{long_name}@{long_host}.{long_host}.com", f"{long_name} [at] {long_host} (dot) com"):
+        for text in (own, f"{'word ' * 30}{own}{' word' * 30}"):
+            assert pii.fits("email", own)
+            front = text.index(own)
+            assert set(range(front, front + len(own))) <= {i for a, b in pii.windows(text) for i in range(a, b)}, text
+
+
 def test_personal_data_query(docs, clashing, empty, spark):
     text = "write to jo@x.org, call (713) 555-8702 from 10.0.0.1; card 4111 1111 1111 1111. Version 4.0, 2023-01-02."
     df = spark.createDataFrame([(1, text), (2, None), (2, ""), (None, "clean words only")], "doc_id long, text string")

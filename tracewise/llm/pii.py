@@ -38,7 +38,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_PLACE = re.compile(r"[0-9@]|[\[(]at[\])]|\x20at\x20(?=.{1,40}\x20dot\x20)", re.I)
+_PLACE = re.compile(r"[0-9@]|[\[(]at[\])]|\sat(?=\s(?:[A-Za-z0-9-]++|.{1,40})\sdot\s)", re.I)
+_TO_HOST = re.compile(r"\s?[A-Za-z0-9-]*+(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[A-Za-z0-9-]++)*+", re.I)
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
 _SPELLED = re.compile(
     rf"{_NAME}(?:@|\s?[\[(]at[\])]\s?){_LABEL}(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s){_LABEL})+|{_NAME}\sat\s{_LABEL}(?:\sdot\s{_LABEL})+", re.I
@@ -94,8 +95,15 @@ def windows(text: str) -> list[tuple[int, int]]:
     regions: list[list[int]] = []
     for m in _PLACE.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        if not m[0].isdigit():
+            # The whole name and host, however long; what an earlier region holds needs no second look.
+            front, read = m.start(), regions[-1][1] if regions else 0
+            front -= front > 0 and text[front - 1].isspace()
+            while front > read and text[front - 1] in _LOCAL:
+                front -= 1
+            a, b = min(a, front), max(b, _TO_HOST.match(text, m.end()).end())
         if regions and a <= regions[-1][1]:
-            regions[-1][1] = b
+            regions[-1][1] = max(regions[-1][1], b)
         else:
             regions.append([a, b])
     return [(i, min(i + WINDOW, b)) for a, b in regions for i in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)]
