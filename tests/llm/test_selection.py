@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tracewise.llm import langid, mixing, queries, topk
 
-from .conftest import awkward_rows
+from .conftest import awkward_rows, words
 from .test_dedup import brute_components, brute_exact
 
 
@@ -151,6 +151,18 @@ def test_pipeline_stages_bear_awkward_and_empty_tables(spark, docs, empty):
         assert df.where("not round_trip").count() == 0
 
 
+def test_pipeline_stages_keep_unlabelled_texts_and_one_row_of_each_id(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b = words(60, 1), words(60, 2)
+    rows = [(1, a, None, "x", 1), (1, a, None, "y", 1), (2, a, None, "x", 1), (1, b, None, "x", 1), (None, "one text", None, "x", 1), (None, "one  text", None, "x", 1), (3, "12 34", None, "x", 1), (4, None, None, "x", 1)]
+    named = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), "")
+    assert sorted(map(repr, named.collect())) == sorted(map(repr, spark.createDataFrame(rows[:6], schema).collect()))
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        kept = stage(spark, spark.createDataFrame(rows[:6], schema), "")
+        assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert sorted((tuple(r)[:4] for r in kept.collect()), key=repr) == sorted([(1, a, None, "x"), (1, b, None, "x"), (None, "one  text", None, "x")], key=repr)
+
+
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))

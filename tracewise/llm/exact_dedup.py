@@ -4,9 +4,10 @@ A text's groups are narrowed by its length, then by a hash of its first characte
 has two members have their whole content hashed. All of it is built from DataFrame functions.
 
 Defined cases: null text counts as empty; empty texts form one group. The row with the smallest id of a group stays;
-null ids sort after all others, and a group of null ids only keeps all of them. Rows that repeat both id and text
-count each, and all rows that carry the smallest id stay. Other columns of the input play no part. An empty table
-gives an empty result.
+null ids sort after all others, and ``mark`` marks all rows of a group of null ids only as kept. Rows that repeat both id
+and text count each, and ``mark`` marks all that carry the smallest id. ``keep_first`` keeps one row of each group: of
+several with the smallest id, or of null ids only, the first by its JSON text. Other columns of the input play no
+part else. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ def _full_hash() -> F.Column:
     return F.unhex(F.sha2("norm", 256)).alias("sha")
 
 
-def repeated_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``norm_len, sha, keep_id, group_size`` of each text that two rows or more hold.
+def repeated_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ties: bool = False) -> DataFrame:
+    """``norm_len, sha, keep_id, group_size`` of each text that two rows or more hold; with ``ties`` also ``n_keep``, the
+    number of its rows with the smallest id.
 
     The surviving keys are counted before use. Up to ``BROADCAST_KEYS`` they go to the scan, which then hashes whole
     texts of surviving groups only; beyond that, hashing at the scan is cheaper than moving whole texts to a join, so
@@ -48,7 +50,12 @@ def repeated_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hashed = rows.join(F.broadcast(keys), ["norm_len", "prefix"], "left_semi").select("id", "norm_len", _full_hash())
     else:
         hashed = rows.select("id", "norm_len", "prefix", _full_hash()).join(keys, ["norm_len", "prefix"], "left_semi")
-    groups = hashed.groupBy("norm_len", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    if ties:
+        by_id = hashed.groupBy("norm_len", "sha", "id").agg(F.count("*").alias("n"))
+        of_least = F.coalesce(F.min_by("n", "id"), F.sum("n")).alias("n_keep")
+        groups = by_id.groupBy("norm_len", "sha").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), of_least)
+    else:
+        groups = hashed.groupBy("norm_len", "sha").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     # Written apart, so that the later join with all rows has both sides dealt anew and a hot group can be split there.
     return cut(groups.where("group_size > 1"), few=True)
 
@@ -68,7 +75,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, one of each group, with all their columns.
 
     Each row carries its hash to the join with the repeated groups; a group that holds a large share of all rows is
     one row there, and adaptive execution splits the other side.
@@ -76,8 +83,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     rows = docs.select(whole, F.col(id_col).alias("id"), one_spaced(text_col).alias("norm"))
     rows = rows.select("whole", "id", F.length("norm").alias("norm_len"), _full_hash())
-    found = rows.join(repeated_groups(docs, id_col, text_col), ["norm_len", "sha"], "left")
-    return found.where(F.coalesce("keep_id", "id").eqNullSafe(F.col("id"))).select("whole.*")
+    groups = repeated_groups(docs, id_col, text_col, ties=True)
+    found = rows.join(groups, ["norm_len", "sha"], "left").where(F.coalesce("keep_id", "id").eqNullSafe(F.col("id")))
+    if groups.where("n_keep > 1").isEmpty():
+        return found.select("whole.*")
+    tied = F.coalesce("n_keep", F.lit(1)) > 1
+    one = found.where(tied).groupBy("norm_len", "sha").agg(F.min_by("whole", F.to_json("whole")).alias("whole"))
+    return found.where(~tied).select("whole").union(one.select("whole")).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

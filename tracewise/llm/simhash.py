@@ -8,7 +8,9 @@ numpy, and give the edges of a spanning forest rather than all links. Components
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and link like others; texts with
 fewer words than a shingle are one shingle. Null ids are no smallest id, unless a component has no other. Rows that repeat
-an id count each, and stay or go together. Other columns play no part; an empty table gives an empty result.
+an id count each. ``keep_one`` keeps one row of each component: of several with its smallest id, or of null ids only, one
+of the smallest fingerprint, the first by its JSON text. Other columns play no part else; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -130,13 +132,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.select("a", "b").mapInArrow(_comparing, "u long, v long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp, component_id`` of each row: the smallest id that links lead to."""
-    rows = cut(fingerprints(docs, id_col, text_col))
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the rows' fingerprints: ``fp, first_id``; of the linked ones ``node, root``; and ``of, lowest``, the smallest id of each root."""
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")), few=True)
     stars = cut(components(links(distinct.select("fp"))), few=True)
     named = stars.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "first_id")
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("lowest")).withColumnRenamed("root", "of")
+    return distinct, stars, named.groupBy("root").agg(F.min("first_id").alias("lowest")).withColumnRenamed("root", "of")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, fp, component_id`` of each row: the smallest id that links lead to."""
+    rows = cut(fingerprints(docs, id_col, text_col))
+    distinct, stars, lowest = _grouped(rows)
     linked = stars.join(lowest, F.col("root") == F.col("of")).select("node", "lowest")
     by_fp = distinct.join(linked, F.col("fp") == F.col("node"), "left")
     # Written apart, so that a hot fingerprint can be split where its documents meet it.
@@ -144,11 +151,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(by_fp, F.col("fp") == F.col("held")).select("id", "fp", "component_id")
 
 
+def _marking(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([fingerprint(t.as_py()) for t in batch.column(text_col)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*batch.schema.names, "__fp"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns."""
-    keep = near_groups(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("id").alias("__keep")).distinct().hint("shuffle_hash")
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    """One row of ``docs`` of each component, of its smallest id, with all their columns.
+
+    Where the ids of the rows that stay occur once each, ids alone find them; else fingerprints are made again beside
+    whole rows.
+    """
+    rows = cut(fingerprints(docs, id_col, text_col))
+    distinct, stars, _ = _grouped(rows)
+    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("of"))
+    first = rooted.agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "fp")).alias("x"))
+    keep = cut(first.select(F.col("x.id").alias("__keep"), F.col("x.fp").alias("__keep_fp")), few=True)
+    ids = keep.select("__keep").distinct().hint("shuffle_hash")
+    if rows.join(ids, rows["id"].eqNullSafe(ids["__keep"]), "left_semi").count() == keep.count():
+        return docs.join(ids, docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
+    marked = docs.mapInArrow(_marking(text_col), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    held = marked.select(whole, F.col(id_col).alias("id"), F.col("__fp").alias("fp"))
+    found = held.join(keep, (F.col("fp") == F.col("__keep_fp")) & F.col("id").eqNullSafe(F.col("__keep")))
+    return found.groupBy("fp").agg(F.min_by("whole", F.to_json("whole")).alias("whole")).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
