@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -179,14 +182,35 @@ def test_forward_sums_all_segmentations():
         return total if word[0] in pieces or any(word.startswith(x) and len(x) == 1 for x in pieces) else total + p[-1, k] * brute(word[1:], k)
 
     held = ["▁ab", "▁abb", "▁zab", "bab"]
-    sums = langid.forward(finder.hits(held), p)
+    logs = langid.forward(finder.hits(held), p)
     for i, word in enumerate(held):
         for k in range(2):
-            assert sums[i, len(word), k] == pytest.approx(brute(word, k))
+            assert np.exp(logs[i, k]) == pytest.approx(brute(word, k))
     counts = langid.expected(finder.hits(["▁ab"]), p[:, 0], np.array([3.0]))
     assert counts.sum() > 3 and counts[5] == max(counts)
 
 
+def test_long_words_are_summed_whole():
+    """Exact sums over fractions, which no double would hold, for words of 200 and 1,000 letters."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "bb", "aab"]
+    p = np.array([[0.1, 0.2], [0.2, 0.1], [0.01, 0.1], [0.02, 0.2], [0.01, 0.05], [0.2, 0.3], [0.01, 0.05], [0.004, 0.01], [1e-7, 1e-7]])
+    rng, finder = random.Random(4), langid.Pieces(pieces)
+    held = ["▁" + "".join(rng.choice("aabz") for _ in range(n)) for n in (3, 199, 999, 40, 41)]
+    logs = langid.forward(finder.hits(held), p)
+    for i, word in enumerate(held):
+        for k in range(2):
+            sums = [Fraction(1)] + [Fraction(0)] * len(word)
+            for end in range(1, len(word) + 1):
+                for x, own in [*zip(pieces, p[:, k], strict=False), (word[end - 1] if word[end - 1] not in pieces else None, p[-1, k])]:
+                    if x and word[:end].endswith(x) and end >= len(x):
+                        sums[end] += sums[end - len(x)] * Fraction(own)
+            log2 = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert logs[i, k] == pytest.approx(log2, rel=1e-9)
+    weights = np.array([1.0, 2.0, 1.0, 1.0, 1.0])
+    counts, sizes = langid.expected(finder.hits(held), p[:, 1], weights), np.array([*map(len, [*pieces, "z"])])
+    assert (counts * sizes).sum() == pytest.approx(sum(w * len(x) for w, x in zip(weights, held, strict=True)))
+
+
 def test_language_of_held_out_documents(spark, sf_dir, docs, clashing, empty):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.fit(table, teachers=60)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +28,26 @@ def one_spaced(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), SPACE_RUN, " ")
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores in front as it takes to differ from all ``taken`` names, upper or lower case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame, few: bool = False) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that its lineage ends there.
 
     ``few`` is for results of groupings, narrow and much smaller than what they come from: they are written in four files a
-    core at most, where shuffle partitions would leave many tiny ones. The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set only where that is unset, as in tests.
+    core at most, where shuffle partitions would leave many tiny ones. The folder is the cluster's ``spark.checkpoint.dir``.
+    Where that is unset, a local session gets a folder of its own; on a cluster it is an error, as a folder of one machine
+    is lost with it and not seen by others.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="tracewise-", dir=os.environ.get("TMPDIR")))
     return (df.coalesce(4 * context.defaultParallelism) if few else df).checkpoint(eager=True)

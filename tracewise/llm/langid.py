@@ -3,12 +3,13 @@
 Each language has a probability for each piece of the vocabulary. A word's probability is the sum over all ways to cut it
 into pieces, by the forward algorithm; a text's is the product over its words. The piece probabilities are learned by
 expectation maximisation, where a backward pass gives each piece's expected count. Words are lower-cased runs of letters
-with a mark at the front; tasks keep the scores of words they have seen, up to a bound.
+of any length with a mark at the front. A pass over a word holds the sums of as many places as the longest piece has
+characters, scaled up whenever they grow small. Tasks keep the scores of words they have seen, up to a bound.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned;
-ties go to the first language by name; characters outside the vocabulary count alike for all languages, and words are cut
-at ``LONGEST`` letters. Rows with a null language don't teach; repeated rows count each; other columns pass through, but for ones named as an output, which give way. A null
-id counts as empty text in the choice of rows. Whole texts are scored.
+ties go to the first language by name; characters outside the vocabulary count alike for all languages. Rows with a null
+language don't teach; repeated rows count each; other columns pass through, whatever their names, but for ones named as an
+output, which give way. A null id counts as empty text in the choice of rows. Whole texts are scored.
 """
 
 from __future__ import annotations
@@ -28,15 +29,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.llm.batches import slices
-from tracewise.llm.common import cut, table
+from tracewise.llm.common import cut, free_name, table
 
 UND = "und"
 #: Labelled documents per language that teach, about: those whose id hashes lowest. A bound on training, not on scoring.
 TEACHERS = 1000
+#: Languages that are learned at most, those with the most rows: a bound on training, and so on the model's size.
+LANGUAGES = 200
 ROUNDS, SMOOTHING, UNKNOWN = 2, 0.05, 1e-7
-LONGEST = 40
-#: Words that a task keeps, and bytes of text that it handles at once.
-KEPT_WORDS, SLICE_BYTES = 400_000, 1_000_000
+#: Sums below ``SMALL`` are multiplied by its inverse; far from both ends of what a double holds.
+SMALL = 1e-100
+#: Words that a task keeps, bytes of text that it handles at once, and letters times languages of the words that one pass goes over.
+KEPT_WORDS, SLICE_BYTES, PASS_SUMS = 400_000, 1_000_000, 1_000_000
 MARK = "▁"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -114,46 +118,90 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def _steps(first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
-    """The ranges of equal (first, second)."""
-    edge = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]), True]) if len(first) else np.zeros(1, int)
-    return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Fronts of the runs of equal keys, and the end of the last."""
+    if not len(keys[0]):
+        return np.zeros(1, np.int64)
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]), True])
+
+
+def _sweep(word: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray, count: int, probabilities: np.ndarray, visit=None) -> np.ndarray:
+    """The log of the sum over all segmentations of each word and language, (word, language).
+
+    Pieces come by end, then word. ``visit(word, place, sums, logs)`` is shown the sums at every place: their logs are
+    ``log(sums) + logs``.
+    """
+    ring = int((end - start).max(initial=1)) + 1
+    sums = np.zeros((ring, count, probabilities.shape[1]))
+    sums[0] = 1.0
+    logs, last = np.zeros(sums.shape[1:]), np.zeros(count, np.int64)
+    part = _groups(end, word)
+    steps = _groups(end[part[:-1]])
+    for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+        held, x, y = part[a:b], part[a], part[b]
+        own, place = word[held], int(end[x])
+        new = np.add.reduceat(sums[start[x:y] % ring, word[x:y]] * probabilities[piece[x:y]], held - x, axis=0)
+        sums[place % ring, own] = new
+        last[own] = place
+        if new.min() < SMALL:
+            w, k = np.nonzero(new < SMALL)
+            sums[:, own[w], k] /= SMALL
+            logs[own[w], k] += np.log(SMALL)
+        if visit is not None:
+            visit(own, place, sums[place % ring, own], logs[own])
+    return np.log(sums[last % ring, np.arange(count)]) + logs
 
 
 def forward(found: tuple, probabilities: np.ndarray) -> np.ndarray:
-    """For each word, place and language, the sum over all segmentations of what stands before the place."""
+    """The log-probability of each word in each language, summed over all its segmentations."""
     word, start, end, piece, sizes = found
-    sums = np.zeros((len(sizes), int(sizes.max(initial=0)) + 1, probabilities.shape[1]))
-    sums[:, 0] = 1.0
-    for a, b in _steps(end, start):
-        sums[word[a:b], end[a]] += sums[word[a:b], start[a]] * probabilities[piece[a:b]]
-    return sums
+    order = np.lexsort((word, end))
+    return _sweep(word[order], start[order], end[order], piece[order], len(sizes), probabilities)
 
 
 def expected(found: tuple, probabilities: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Each piece's expected count over the words, for one language, weighted by the words' numbers."""
     word, start, end, piece, sizes = found
-    before = forward(found, probabilities[:, None])[:, :, 0]
-    after = np.zeros_like(before)
-    after[np.arange(len(sizes)), sizes] = 1.0
-    order = np.lexsort((end, start))[::-1]
-    w, s, e, p = word[order], start[order], end[order], piece[order]
-    for a, b in _steps(s, e):
-        after[w[a:b], s[a]] += after[w[a:b], e[a]] * probabilities[p[a:b]]
-    whole = before[np.arange(len(sizes)), sizes]
-    share = before[word, start] * probabilities[piece] * after[word, end] / whole[word] * weights[word]
+    offset = np.cumsum(sizes + 1) - sizes - 1
+    before, after = np.zeros(int((sizes + 1).sum())), np.zeros(int((sizes + 1).sum()))
+    p = probabilities[:, None]
+
+    def ahead(own, place, sums, logs):
+        before[offset[own] + place] = np.log(sums[:, 0]) + logs[:, 0]
+
+    def back(own, place, sums, logs):
+        after[offset[own] + sizes[own] - place] = np.log(sums[:, 0]) + logs[:, 0]
+
+    order = np.lexsort((word, end))
+    whole = _sweep(word[order], start[order], end[order], piece[order], len(sizes), p, ahead)[:, 0]
+    # The same from behind: places count from the word's end.
+    left, right = sizes[word] - end, sizes[word] - start
+    order = np.lexsort((word, right))
+    _sweep(word[order], left[order], right[order], piece[order], len(sizes), p, back)
+    share = np.exp(before[offset[word] + start] + np.log(probabilities[piece]) + after[offset[word] + end] - whole[word]) * weights[word]
     return np.bincount(piece, share, len(probabilities))
 
 
+def passes(words: list[str], languages: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words that hold one word, or several within the bound of a pass."""
+    most = PASS_SUMS // max(4, languages)
+    ends, first = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), 0
+    while first < len(words):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield first, last
+        first = last
+
+
 def words_of(text: str) -> list[str]:
     """The text's words as they are scored."""
-    return [MARK + w[i : i + LONGEST] if not i else w[i : i + LONGEST] for w in _WORDS(text.lower()) for i in range(0, len(w), LONGEST)]
+    return [MARK + w for w in _WORDS(text.lower())]
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, texts in slices(batches, "text", SLICE_BYTES):
         seen: Counter = Counter()
-        for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for language, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
             seen.update((language, w) for w in words_of(text or ""))
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "word", "n"])
@@ -161,14 +209,14 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expecting(pieces: list[str], languages: list[str], probabilities):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Pieces(pieces)
+        finder, number = Pieces(pieces), {x: i for i, x in enumerate(languages)}
         for batch in batches:
-            of = np.array([languages.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+            of = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
             for i in np.unique(of):
-                own = np.flatnonzero(of == i)
-                for at in range(0, len(own), 20_000):
-                    part = own[at : at + 20_000]
+                own = np.array(sorted(np.flatnonzero(of == i), key=lambda j: len(words[j])), np.int64)
+                for a, b in passes([words[j] for j in own], 1):
+                    part = own[a:b]
                     found = finder.hits([words[j] for j in part])
                     if probabilities is None:
                         counts = np.bincount(found[3], n[part][found[0]], len(pieces) + 1)
@@ -188,13 +236,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", teachers: int = TEACHERS) -> Model:
     """A model learned from rows that are not held out and have a language and a text.
 
-    Word counts and expected counts are made on the executors; the driver gets one row per language and piece.
+    Word counts and expected counts are made on the executors; the driver gets a number per language and piece.
     """
     pieces = vocabulary(vocab_path or public_tokenizers.path("piece_bpe_32k.model"))
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # Hashes are spread evenly, so a share of their range holds about so many rows of each language.
-    sizes = rows.groupBy("lang").count().collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
     h, limits = F.xxhash64("id"), [(r["lang"], int(-(2**63) + 2**64 * min(1.0, teachers / r["count"])) - 1) for r in sizes]
@@ -206,10 +254,9 @@ def fit(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id",
     probabilities = None
     for _ in range(ROUNDS + 1):
         shared = probabilities if probabilities is None else docs.sparkSession.sparkContext.broadcast(probabilities)
-        sums = counts.mapInArrow(_expecting(pieces, languages, shared), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+        sums = counts.mapInArrow(_expecting(pieces, languages, shared), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         table_ = np.full((len(pieces) + 1, len(languages)), SMOOTHING)
-        for r in sums:
-            table_[r["piece"], r["lang"]] += r["n"]
+        table_[sums["piece"].to_numpy(), sums["lang"].to_numpy()] += sums["n"].to_numpy()
         table_[-1] = 0.0
         probabilities = table_ / np.maximum(table_.sum(0), 1e-300)
         probabilities[-1] = UNKNOWN
@@ -231,9 +278,8 @@ class Scorer:
     def words(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
         out = np.zeros((len(words), len(self.model.languages)))
-        for at in range(0, len(words), 20_000):
-            found = self.finder.hits(words[at : at + 20_000])
-            out[at : at + 20_000] = np.log(np.maximum(forward(found, self.model.probabilities)[np.arange(len(found[4])), found[4]], 1e-300))
+        for a, b in passes(words, len(self.model.languages)):
+            out[a:b] = forward(self.finder.hits(words[a:b]), self.model.probabilities)
         return out
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -249,10 +295,7 @@ class Scorer:
         if new:
             new.sort(key=len)
             self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
-            parts = [words_of(w) for w in new]
-            scores = self.words([p for ps in parts for p in ps])
-            first = np.cumsum([0, *map(len, parts)])[:-1]
-            self.scores = np.concatenate([self.scores, np.add.reduceat(scores, first, axis=0)])
+            self.scores = np.concatenate([self.scores, self.words([MARK + w for w in new])])
             self.letters = np.r_[self.letters, np.array([any(map(str.isalpha, w)) for w in new])]
         numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
         ends = np.cumsum(counts)
@@ -273,7 +316,7 @@ class Scorer:
 _HELD: dict[str, Scorer] = {}
 
 
-def _predicting(model, text_col: str):
+def _predicting(model, text_col: str, lang_out: str, score_out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = model.value.key
         if key not in _HELD:
@@ -281,7 +324,7 @@ def _predicting(model, text_col: str):
             _HELD[key] = Scorer(model.value)
         for batch, texts in slices(batches, text_col, SLICE_BYTES):
             names, shares = _HELD[key].texts(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[*batch.schema.names, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[*batch.schema.names, lang_out, score_out])
 
     return run
 
@@ -289,9 +332,8 @@ def _predicting(model, text_col: str):
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` plus each text's language and score. The model's size is that of the vocabulary; it is broadcast."""
     shared, docs = docs.sparkSession.sparkContext.broadcast(model), docs.drop(lang_out, score_out)
-    fields = [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]
-    found = docs.mapInArrow(_predicting(shared, text_col), T.StructType([*docs.schema.fields, *fields]))
-    return found.withColumnsRenamed({"__lang": lang_out, "__score": score_out})
+    fields = [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]
+    return docs.mapInArrow(_predicting(shared, text_col, lang_out, score_out), T.StructType([*docs.schema.fields, *fields]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
