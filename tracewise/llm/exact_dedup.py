@@ -26,30 +26,36 @@ BROADCAST_KEYS = 200_000
 def _narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = one_spaced(text_col)
     return docs.select(F.col(id_col).alias("id"), text.alias("norm")).select(
-        "id", "norm", F.length("norm").alias("norm_len"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix")
+        "id", "norm", F.length("norm").alias("norm_len"), _prefix()
     )
 
 
+def _prefix() -> F.Column:
+    return F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix")
+
+
 def _full_hash() -> F.Column:
     return F.unhex(F.sha2("norm", 256)).alias("sha")
 
 
-def repeated_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ties: bool = False) -> DataFrame:
-    """``norm_len, sha, keep_id, group_size`` of each text that two rows or more hold; with ``ties`` also ``n_keep``, the
-    number of its rows with the smallest id.
+def _surviving_keys(rows: DataFrame) -> DataFrame:
+    """``norm_len, prefix`` that two rows or more share.
 
-    The surviving keys are counted before use. Up to ``BROADCAST_KEYS`` they go to the scan, which then hashes whole
-    texts of surviving groups only; beyond that, hashing at the scan is cheaper than moving whole texts to a join, so
-    each row's hash is made there and the join drops the rest.
+    They are counted before use. Up to ``BROADCAST_KEYS`` they go to the scan; beyond that they are joined like any table.
     """
-    rows = _narrowed(docs, id_col, text_col)
-    sizes = cut(rows.select("norm_len", "prefix").groupBy("norm_len", "prefix").agg(F.count("*").alias("n")), few=True)
+    sizes = cut(rows.groupBy("norm_len", "prefix").agg(F.count("*").alias("n")), few=True)
     lengths = sizes.groupBy("norm_len").agg(F.sum("n").alias("n")).where("n > 1").select("norm_len")
     keys = cut(sizes.where("n > 1").join(lengths, "norm_len", "left_semi").select("norm_len", "prefix"), few=True)
-    if keys.count() <= BROADCAST_KEYS:
-        hashed = rows.join(F.broadcast(keys), ["norm_len", "prefix"], "left_semi").select("id", "norm_len", _full_hash())
-    else:
-        hashed = rows.select("id", "norm_len", "prefix", _full_hash()).join(keys, ["norm_len", "prefix"], "left_semi")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def repeated_groups(rows: DataFrame, keys: DataFrame, ties: bool = False) -> DataFrame:
+    """``norm_len, sha, keep_id, group_size`` of each text that two rows or more hold; with ``ties`` also ``n_keep``, the
+    number of its rows with the smallest id.
+
+    Only rows whose length and prefix are among the surviving ``keys`` have their whole text hashed.
+    """
+    hashed = rows.join(keys, ["norm_len", "prefix"], "left_semi").select("id", "norm_len", _full_hash())
     if ties:
         by_id = hashed.groupBy("norm_len", "sha", "id").agg(F.count("*").alias("n"))
         of_least = F.coalesce(F.min_by("n", "id"), F.sum("n")).alias("n_keep")
@@ -61,9 +67,13 @@ def repeated_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, ``keep_id, group_size, kept, text_sha256``."""
-    rows = _narrowed(docs, id_col, text_col).select("id", "norm_len", _full_hash())
-    found = rows.join(repeated_groups(docs, id_col, text_col), ["norm_len", "sha"], "left")
+    """One row per row of ``docs``: its id, ``keep_id, group_size, kept, text_sha256``.
+
+    The digest is part of the result, so that here rows without a partner are hashed too, in the end.
+    """
+    rows = _narrowed(docs, id_col, text_col)
+    groups = repeated_groups(rows, _surviving_keys(rows))
+    found = rows.select("id", "norm_len", _full_hash()).join(groups, ["norm_len", "sha"], "left")
     keep = F.coalesce("keep_id", "id")
     return found.select(
         F.col("id").alias(id_col),
@@ -77,19 +87,24 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns.
 
-    Each row carries its hash to the join with the repeated groups; a group that holds a large share of all rows is
-    one row there, and adaptive execution splits the other side.
+    Rows whose length and prefix are their own stay where they are: they are neither hashed nor moved. Of the others each
+    carries its hash to the join with the repeated groups; a group that holds a large share of all rows is one row there,
+    and adaptive execution splits the other side.
     """
+    narrow = _narrowed(docs, id_col, text_col)
+    keys = _surviving_keys(narrow)
+    groups = repeated_groups(narrow, keys, ties=True)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     rows = docs.select(whole, F.col(id_col).alias("id"), one_spaced(text_col).alias("norm"))
-    rows = rows.select("whole", "id", F.length("norm").alias("norm_len"), _full_hash())
-    groups = repeated_groups(docs, id_col, text_col, ties=True)
-    found = rows.join(groups, ["norm_len", "sha"], "left").where(F.coalesce("keep_id", "id").eqNullSafe(F.col("id")))
+    rows = rows.select("whole", "id", "norm", F.length("norm").alias("norm_len"), _prefix())
+    alone = rows.join(keys, ["norm_len", "prefix"], "left_anti").select("whole")
+    hashed = rows.join(keys, ["norm_len", "prefix"], "left_semi").select("whole", "id", "norm_len", _full_hash())
+    found = hashed.join(groups, ["norm_len", "sha"], "left").where(F.coalesce("keep_id", "id").eqNullSafe(F.col("id")))
     if groups.where("n_keep > 1").isEmpty():
-        return found.select("whole.*")
+        return alone.union(found.select("whole")).select("whole.*")
     tied = F.coalesce("n_keep", F.lit(1)) > 1
     one = found.where(tied).groupBy("norm_len", "sha").agg(F.min_by("whole", F.to_json("whole")).alias("whole"))
-    return found.where(~tied).select("whole").union(one.select("whole")).select("whole.*")
+    return alone.union(found.where(~tied).select("whole")).union(one.select("whole")).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
