@@ -2,9 +2,11 @@
 
 A fingerprint has 64 bits, each the majority of the hashes of a text's shingles. Equal fingerprints are first made one.
 Two that differ in ``RADIUS`` bits at most agree in one of ``RADIUS + 1`` bands of bits, so the others are compared
-within cells of an equal band only, and there in tiles: blocks of fingerprints, of near equal bit counts where a cell
-has several. Pairs of tiles whose bit counts differ beyond the radius are skipped; the others are compared in full by
-numpy, and give the edges of a spanning forest rather than all links. Components come from the edges by Spark.
+within cells of an equal band only, and there in tiles, blocks of fingerprints of near equal bit counts. Pairs of tiles
+whose bit counts differ beyond the radius are skipped; the others are compared in full by numpy, and give the edges of a
+spanning forest rather than all links. Cells of one block are tiled inside their task; larger ones are blocks of equal bit
+counts, and pairs of blocks are dealt to as many tasks as their comparisons ask for. Components come from the edges by
+Spark.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and link like others; texts with
 fewer words than a shingle are one shingle. Null ids are no smallest id, unless a component has no other. Rows that repeat
@@ -28,8 +30,10 @@ from tracewise.llm.common import cut, table
 from tracewise.llm.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 2
-#: Fingerprints in a tile, on average, and in a part of one that numpy compares at a time.
-TILE, PART = 2048, 512
+#: Fingerprints in a block, on average, and in a tile of it, which numpy compares at a time.
+TILE, PART = 2048, 128
+#: Comparisons of fingerprints that a task gets, on average: some seconds of work.
+TASK_PAIRS = 1 << 30
 _hash = xxhash.xxh64_intdigest
 
 
@@ -73,19 +77,20 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def forest(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join what is linked: between the two tiles or, if ``right`` is empty, within ``left``.
 
-    Both are compared in parts of ascending bit counts; parts too far apart in bit counts are skipped.
+    Both are cut into tiles of ascending bit counts; pairs of tiles too far apart in these are skipped.
     """
     alone = not len(right)
     left, right = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in (left, left if alone else right))
     values = left if alone else np.concatenate([left, right])
     labels, shift = np.arange(len(values)), 0 if alone else len(left)
+    ones = np.bitwise_count(right).astype(np.int64)
+    firsts, lasts = ones[::PART], np.r_[ones[PART - 1 :: PART], ones[-1:]][: -(-len(ones) // PART)]
     for i in range(0, len(left), PART):
         a = left[i : i + PART]
         low, high = int(np.bitwise_count(a[0])) - radius, int(np.bitwise_count(a[-1])) + radius
-        for j in range(i if alone else 0, len(right), PART):
+        near = np.flatnonzero((lasts >= low) & (firsts <= high)) * PART
+        for j in near[near >= i].tolist() if alone else near.tolist():
             b = right[j : j + PART]
-            if int(np.bitwise_count(b[-1])) < low or int(np.bitwise_count(b[0])) > high:
-                continue
             x, y = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
             if alone and i == j:
                 x, y = x[x < y], y[x < y]
@@ -128,7 +133,11 @@ def links(distinct: DataFrame) -> DataFrame:
     other = several.select(F.col("cell").alias("of"), F.col("tile").alias("other"), F.col("fps").alias("b"), F.col("low").alias("from"))
     near = (F.col("cell") == F.col("of")) & (F.col("tile") < F.col("other")) & (F.col("from") - F.col("high") <= RADIUS)
     between = several.withColumnRenamed("fps", "a").join(other, near).select("cell", "tile", "other", "a", "b")
-    pairs = within.union(between).repartition("cell", "tile", "other")
+    pairs = cut(within.union(between))
+    work = pairs.agg(F.sum(F.size("a") * F.greatest(F.size("a"), F.size("b")).cast("long"))).first()[0] or 0
+    # Asked for by number, so that adaptive execution does not put small but long tasks together.
+    least = distinct.sparkSession.sparkContext.defaultParallelism
+    pairs = pairs.repartition(max(least, -(-work // TASK_PAIRS)), "cell", "tile", "other")
     return pairs.select("a", "b").mapInArrow(_comparing, "u long, v long")
 
 
@@ -171,7 +180,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("of"))
     first = rooted.agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "fp")).alias("x"))
     keep = cut(first.select(F.col("x.id").alias("__keep"), F.col("x.fp").alias("__keep_fp")), few=True)
-    ids = keep.select("__keep").distinct().hint("shuffle_hash")
+    ids = keep.select("__keep").distinct()
     if rows.join(ids, rows["id"].eqNullSafe(ids["__keep"]), "left_semi").count() == keep.count():
         return docs.join(ids, docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
     marked = docs.mapInArrow(_marking(text_col), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
