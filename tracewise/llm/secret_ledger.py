@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewise.llm.common import cut, table, text_or_empty
 
@@ -47,24 +48,33 @@ RULES = (
     ),
 )
 BASE_KINDS = ("assign", "access", "hex")
-SPANS = "array<struct<kind:string,start:int,end:int>>"
+PIECES = "array<struct<b:int,m:string>>"
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """The rule's spans: texts between matches and matches alternate, so their lengths add up to the places."""
+def pieces(text: Column, rule: Rule) -> Column:
+    """``b, m`` of each match, in order: the length of the text before it, since the last match, and the match."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
-    sizes = F.zip_with(between, F.arrays_zip(found.alias("m"), group.alias("g")), lambda b, x: F.struct(F.length(b).alias("b"), F.length(x["m"]).alias("m"), F.length(x["g"]).alias("g")))
+    between = F.transform(F.split(text, rule.pattern, -1), F.length)
+    each = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(b.alias("b"), m.alias("m")))
+    return F.when(text.rlike(rule.pattern), each).otherwise(F.array().cast(PIECES))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["b"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), (start + x["m"]).alias("end"))
-        more = F.when(x["g"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct((start + x["m"]).alias("at"), more.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(sizes, start, step, lambda s: s["out"])).otherwise(F.array().cast(SPANS))
+def _placed(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, rule, spans`` from the matches of each pair: places are running sums over a pair's matches.
+
+    Matches are rows of a few numbers here, ordered within their pair; work grows with their number.
+    """
+    held = F.lit(None).cast("int")
+    for r in rules:
+        group = F.regexp_extract("x.m", r.pattern, r.group) if r.group else F.col("x.m")
+        held = F.when(F.col("rule") == r.id, F.when(F.length(group) >= r.least, F.lit(1))).otherwise(held)
+    rows = scanned.select("blob", "rule", F.posexplode_outer("pieces").alias("pos", "x"))
+    rows = rows.select("blob", "rule", "pos", F.length("x.m").alias("size"), (F.col("x.b") + F.length("x.m")).alias("step"), held.alias("held"))
+    upto = F.sum("step").over(Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.withColumn("end", upto)
+    kind = F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.id, r.kind)]), F.col("rule"))
+    span = F.when(F.col("held") == 1, F.struct(kind.alias("kind"), (F.col("end") - F.col("size")).alias("start"), F.col("end")))
+    return rows.groupBy("blob", "rule").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def _addressed(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
@@ -87,13 +97,12 @@ def scan(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text",
         known = ledger.groupBy("blob").agg(F.collect_set("rule").alias("done"))
         todo = blobs.join(known, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))))
         todo = todo.where(F.size("todo") > 0).drop("done")
-    todo = todo.withColumnsRenamed({"blob": "todo_blob", "path": "todo_path"}).hint("shuffle_hash")
+    todo = todo.withColumnsRenamed({"blob": "todo_blob", "path": "todo_path"})
     texts = rows.join(todo, F.col("path").eqNullSafe(F.col("todo_path")) & (F.col("blob") == F.col("todo_blob")))
-    pairs = [
-        F.when(F.array_contains("todo", r.id), F.struct(F.lit(r.id).alias("rule"), spans(F.col("text"), r).alias("spans"))) for r in rules
-    ]
-    pair = F.inline(F.array_compact(F.array(*pairs)))
-    return texts.select("blob", pair).dropDuplicates(["blob", "rule"])
+    pairs = [F.when(F.array_contains("todo", r.id), F.struct(F.lit(r.id).alias("rule"), pieces(F.col("text"), r).alias("pieces"))) for r in rules]
+    # Rows that repeat path and text stand for one blob.
+    scanned = texts.select("blob", F.inline(F.array_compact(F.array(*pairs)))).dropDuplicates(["blob", "rule"])
+    return _placed(scanned, rules)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
