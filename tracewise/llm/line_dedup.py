@@ -6,11 +6,15 @@ documents and first document are exact. In front of that table, each shard of th
 a new batch that its filter has not seen is new, so only keys that the filter may have seen, or that the batch itself
 repeats, are looked up in the table. Each key that a document holds has a mark of its own in its filter, also where
 another key's mark looks the same. Deletion takes the marks of keys that no document holds any more out of the filters.
+When the keys outgrow the shards, their number is doubled and the filters are built anew from the table.
+
+Each change is a version: its references and filters are written first, and a line in ``versions`` last. An index opened
+on a folder goes on from the last version there; what a lost driver left half written is written over.
 
 Defined cases: null or empty text is one empty line; keys under ``MIN_CHARS`` code points are never dropped; rows with
 the same id are one document (null ids too), whose id sorts last if null; a line repeated in the first document that
-holds it stays every time; texts that lose all lines become empty. Other columns pass
-through, but for ones named as an output, which give way. An empty table adds nothing.
+holds it stays every time; texts that lose all lines become empty. Other columns pass through, whatever their names, but
+for ones named as an output, which give way. An empty table adds nothing.
 """
 
 from __future__ import annotations
@@ -22,15 +26,16 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.common import cut, table
+from tracewise.llm.common import cut, free_name, table
 
 #: Code points that a key has at least to be dropped anywhere.
 MIN_CHARS = 10
-#: Shards of the key space at least, and keys of the first batch that a shard gets on average at most.
+#: Shards of the key space at least, and keys that a shard holds on average at most.
 MIN_SHARDS, SHARD_KEYS = 64, 250_000
 SPACE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -130,19 +135,21 @@ class CuckooFilter:
         Larger tables are searched first. Keys that share a mark and its buckets in a table share them in all smaller ones
         too: if the mark found is another key's, that key is still found by the mark that the removed one leaves behind.
         """
-        left = keys
         for held in sorted(self.tables, key=len, reverse=True):
             stay = []
-            for key in left:
-                marks, a, b = self._places(key[None, :], held)
-                for at in (int(a[0]), int(b[0])):
-                    hit = np.flatnonzero(held[at] == marks[0])
-                    if len(hit):
-                        held[at, hit[0]] = 0
-                        break
-                else:
-                    stay.append(key)
-            left = stay
+            while len(keys):
+                marks, a, b = self._places(keys, held)
+                in_a, in_b = held[a] == marks[:, None], held[b] == marks[:, None]
+                first = in_a.any(1)
+                at, hit = np.where(first, a, b), np.where(first[:, None], in_a, in_b)
+                some = hit.any(1)
+                stay.append(keys[~some])
+                keys, at, slot = keys[some], at[some], hit[some].argmax(1)
+                # Of several keys that look alike each takes a slot of its own, one a turn.
+                _, take = np.unique(at * SLOTS + slot, return_index=True)
+                held[at[take], slot[take]] = 0
+                keys = np.delete(keys, take, axis=0)
+            keys = np.concatenate(stay) if stay else keys
 
 
 def _references(id_col: str, text_col: str):
@@ -196,16 +203,28 @@ def _mend(unmarked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int((unmarked if len(unmarked) else state)["shard"].iloc[0])], "content": [held.dump()]})
 
 
+def _build(keys: pd.DataFrame) -> pd.DataFrame:
+    """One shard: a filter with a mark for each key."""
+    held = CuckooFilter()
+    held.add(_keys(keys))
+    return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "content": [held.dump()]})
+
+
 def _leave(gone: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     held = CuckooFilter.load(state["content"].iloc[0] if len(state) else None)
     held.remove(_keys(gone))
     return pd.DataFrame({"shard": [int((gone if len(gone) else state)["shard"].iloc[0])], "content": [held.dump()]})
 
 
+def merged(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """What two insertions returned, as of the newer one: it has every key of its batch that was known before."""
+    return newer.unionByName(older.join(newer, ["k1", "k2"], "left_anti"))
+
+
 class LineIndex:
-    """References and filters in a folder that all executors share; each change adds a version of the filters.
+    """References and filters in a folder that all executors share; each change adds a version.
 
-    ``folder`` defaults to a new one in the cluster's checkpoint folder.
+    ``folder`` defaults to a new one in the cluster's checkpoint folder. ``keys`` is an upper bound of the keys held.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
@@ -213,7 +232,13 @@ class LineIndex:
         if folder is None:
             cut(spark.range(0))
             folder = f"{spark.sparkContext.getCheckpointDir()}/lines-{uuid.uuid4().hex}"
-        self.folder, self.version, self.shards = folder, 0, 0
+        self.folder, self.version, self.shards, self.keys = folder, 0, MIN_SHARDS, 0
+        try:
+            last = spark.read.schema("version int, shards int, keys long").json(f"{folder}/versions").orderBy(F.desc("version")).first()
+        except AnalysisException:
+            last = None
+        if last is not None:
+            self.version, self.shards, self.keys = last
 
     def _sharded(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("shard", F.pmod(F.xxhash64("k1", "k2"), F.lit(self.shards)).cast("int"))
@@ -223,61 +248,80 @@ class LineIndex:
             return self.spark.createDataFrame([], "shard int, content binary")
         return self.spark.read.parquet(f"{self.folder}/filters/{self.version}")
 
-    def references(self, before: int | None = None) -> DataFrame:
-        """``k1, k2, id`` of all documents that are in, or that were before a batch."""
-        all_ = self.spark.read.parquet(f"{self.folder}/references")
-        all_ = all_ if before is None else all_.where(F.col("batch") < before)
-        return all_.groupBy("k1", "k2", "id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+    def _write(self, filters: DataFrame) -> None:
+        """The next version's filters, and that it counts."""
+        filters.write.mode("overwrite").parquet(f"{self.folder}/filters/{self.version + 1}")
+        self.version += 1
+        note = self.spark.createDataFrame([(self.version, self.shards, self.keys)], "version int, shards int, keys long")
+        note.coalesce(1).write.mode("append").json(f"{self.folder}/versions")
+
+    def _signed(self, upto: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/references").where(F.col("batch") <= upto)
+
+    def references(self, keys: DataFrame | None = None, upto: int | None = None) -> DataFrame:
+        """``k1, k2, id`` of all documents that are in, or were at a version; of the given keys only, if any are given."""
+        held = self._signed(self.version if upto is None else upto)
+        held = held if keys is None else held.join(keys, ["k1", "k2"], "left_semi")
+        return held.groupBy("k1", "k2", "id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
 
     def counts(self, keys: DataFrame | None = None) -> DataFrame:
         """``k1, k2, n_docs, first_id``, exact, of all keys or of the given ones."""
-        held = self.references()
-        held = held if keys is None else held.join(keys, ["k1", "k2"], "left_semi")
-        return held.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.min("id").alias("first_id"))
+        return self.references(keys).groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.min("id").alias("first_id"))
+
+    def _grown(self, more: int) -> DataFrame:
+        """The filters before ``more`` keys come, built anew with more shards where these would be too large."""
+        self.keys += more
+        if self.keys <= self.shards * SHARD_KEYS:
+            return self._filters()
+        live = cut(self.references().select("k1", "k2").distinct(), few=True) if self.version else None
+        self.keys = more + (live.count() if live is not None else 0)
+        while self.keys > self.shards * SHARD_KEYS:
+            self.shards *= 2
+        if live is None:
+            return self._filters()
+        return self._sharded(live).groupBy("shard").applyInPandas(_build, "shard int, content binary")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add documents. Returns ``k1, k2, n_docs, first_id`` of those of their keys that two documents or more hold."""
-        (references(docs, id_col, text_col).distinct().withColumn("sign", F.lit(1))
-         .write.mode("append").parquet(f"{self.folder}/references/batch={self.version + 1}"))
-        batch = self.spark.read.parquet(f"{self.folder}/references/batch={self.version + 1}")
-        keys = cut(batch.groupBy("k1", "k2").agg(F.count("*").alias("n")), few=True)
-        self.shards = self.shards or max(MIN_SHARDS, -(-keys.count() // SHARD_KEYS))
-        met = self._sharded(keys.select("k1", "k2")).groupBy("shard").cogroup(self._filters().groupBy("shard"))
+        path = f"{self.folder}/references/batch={self.version + 1}"
+        references(docs, id_col, text_col).distinct().withColumn("sign", F.lit(1)).write.mode("overwrite").parquet(path)
+        keys = cut(self.spark.read.parquet(path).groupBy("k1", "k2").agg(F.count("*").alias("n")), few=True)
+        filters = self._grown(keys.count())
+        met = self._sharded(keys.select("k1", "k2")).groupBy("shard").cogroup(filters.groupBy("shard"))
         met = cut(met.applyInPandas(_meet, "shard int, k1 long, k2 long, content binary"))
         filters, seen = met.where("content is not null").select("shard", "content"), met.where("content is null").select("k1", "k2")
         if self.version:
-            unmarked = seen.join(self.references(before=self.version + 1), ["k1", "k2"], "left_anti")
+            unmarked = seen.join(self.references(seen).select("k1", "k2").distinct(), ["k1", "k2"], "left_anti")
             filters = self._sharded(unmarked).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(_mend, "shard int, content binary")
-        filters.write.parquet(f"{self.folder}/filters/{self.version + 1}")
-        self.version += 1
+        self._write(filters)
         # Written apart, so that a very common line can be split where its holders meet it.
         return cut(self.counts(keys.where("n > 1").select("k1", "k2").union(seen).distinct()).where("n_docs > 1"), few=True)
 
     def delete(self, ids: DataFrame) -> None:
         """Take out all documents whose id is in the single column of ``ids``."""
         ids = ids.toDF("id").distinct()
-        held = self.spark.read.parquet(f"{self.folder}/references")
-        held = held.groupBy("k1", "k2", "id").agg(F.sum("sign").cast("int").alias("n")).where("n > 0")
-        gone = cut(held.join(ids, held.id.eqNullSafe(ids.id), "left_semi").select("k1", "k2", "id", (-F.col("n")).alias("sign")))
-        gone.write.mode("append").parquet(f"{self.folder}/references/batch={self.version + 1}")
-        keys = gone.select("k1", "k2").distinct()
-        dead = keys.join(self.references(), ["k1", "k2"], "left_anti")
+        held = self._signed(self.version)
+        held = held.join(ids, held.id.eqNullSafe(ids.id), "left_semi").groupBy("k1", "k2", "id").agg(F.sum("sign").cast("int").alias("n")).where("n > 0")
+        gone = cut(held.select("k1", "k2", "id", (-F.col("n")).alias("sign")))
+        gone.write.mode("overwrite").parquet(f"{self.folder}/references/batch={self.version + 1}")
+        keys = cut(gone.select("k1", "k2").distinct())
+        dead = keys.join(self.references(keys, upto=self.version + 1), ["k1", "k2"], "left_anti")
         left = self._sharded(dead).groupBy("shard").cogroup(self._filters().groupBy("shard"))
-        left.applyInPandas(_leave, "shard int, content binary").write.parquet(f"{self.folder}/filters/{self.version + 1}")
-        self.version += 1
+        self._write(left.applyInPandas(_leave, "shard int, content binary"))
 
     def apply(self, docs: DataFrame, repeated: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``docs`` plus ``n_lines, n_dropped, kept``: the text without lines that an earlier document holds.
+        """``docs``, which are in the index, plus ``n_lines, n_dropped, kept``: the text without lines that an earlier
+        document holds.
 
         ``repeated`` is what ``insert`` returned for these documents; by default all keys are looked up.
         """
         repeated = cut(self.counts().where("n_docs > 1"), few=True) if repeated is None else repeated
         docs = docs.drop("n_lines", "n_dropped", "kept")
-        held = references(docs, id_col, text_col)
-        later = held.join(repeated, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
-        dropped = later.groupBy("id").agg(F.collect_set(F.struct("k1", "k2")).alias("__dropped_keys"))
-        dropped = dropped.withColumnRenamed("id", "__dropped_id")
-        joined = docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped_id")), "left").drop("__dropped_id")
+        keys, of = (free_name(n, docs.columns) for n in ("__dropped_keys", "__dropped_id"))
+        held = self._signed(self.version).join(repeated, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
+        later = held.groupBy("k1", "k2", "id").agg(F.sum("sign").alias("n")).where("n > 0")
+        dropped = later.groupBy(F.col("id").alias(of)).agg(F.collect_set(F.struct("k1", "k2")).alias(keys))
+        joined = docs.join(dropped, docs[id_col].eqNullSafe(dropped[of]), "left").drop(of)
         fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())]
         return joined.mapInArrow(_applying(text_col), T.StructType([*docs.schema.fields, *fields]))
 
@@ -301,10 +345,11 @@ def _applying(text_col: str):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, which come in two batches, by a hash of their id, as they would come one after the other."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = LineIndex(spark)
-    repeated = index.insert(docs)
-    kept = index.apply(docs, repeated)
+    index, early = LineIndex(spark), F.xxhash64("doc_id") < 0
+    older = index.insert(docs.where(early))
+    kept = index.apply(docs, cut(merged(older, index.insert(docs.where(~early))), few=True))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
