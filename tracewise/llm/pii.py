@@ -1,15 +1,16 @@
 """Personal data by fixed patterns and by a character-level tagger.
 
-The patterns give the base spans. The tagger, a bidirectional LSTM with CRF transitions, reads overlapping windows around
-every place where personal data may stand: it has no kind without a digit or an at-sign (a sign or the words "at" and
-"dot"), so text far from any of these is not personal data by definition. The windows of a text are reconciled
-globally: each character takes the tag of the window in which it lies deepest, and spans are read from the whole. A
-tagged span is added if it meets the kind's own rule and no base span overlaps it; base spans always stay.
+The patterns give the base spans. The tagger, a bidirectional LSTM with CRF transitions, reads every whole text in
+overlapping windows. The windows of a text are reconciled globally: a span is taken from the window in which its middle
+lies deepest, spans that windows cut are put together, and of spans that overlap the longest stays. What is at most as long
+as windows overlap lies whole in the window it is taken from. A tagged span is added if it meets the kind's own rule and no
+base span overlaps it; base spans always stay.
 
 Defined cases: null text counts as empty and has no spans. Positions are in code points, ends exclusive. Rows are
-independent, so repeated rows, null ids, ties and empty tables need no care; other columns pass through,
-but for one named as the output, which gives way. Texts are read
-whole; a task holds the windows of ``SLICE_WINDOWS`` at a time.
+independent, so repeated rows, null ids, ties and empty tables need no care; other columns pass through, whatever their
+names, but for one named as the output, which gives way. Texts are read whole, whatever their length; a task holds one
+text or ``SLICE_BYTES`` of several, and the scores of ``SLICE_WINDOWS`` windows. Windows that a task has read before, as
+in copies, are not read again.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.llm import tagger
-from tracewise.llm.common import table
+from tracewise.llm.batches import slices
+from tracewise.llm.common import free_name, table
 
 KINDS = tagger.KINDS
-#: Characters of a window, between the fronts of two, and around a place that may be personal data.
-WINDOW, STRIDE, AROUND = 96, 48, 40
-#: Windows that are decoded together.
-SLICE_WINDOWS = 512
+#: Characters of a window, between the fronts of two, and by which two may differ on where the middle of a span is.
+WINDOW, STRIDE, SLACK = 384, 256, 8
+#: Windows that are decoded together, bytes of text handled at once, and windows that a task remembers.
+SLICE_WINDOWS, SLICE_BYTES, KEPT_WINDOWS = 768, 1_000_000, 30_000
 
 # Runs are possessive and begin where a run begins: a run that fails as a whole fails from any later digit too.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -38,12 +40,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_PLACE = re.compile(r"[0-9@]|[\[(]at[\])]|\sat(?=\s(?:[A-Za-z0-9-]++|.{1,40})\sdot\s)", re.I)
-_TO_HOST = re.compile(r"\s?[A-Za-z0-9-]*+(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[A-Za-z0-9-]++)*+", re.I)
-_NAME, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
+_NAME, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++", r"[A-Za-z0-9-]++"
 _SPELLED = re.compile(
     rf"{_NAME}(?:@|\s?[\[(]at[\])]\s?){_LABEL}(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s){_LABEL})+|{_NAME}\sat\s{_LABEL}(?:\sdot\s{_LABEL})+", re.I
 )
+_BETWEEN = r"(?:\s?\.\s?|[\[(]\.[\])]|\s?[\[(]?dot[\])]?\s?|-dot-)"
+_SPELLED_IP = re.compile(rf"([0-9]{{1,3}}){_BETWEEN}([0-9]{{1,3}}){_BETWEEN}([0-9]{{1,3}}){_BETWEEN}([0-9]{{1,3}})", re.I)
 
 
 def _digits(text: str) -> str:
@@ -83,90 +85,113 @@ def fits(kind: str, text: str) -> bool:
     if kind == "email":
         return bool(_SPELLED.fullmatch(text))
     if kind == "ip":
-        parts = re.split(r"[^0-9]+", text)
-        return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
+        m = _SPELLED_IP.fullmatch(text)
+        return bool(m) and all(int(p) <= 255 for p in m.groups())
     if kind == "card":
-        return 12 <= len(digits) <= 19 and tagger.luhn(digits)
-    return 9 <= len(digits) <= 15 and bool(re.search(r"[() .+-]", text)) and not re.search(r"[^0-9() .+-]", text)
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Fronts and ends of overlapping windows over all regions around places that may be personal data."""
-    regions: list[list[int]] = []
-    for m in _PLACE.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if not m[0].isdigit():
-            # The whole name and host, however long; what an earlier region holds needs no second look.
-            front, read = m.start(), regions[-1][1] if regions else 0
-            front -= front > 0 and text[front - 1].isspace()
-            while front > read and text[front - 1] in _LOCAL:
-                front -= 1
-            a, b = min(a, front), max(b, _TO_HOST.match(text, m.end()).end())
-        if regions and a <= regions[-1][1]:
-            regions[-1][1] = max(regions[-1][1], b)
-        else:
-            regions.append([a, b])
-    return [(i, min(i + WINDOW, b)) for a, b in regions for i in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)]
-
-
-def reconciled(size: int, held: list[tuple[int, int]], tags: list[np.ndarray]) -> list[tuple[str, int, int]]:
-    """Spans of a whole text from its windows' tags: each character goes by the window in which it lies deepest."""
-    out = []
-    groups: list[list[int]] = []
-    for i, (a, _) in enumerate(held):
-        if groups and a < held[groups[-1][-1]][1]:
-            groups[-1].append(i)
-        else:
-            groups.append([i])
-    for group in groups:
-        front, end = held[group[0]][0], held[group[-1]][1]
-        depth, best = np.full(end - front, -1), np.zeros(end - front, np.int64)
-        for i in group:
-            a, b = held[i]
-            own = np.minimum(np.arange(a, b) - a + (size if a == front else 0), b - 1 - np.arange(a, b) + (size if b == end else 0))
-            part = slice(a - front, b - front)
-            deeper = own > depth[part]
-            depth[part] = np.where(deeper, own, depth[part])
-            best[part] = np.where(deeper, tags[i], best[part])
-        out += [(KINDS[k], a + front, b + front) for k, a, b in tagger.tagged_spans(best)]
-    return out
+        return 12 <= len(digits) <= 19 and tagger.luhn(digits) and not re.search(r"[^0-9\s./_-]", text)
+    return 9 <= len(digits) <= 15 and bool(re.search(r"[() ./+-]", text)) and not re.search(r"[^0-9() ./+-]", text)
+
+
+def windows(size: int) -> list[tuple[int, int]]:
+    """Fronts and ends of the overlapping windows over a text of ``size`` characters."""
+    return [(a, min(a + WINDOW, size)) for a in range(0, max(1, size - WINDOW + STRIDE), STRIDE)] if size else []
+
+
+def reconciled(held: list[tuple[int, int]], tags: list[np.ndarray | None]) -> list[tuple[str, int, int]]:
+    """Spans of a whole text from its windows' tags, in order.
+
+    Two windows change over in the middle of what both hold.
+    """
+    whole: list[tuple[int, int, int]] = []
+    cut: list[list] = []  # kind, start, end, whether cut at the end, whether the middle is the window's own
+    for i, (a, b) in enumerate(held):
+        if tags[i] is None:
+            continue
+        low = a if not i else (a + held[i - 1][1]) / 2
+        high = b if i + 1 == len(held) else (held[i + 1][0] + b) / 2
+        for kind, x, y in tagger.tagged_spans(tags[i]):
+            front, back, own = x == 0 and i > 0, y == b - a and i + 1 < len(held), low - SLACK <= a + (x + y) / 2 < high + SLACK
+            if front and cut and cut[-1][3] and cut[-1][0] == kind and cut[-1][2] > a:
+                cut[-1][2:] = [max(cut[-1][2], a + y), back, True]
+            elif front or back:
+                cut.append([kind, a + x, a + y, back, own])
+            elif own:
+                whole.append((kind, a + x, a + y))
+    out: list[tuple[int, int, int]] = []
+    for at, (kind, a, b) in enumerate(found := sorted(whole + [tuple(c[:3]) for c in cut if c[4]], key=lambda s: (s[1], -s[2]))):
+        # Runs of spans that overlap are short: they come from neighbouring windows.
+        if not at or a >= reach:
+            first, reach = at, b
+        reach = max(reach, b)
+        if at + 1 == len(found) or found[at + 1][1] >= reach:
+            kept: list[tuple[int, int, int]] = []
+            for s in sorted(found[first : at + 1], key=lambda s: (s[1] - s[2], s[1])):
+                if all(s[2] <= k[1] or k[2] <= s[1] for k in kept):
+                    kept.append(s)
+            out += sorted(kept, key=lambda s: s[1])
+    return [(KINDS[k], a, b) for k, a, b in out]
 
 
 def _added(text: str, base: list[tuple[str, int, int]], found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    free = [s for s in found if not any(s[1] < b and a < s[2] for _, a, b in base)] if len(base) * len(found) else found
-    good = []
-    for kind, a, b in free:
+    """The tagged spans that count. Both lists are in the order of their starts."""
+    good, at, reach = [], 0, 0
+    for kind, a, b in found:
         own = text[a:b]
         a, b = a + len(own) - len(own.lstrip()), b - len(own) + len(own.rstrip())
+        # Base spans that start before this one's end: it is free if none of them reaches into it.
+        while at < len(base) and base[at][1] < b:
+            reach, at = max(reach, base[at][2]), at + 1
+        if kind == "email" and (m := max(_SPELLED.finditer(text, a, b), key=lambda m: m.end() - m.start(), default=None)):
+            # Words in front of a name are tagged at times.
+            a, b = m.span()
         # A part of a longer number or word is nothing of its own.
         alone = not text[max(0, a - 1) : a].isalnum() and not text[b : b + 1].isalnum()
-        if b > a and alone and fits(kind, text[a:b]):
+        if b > a >= reach and alone and fits(kind, text[a:b]):
             good.append((kind, a, b))
     return good
 
 
-def _finding(weights, text_col: str):
+class Reader:
+    """The tagger over texts, with the tags of the windows it read last."""
+
+    def __init__(self, weights: tagger.Weights):
+        self.weights, self.seen = weights, {}
+
+    def tags(self, wanted: list[str]) -> list[np.ndarray | None]:
+        """The tags of each window; None where it has none."""
+        new = sorted(set(wanted).difference(self.seen), key=len)
+        if len(self.seen) + len(new) > KEPT_WINDOWS:
+            self.seen, new = {}, sorted(set(wanted), key=len)
+        for at in range(0, len(new), SLICE_WINDOWS):
+            part = new[at : at + SLICE_WINDOWS]
+            self.seen.update(zip(part, tagger.decode(self.weights, part), strict=True))
+        return [self.seen[w] for w in wanted]
+
+    def added(self, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+        """What the tagger adds to each text's base spans."""
+        held = [windows(len(t)) for t in texts]
+        tags, at, out = self.tags([t[a:b] for t, own in zip(texts, held, strict=True) for a, b in own]), 0, []
+        for text, spans, own in zip(texts, base, held, strict=True):
+            part = tags[at : at + len(own)]
+            at += len(own)
+            out.append(_added(text, spans, reconciled(own, part)) if any(x is not None for x in part) else [])
+        return out
+
+
+_ROW = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
+
+
+def _finding(weights, text_col: str, out_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            spans: list[list[tuple[str, int, int]]] = [base_spans(t) for t in texts]
-            held = [windows(t) for t in texts]
-            flat = [(i, a, b) for i, w in enumerate(held) for a, b in w]
-            order = sorted(range(len(flat)), key=lambda j: flat[j][2] - flat[j][1])
-            tags: list = [None] * len(flat)
-            for at in range(0, len(order), SLICE_WINDOWS):
-                part = order[at : at + SLICE_WINDOWS]
-                for j, own in zip(part, tagger.decode(weights.value, [texts[flat[j][0]][flat[j][1] : flat[j][2]] for j in part]), strict=True):
-                    tags[j] = own.astype(np.int8)
-            at = 0
-            for i, own in enumerate(held):
-                if own:
-                    found = reconciled(len(texts[i]), own, tags[at : at + len(own)])
-                    spans[i] = sorted([(*s, True) for s in spans[i]] + [(*s, False) for s in _added(texts[i], spans[i], found)], key=lambda s: (s[1], KINDS.index(s[0])))
-                at += len(own)
-            made = [[{"kind": s[0], "start": s[1], "end": s[2], "base": s[3] if len(s) > 3 else True} for s in own] for own in spans]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, "__spans"])
+        reader = Reader(weights.value)
+        for batch, texts in slices(batches, text_col, SLICE_BYTES):
+            texts = [t or "" for t in texts]
+            base = [base_spans(t) for t in texts]
+            rows = []
+            for own, more in zip(base, reader.added(texts, base), strict=True):
+                spans = sorted([(*s, True) for s in own] + [(*s, False) for s in more], key=lambda s: (s[1], KINDS.index(s[0])))
+                rows.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in spans])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(_ROW))], names=[*batch.schema.names, out_col])
 
     return run
 
@@ -177,11 +202,12 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def find(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
     """``docs`` plus each text's spans, by start, then kind: ``kind, start, end`` and whether a pattern found it.
 
-    The tagger is trained on the driver from a bounded set of labelled texts, and broadcast: a few thousand numbers.
+    The tagger's weights, a few thousand numbers, are read on the driver and broadcast.
     """
-    weights, docs = docs.sparkSession.sparkContext.broadcast(tagger.train()), docs.drop(out_col)
-    found = docs.mapInArrow(_finding(weights, text_col), T.StructType([*docs.schema.fields, T.StructField("__spans", SPANS)]))
-    return found.withColumnRenamed("__spans", out_col)
+    weights, docs = docs.sparkSession.sparkContext.broadcast(tagger.load()), docs.drop(out_col)
+    made = free_name("__spans", docs.columns)
+    found = docs.mapInArrow(_finding(weights, text_col, made), T.StructType([*docs.schema.fields, T.StructField(made, SPANS)]))
+    return found.withColumnRenamed(made, out_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", out_col: str = "redacted") -> DataFrame:

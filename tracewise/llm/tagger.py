@@ -1,21 +1,30 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy, and the labelled spans it learns from."""
+"""A character-level bidirectional LSTM with CRF transitions, in numpy, and the labelled spans it learns from.
+
+``load`` gives the weights that ``train`` made, kept beside this module under a key of all that training depends on;
+``python -m tracewise.llm.tagger`` makes them anew. Where the key does not fit, as after a change of the examples,
+``load`` trains.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import os
 import string
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
 #: Outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-EMBED, HIDDEN, LENGTH = 12, 20, 80
+EMBED, HIDDEN, LENGTH = 12, 20, 128
 #: Bounds of training: labelled texts, passes over them, texts in a batch, and the seed of all that is random.
-EXAMPLES, PASSES, BATCH, SEED, RATE = 4000, 8, 48, 7, 0.02
+EXAMPLES, PASSES, BATCH, SEED, RATE = 6000, 10, 48, 7, 0.02
+#: Where the trained weights are kept.
+STORED = os.path.join(os.path.dirname(__file__), "tagger_weights.npz")
 
-_MARKS = "@.-_+%()[]:/ ,\n\"'="
+_MARKS = "@.-_+%()[]:/ ,\n\"'=#"
 _PLACE = {c: i + 4 for i, c in enumerate(string.ascii_lowercase + _MARKS)}
 ALPHABET = 4 + len(_PLACE)
 
@@ -57,66 +66,109 @@ def _digits(rng, n: int) -> str:
     return "".join(map(str, rng.integers(0, 10, n)))
 
 
+def _of(rng, choices):
+    return choices[rng.integers(0, len(choices))]
+
+
 def _word(rng, low: int = 1, high: int = 9, letters: str = string.ascii_lowercase) -> str:
     return "".join(rng.choice(list(letters), rng.integers(low, high + 1)))
 
 
+_HEADS, _HEARTS, _TAILS = "b c d f g h j k l m n p r s t v w st th ch pl".split() + [""], "a e i o u ou ea io é ñ ü".split(), "n r s t l nd ng st".split() + ["", "", ""]
+
+
+# Some of the most common words of four languages, which prose is full of.
+_COMMON = (
+    "the of and to a in is it that for on with as at by from this be are was or an not he she they we you i have has had do did go goes went then there here when while word words what who how why all some any one two "
+    "no yes if so but up out about into over after before again more most other new old long little own same know think take see come could would should will can may might must made make place work year day time way "
+    "call me mail ask send write number phone card please contact reach le la les un une de des du et est que qui dans pour pas sur avec au aux ce cette il elle nous vous el los las uno del y en por con para se lo su como más "
+    "der die das ein eine und ist nicht mit auf für von zu den dem sie wir ich es auch als bei nach"
+).split()
+
+
+def _spoken(rng) -> str:
+    """A common word, or a made-up one of one to four syllables."""
+    if rng.random() < 0.55:
+        return _of(rng, _COMMON)
+    return "".join(_of(rng, _HEADS) + _of(rng, _HEARTS) + _of(rng, _TAILS) for _ in range(rng.integers(1, 5)))
+
+
+def _ascii(text: str) -> str:
+    return "".join(c for c in text if c in string.ascii_lowercase) or "x"
+
+
+def _plain(rng) -> str:
+    """A name or label in ASCII letters."""
+    return _word(rng, 2, 9) if rng.random() < 0.5 else _ascii(_spoken(rng)) + _of(rng, ["", "a", "e", "o"])
+
+
 def _email(rng) -> str:
-    name = _word(rng, 2, 9) + rng.choice(["", "." + _word(rng, 2, 7), "_" + _word(rng, 2, 7), _digits(rng, 2), "." + _digits(rng, 2)])
-    host = [_word(rng, 2, 9) + rng.choice(["", _digits(rng, 1)]), *([_word(rng, 3, 8)] if rng.random() < 0.4 else []), str(rng.choice(["com", "org", "net", "de", "fr", "io"]))]
-    at, dot = [("@", "."), ("@", "."), ("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", ".")][rng.integers(0, 7)]
-    return name + at + dot.join(host)
+    name = _plain(rng) + _of(rng, ["", "", "." + _plain(rng), "_" + _plain(rng), "-" + _plain(rng), _digits(rng, 2), "." + _digits(rng, 2)])
+    at, dot = _of(rng, [("@", "."), ("@", "."), (" at ", " dot "), (" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" [at] ", "."), ("[at]", "."), ("\tat\t", "\tdot\t"), (" at\n", " dot ")])
+    most = 10 if rng.random() < 0.15 else 2
+    host = [_plain(rng) + _of(rng, ["", "", _digits(rng, 1)]) for _ in range(rng.integers(1, most + 1))]
+    whole = name + at + dot.join([*host, _of(rng, ["com", "org", "net", "edu", "de", "fr", "es", "io", "info", _word(rng, 2, 4)])])
+    return _of(rng, [whole, whole, whole, whole.upper()])
 
 
 def _ip(rng) -> str:
-    return ".".join(str(x) for x in rng.integers(0, 256, 4))
+    parts = [str(rng.integers(0, 256) if rng.random() < 0.8 else _of(rng, [0, 1, 10, 127, 192, 255])) for _ in range(4)]
+    return _of(rng, [".", ".", "[.]", "(.)", " . ", " dot ", "[dot]", "-dot-"]).join(parts)
 
 
 def _card(rng) -> str:
-    head = str(rng.integers(3, 7)) + _digits(rng, int(rng.choice([14, 14, 14, 13, 12])))
+    head = _of(rng, "3456") + _digits(rng, int(_of(rng, [14, 14, 14, 13, 12, 11])))
     digits = next(head + c for c in string.digits if luhn(head + c))
-    gap = str(rng.choice(["", "", " ", "-", "."]))
-    return gap.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    gap = _of(rng, ["", " ", "-", ".", "_", "/", "  ", " - "])
+    sizes = (4, 6, 5) if len(digits) == 15 else (4, 4, 4, 4)
+    ends = np.cumsum((0, *sizes)).tolist()
+    return gap.join(x for a, b in zip(ends, ends[1:], strict=False) if (x := digits[a:b]))
 
 
 def _phone(rng) -> str:
-    a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-    forms = [f"+{rng.integers(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{rng.integers(1, 99)} {a} {b} {c}", f"+{rng.integers(1, 99)}{a}{b}{c}", f"({a}) {b} {c}"]
-    return str(rng.choice(forms))
+    a, b, c, d = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4), _digits(rng, 2)
+    country, area = str(rng.integers(1, 99)), "0" + _digits(rng, int(rng.integers(2, 4)))
+    forms = [
+        f"+{country} ({a}) {b}-{c}", f"+{country} {a} {b} {c}", f"+{country}{a}{b}{c}", f"+{country}-{a}-{b}-{c}", f"+{country} {a} {b}{c}",
+        f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"({a}){b}-{c}", f"({a}) {b}.{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"1-{a}-{b}-{c}", f"1 ({a}) {b}-{c}",
+        f"00{country} {a} {b} {c}", f"{area}/{b}{c}", f"{area} {b} {c}", f"{area} {d} {d} {d} {c[:2]}", f"{area}-{b}{c}", f"({area}) {b} {c}", f"({area}) {b}{c}",
+    ]
+    return _of(rng, forms)
 
 
 def _other(rng) -> str:
     """What looks a little like personal data and is none."""
-    hexed = "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 40)))
+    hexed = _word(rng, 12, 40, "0123456789abcdef")
+    month = _of(rng, ["May", "June", "Jan", "mars", "abril"])
     forms = [
-        _digits(rng, int(rng.integers(1, 8))), f"{rng.integers(0, 20)}.{rng.integers(0, 20)}", f"{rng.integers(0, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}",
-        f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}", f"{rng.integers(0, 24)}:{rng.integers(0, 60):02}", f"${rng.integers(1, 999)},{_digits(rng, 3)}",
-        f'token = "{hexed}"', f"password={hexed}", hexed, "at", "dot", f"{_word(rng)} at {_word(rng)}", f"@{_word(rng)}", f"AKIA{_word(rng, 16, 16, string.ascii_uppercase + string.digits)}", f"#{_digits(rng, 5)}",
-        f"https://{_word(rng)}.com/{_word(rng)}/{_digits(rng, 3)}",
+        _digits(rng, int(rng.integers(1, 8))), _digits(rng, int(rng.integers(8, 22))), f"{rng.integers(0, 20)}.{rng.integers(0, 20)}", f"{rng.integers(0, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}",
+        f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}", f"{rng.integers(1, 29)}.{rng.integers(1, 13)}.{rng.integers(1900, 2100)}", f"{rng.integers(1, 13)}/{rng.integers(1, 29)}/{rng.integers(1900, 2100)}",
+        f"{rng.integers(1, 29)} {month} {rng.integers(1900, 2100)}", f"{rng.integers(0, 24)}:{rng.integers(0, 60):02}", f"{rng.integers(0, 24)}:{rng.integers(0, 60):02}:{rng.integers(0, 60):02}",
+        f"${rng.integers(1, 999)},{_digits(rng, 3)}", f"{_digits(rng, 3)}.{_digits(rng, 6)}", f"{rng.integers(10, 99)}-{rng.integers(100, 200)}", f"({rng.integers(1, 99)})", f"[{rng.integers(1, 99)}]", f"978-{_digits(rng, 1)}-{_digits(rng, 4)}-{_digits(rng, 4)}-{_digits(rng, 1)}",
+        f'token = "{hexed}"', f"password={hexed}", f"secret: {_word(rng, 8, 20)}", hexed, "at", "dot", f"{_spoken(rng)} at {_spoken(rng)}", f"{_spoken(rng)} at {_spoken(rng)} {_spoken(rng)}", f"at the {_spoken(rng)} dot", f"dot {_spoken(rng)}", f"{_spoken(rng)} (at) {_spoken(rng)}", f"@{_plain(rng)}", f"{_plain(rng)}@", f"AKIA{_word(rng, 16, 16, string.ascii_uppercase + string.digits)}",
+        f"#{_digits(rng, 5)}", f"No. {_digits(rng, 6)}", f"https://{_plain(rng)}.com/{_plain(rng)}/{_digits(rng, 3)}", f"{_plain(rng)}.{_plain(rng)}()", f"{_plain(rng)}[{rng.integers(0, 9)}]", " ".join(str(x) for x in rng.integers(0, 99, 5)), ", ".join(str(x) for x in rng.integers(0, 999, 4)),
     ]
-    return forms[rng.integers(0, len(forms))]
+    return _of(rng, forms)
 
 
 def example(rng) -> tuple[str, np.ndarray]:
-    """A text of ``LENGTH`` characters at most, and the tag of each."""
+    """A text of ``LENGTH`` characters at most, and the tag of each. A span cut at the front goes on as the inside of one."""
     makers = {"email": _email, "ip": _ip, "card": _card, "phone": _phone}
+    rich, cut_at = rng.random() < 0.6, int(rng.integers(0, 24))
     text, tags = "", []
-    while len(text) < LENGTH:
+    while len(text) < LENGTH + cut_at:
         roll = rng.random()
-        if roll < 0.16:
-            kind = KINDS[rng.integers(0, len(KINDS))]
+        if roll < (0.16 if rich else 0.02):
+            kind = _of(rng, KINDS)
             piece = makers[kind](rng)
             own = [1 + 2 * KINDS.index(kind)] + [2 + 2 * KINDS.index(kind)] * (len(piece) - 1)
         else:
-            piece = _other(rng) if roll < 0.3 else _word(rng, letters=string.ascii_lowercase + "éèñüöß") + str(rng.choice(["", "", "", ",", ".", "!!"]))
-            piece = rng.choice([piece, piece, piece.capitalize(), piece.upper()])
+            piece = _other(rng) if roll < (0.3 if rich else 0.1) else _spoken(rng) + _of(rng, ["", "", "", "", ",", ".", "!!", "###", "$$$", ";", "?"])
+            piece = _of(rng, [piece, piece, piece, piece.capitalize(), piece.upper()])
             own = [0] * len(piece)
-        gap = str(rng.choice([" ", " ", " ", " ", "\n", ": "]))
+        gap = _of(rng, [" ", " ", " ", " ", " ", " ", " ", " ", "\n", ": ", ", ", ". "])
         text, tags = text + piece + gap, tags + own + [0] * len(gap)
-    cut_at = int(rng.integers(0, 12))
-    text, tags = text[cut_at : cut_at + LENGTH], np.array(tags[cut_at : cut_at + LENGTH])
-    # A span cut at the front goes on as the inside of one.
-    return text, tags
+    return text[cut_at : cut_at + LENGTH], np.array(tags[cut_at : cut_at + LENGTH])
 
 
 # Network -------------------------------------------------------------------------------------------------------------
@@ -126,11 +178,17 @@ def example(rng) -> tuple[str, np.ndarray]:
 class Weights:
     """Parameters by name."""
 
-    held: dict[str, np.ndarray]
+    held: dict[str, np.ndarray] = field(hash=False)
 
     def __getitem__(self, name: str) -> np.ndarray:
         return self.held[name]
 
+    @cached_property
+    def fused(self) -> dict[str, np.ndarray]:
+        """Per direction one matrix over (state, embedding, 1), halved where a gate is a sigmoid: (1 + tanh(x / 2)) / 2."""
+        half = np.r_[np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)
+        return {side: np.ascontiguousarray((np.vstack([self[f"h{side}"], self[f"x{side}"], self[f"c{side}"]]) * half).T, np.float32) for side in "fb"}
+
 
 def _fresh(rng) -> dict[str, np.ndarray]:
     scale = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
@@ -167,7 +225,7 @@ def _lstm(w, side: str, symbols: np.ndarray, keep: bool) -> tuple[np.ndarray, li
 
 
 def _lstm_back(w, side: str, symbols: np.ndarray, past: list, from_out: np.ndarray, grads: dict) -> None:
-    dh = dc = np.zeros((symbols.shape[1], HIDDEN))
+    dh = dc = np.zeros((symbols.shape[1], HIDDEN), from_out.dtype)
     table = np.zeros((ALPHABET, 4 * HIDDEN))
     for t, h, before, i, f, o, new, squashed in reversed(past):
         real = (symbols[t] > 0)[:, None]
@@ -222,13 +280,12 @@ def _step(w: dict, symbols: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
     return float(whole.sum() - gold) / batch, {k: v / batch for k, v in grads.items()}
 
 
-@lru_cache(maxsize=2)
 def train(examples: int = EXAMPLES, passes: int = PASSES, seed: int = SEED) -> Weights:
     """Weights learned from made-up labelled texts; the same for the same arguments."""
     rng = np.random.default_rng(seed)
-    made = [x for x in (example(rng) for _ in range(examples)) if len(x[0]) == LENGTH]
+    made = [example(rng) for _ in range(examples)]
     symbols, tags = np.stack([encode(t) for t, _ in made], 1), np.stack([g for _, g in made], 1)
-    w = _fresh(rng)
+    w = {k: v.astype(np.float32) for k, v in _fresh(rng).items()}
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     turn, turns = 0, passes * (len(made) // BATCH)
     for _ in range(passes):
@@ -239,36 +296,114 @@ def train(examples: int = EXAMPLES, passes: int = PASSES, seed: int = SEED) -> W
             size = np.sqrt(sum((g**2).sum() for g in grads.values()))
             turn += 1
             for k, g in grads.items():
-                g = g * min(1, 5 / size)
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g**2 - square[k])
-                w[k] -= RATE * (1 - 0.9 * turn / turns) * (mean[k] / (1 - 0.9**turn)) / (np.sqrt(square[k] / (1 - 0.99**turn)) + 1e-8)
-    return Weights({k: v.astype(np.float32) for k, v in w.items()})
-
-
-def decode(w: Weights, windows: list[str]) -> list[np.ndarray]:
-    """The best tags of each window, by Viterbi over the CRF's transitions. Windows of one call are padded to the longest."""
-    longest = max(map(len, windows), default=0)
-    symbols = np.zeros((longest, len(windows)), np.int64)
-    for i, text in enumerate(windows):
-        symbols[: len(text), i] = encode(text)
-    if not longest:
-        return [np.zeros(0, np.int64) for _ in windows]
-    score = _emissions(w, symbols)[0]
-    best, came = score[0] + w["first"], np.zeros((longest, len(windows), TAGS), np.int8)
-    stay = np.arange(TAGS, dtype=np.int8)
+                g = (g * min(1, 5 / size)).astype(np.float32)
+                mean[k] += np.float32(0.1) * (g - mean[k])
+                square[k] += np.float32(0.01) * (g**2 - square[k])
+                rate = np.float32(RATE * (1 - 0.95 * turn / turns) / (1 - 0.9**turn))
+                w[k] -= rate * mean[k] / (np.sqrt(square[k] / np.float32(1 - 0.99**turn)) + np.float32(1e-8))
+    return Weights(w)
+
+
+def key() -> str:
+    """A digest of what training depends on: its bounds, the network's sizes, and examples of another seed."""
+    rng = np.random.default_rng(SEED + 1)
+    seen = [(text, tags.tolist()) for text, tags in (example(rng) for _ in range(50))]
+    return hashlib.sha256(repr((EMBED, HIDDEN, LENGTH, ALPHABET, EXAMPLES, PASSES, BATCH, SEED, RATE, seen)).encode()).hexdigest()
+
+
+@lru_cache(maxsize=1)
+def load(path: str = STORED) -> Weights:
+    """The stored weights if they are those of ``train()``, else trained now."""
+    if os.path.exists(path):
+        with np.load(path) as held:
+            if str(held["key"]) == key():
+                return Weights({k: held[k] for k in held.files if k != "key"})
+    return train()
+
+
+def _scores(w: Weights, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Emissions (time, tag, window). Windows stand longest first; what is computed at a time are those that reach it."""
+    longest, count = symbols.shape
+    alive = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
+    embed = np.ascontiguousarray(w["embed"].T, np.float32)
+    score = np.zeros((longest, TAGS, count), np.float32)
+    for side, out in (("f", w["out"][:HIDDEN]), ("b", w["out"][HIDDEN:])):
+        out, matrix = np.ascontiguousarray(out.T, np.float32), w.fused[side]
+        held, cell = np.zeros((HIDDEN + EMBED + 1, count), np.float32), np.zeros((HIDDEN, count), np.float32)
+        held[-1] = 1
+        for t in range(longest) if side == "f" else range(longest - 1, -1, -1):
+            n = int(alive[t])
+            held[HIDDEN:-1, :n] = np.take(embed, symbols[t, :n], axis=1)
+            z = matrix @ held[:, :n]
+            np.tanh(z, out=z)
+            gates = z[: 3 * HIDDEN]
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            c = cell[:, :n]
+            c *= gates[HIDDEN : 2 * HIDDEN]
+            z[3 * HIDDEN :] *= gates[:HIDDEN]
+            c += z[3 * HIDDEN :]
+            np.multiply(np.tanh(c), gates[2 * HIDDEN :], out=held[:HIDDEN, :n])
+            if side == "f":
+                np.add(out @ held[:HIDDEN, :n], w["bias"][:, None], out=score[t, :, :n])
+            else:
+                score[t, :, :n] += out @ held[:HIDDEN, :n]
+    return score
+
+
+def _may_tag(w: Weights, score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Windows whose best path may hold a tag. In the others no tag anywhere earns what it and the moves around it cost.
+
+    Against the path without tags, a tag gains its emission and the best move into it, and each stretch of tags the best
+    move out of it. If every place loses more than that, so does every path with tags.
+    """
+    stay = w["move"][0, 0]
+    into = w["move"].max(0)[1:] - stay
+    begin = np.maximum(into, w["first"][1:] - w["first"][0])
+    out = max(0.0, float(w["move"][1:, 0].max() - stay))
+    gain = (score[:, 1:] + begin[None, :, None]).max(1) - score[:, 0] + np.float32(out)
+    gain[np.arange(len(gain))[:, None] >= sizes[None, :]] = -np.inf
+    return gain.max(0) >= 0
+
+
+def _viterbi(w: Weights, score: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The best tags (time, window) by the CRF's transitions."""
+    longest, _, count = score.shape
+    move = w["move"].astype(np.float32)[:, :, None]
+    best, came = score[0] + w["first"][:, None].astype(np.float32), np.zeros((longest, TAGS, count), np.int8)
+    stay = np.arange(TAGS, dtype=np.int8)[:, None]
     for t in range(1, longest):
-        ways = best[:, :, None] + w["move"]
-        came[t] = ways.argmax(1)
-        real = (symbols[t] > 0)[:, None]
-        came[t] = np.where(real, came[t], stay)
-        best = np.where(real, ways.max(1) + score[t], best)
-    tags = np.zeros((longest, len(windows)), np.int64)
-    tags[-1] = best.argmax(1)
-    each = np.arange(len(windows))
+        ways = best[:, None, :] + move
+        real = (sizes > t)[None, :]
+        came[t] = np.where(real, ways.argmax(0), stay)
+        best = np.where(real, ways.max(0) + score[t], best)
+    tags, each = np.zeros((longest, count), np.int8), np.arange(count)
+    tags[-1] = best.argmax(0)
     for t in range(longest - 1, 0, -1):
-        tags[t - 1] = came[t][each, tags[t]]
-    return [tags[: len(text), i] for i, text in enumerate(windows)]
+        tags[t - 1] = came[t][tags[t], each]
+    return tags
+
+
+def decode(w: Weights, windows: list[str]) -> list[np.ndarray | None]:
+    """The best tags of each window; None where none of its characters is tagged."""
+    sizes = np.fromiter(map(len, windows), np.int64, len(windows))
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    found: list[np.ndarray | None] = [None] * len(windows)
+    if not len(order):
+        return found
+    sizes = sizes[order]
+    symbols = np.zeros((len(order), int(sizes[0])), np.uint8)
+    symbols[np.arange(symbols.shape[1])[None, :] < sizes[:, None]] = encode("".join([windows[i] for i in order]))
+    score = _scores(w, np.ascontiguousarray(symbols.T), sizes)
+    some = np.flatnonzero(_may_tag(w, score, sizes))
+    if len(some):
+        tags = _viterbi(w, np.ascontiguousarray(score[:, :, some]), sizes[some])
+        for i, own in zip(some.tolist(), tags.T, strict=True):
+            own = own[: sizes[i]]
+            if own.any():
+                found[order[i]] = own.copy()
+    return found
 
 
 def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -284,3 +419,7 @@ def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
         out.append((int(kind), at, end))
         at = end
     return out
+
+
+if __name__ == "__main__":
+    np.savez(STORED, key=key(), **train().held)
