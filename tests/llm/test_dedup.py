@@ -163,6 +163,58 @@ def test_lines_survive_the_deletion_of_a_line_with_the_same_mark(spark, gone, mo
     assert all(not np.any(t) for r in index._filters().collect() for t in line_dedup.CuckooFilter.load(r.content).tables)
 
 
+@pytest.mark.parametrize("alike", [1, 7, 10**9])
+def test_any_order_of_insertions_and_deletions_is_brute_force(spark, alike, monkeypatch):
+    """Marks collide for all lines (1), for many (7), or for none; shards grow; the index is opened anew each time."""
+    monkeypatch.setattr(line_dedup, "MIN_SHARDS", 1)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 12)
+    key = lambda line: np.array([n := int(line.split()[-1]), ((n * 7919) << 20) + n % alike], "<i8").tobytes()
+    plain = line_dedup.line_key
+    keyed = lambda docs, *_: spark.createDataFrame([(*np.frombuffer(key(x), "<i8").tolist(), r.doc_id) for r in docs.collect() for x in set(r.text.split("\n"))], "k1 long, k2 long, id long")
+    if alike < 100:
+        monkeypatch.setattr(line_dedup, "references", keyed)
+        monkeypatch.setattr(line_dedup, "line_key", lambda line: key(line.decode()))
+    rng, index = np.random.default_rng(alike), line_dedup.LineIndex(spark)
+    texts = {i: "\n".join(f"a line with number {n}" for n in rng.integers(0, 40, 6)) for i in range(24)}
+    make = lambda ids: spark.createDataFrame([(int(i), texts[i]) for i in ids], "doc_id long, text string").coalesce(1)
+    held: set[int] = set()
+    for turn in range(5):
+        index = line_dedup.LineIndex(spark, index.folder)
+        assert index.version == turn
+        if turn in (1, 3):
+            gone = set(rng.choice(sorted(held), 4 if turn == 1 else len(held) - 1, replace=False).tolist())
+            index.delete(make(sorted(gone)).select("doc_id"))
+            held -= gone
+        else:
+            new = sorted(set(range(24)) - held)[: 9 if turn < 4 else 24]
+            told = {(r.k1, r.k2): (r.n_docs, r.first_id) for r in index.insert(make(new)).collect()}
+            held |= set(new)
+            mine = {line_dedup.line_key(x.encode()) for i in new for x in texts[i].split("\n")}
+            want = {}
+            for x in mine:
+                ids = [i for i in held if x in {line_dedup.line_key(y.encode()) for y in texts[i].split("\n")}]
+                if len(ids) > 1:
+                    want[tuple(np.frombuffer(x, "<i8").tolist())] = (len(ids), min(ids))
+            assert told == want
+        rows = [(i, texts[i]) for i in sorted(held)]
+        found = index.apply(make(sorted(held))).select("doc_id", "n_lines", "n_dropped", "kept")
+        if plain is line_dedup.line_key:
+            assert rows_of(found) == brute_lines(rows)
+        else:
+            assert sum(r.n_lines for r in found.collect()) == 6 * len(held)
+        live = {x for i in held for x in map(line_dedup.line_key, texts[i].encode().split(b"\n"))}
+        filters = [line_dedup.CuckooFilter.load(r.content) for r in index._filters().collect()]
+        assert sum(np.count_nonzero(t) for f in filters for t in f.tables) == len(live)
+    assert index.shards > 1
+
+
+def test_the_query_consults_the_filters(spark, tmp_path, docs):
+    docs.drop("lang").write.parquet(str(tmp_path / "documents.parquet"))
+    found = line_dedup.query(spark, str(tmp_path)).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(map(tuple, found), key=repr) == sorted(((i, n, d, sha(t)) for i, n, d, t in brute_lines(awkward_rows())), key=repr)
+
+
 def plain_fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     held = re.findall(r"[^\x20\x09-\x0D]+", low)
