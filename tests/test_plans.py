@@ -49,6 +49,9 @@ def test_manifests_inherit(tmp_path):
         derived.write_text(yaml.safe_dump(bad))
         with pytest.raises(specs.SpecError):
             specs.load_manifest(derived)
+    derived.write_text(yaml.safe_dump({"base": "derived.yaml", "run_id_suffix": "-m"}))
+    with pytest.raises(specs.SpecError, match="circle"):
+        specs.load_manifest(derived)
     derived.write_text("- 1")
     with pytest.raises(specs.SpecError):
         specs.load_config(derived)
@@ -73,7 +76,9 @@ def test_sessions(tmp_path, monkeypatch):
         monkeypatch.delenv(name, raising=False)
     with pytest.raises(session.DataRootMissing):
         session.data_root(saved=saved)
+    (tmp_path / "env").write_text("# paths\nexport DATA_ROOT='/dotenv'\nOTHER = 1\n")
     saved.write_text("data_root: /saved")
+    assert session.data_root(saved=saved, env_file=tmp_path / "env") == "/dotenv" and session.dotenv(tmp_path / "env")["OTHER"] == "1"
     assert session.data_root(saved=saved) == "/saved" and session.derivatives_root(saved=saved) == "/saved/derivatives"
     monkeypatch.setenv("DATA_ROOT", "/env")
     assert session.data_root(saved=saved) == "/env" and session.data_root("/given") == "/given"
@@ -111,6 +116,15 @@ def test_recipes_are_replayed(spark, tmp_path):
         held.get_or_compute("x", lambda: None)
 
 
+@pytest.mark.parametrize(("slow", "large", "want"), [(True, True, store.STORED), (False, True, store.RECIPE), (False, False, store.STORED), (True, False, store.STORED)])
+def test_what_took_long_is_stored_however_large(spark, tmp_path, slow, large, want):
+    held = store.Store(spark, str(tmp_path), store.Policy(compute_seconds=0.0 if slow else 1e6, size_bytes=1 if large else 1 << 40))
+    key, made = held.get_or_compute("n", numbers, parameters={"n": 1000})
+    record = held.record(key)
+    assert record.representation == want and record.compute_seconds > 0 and record.size_bytes > 1
+    assert made.count() == 1000 and spark.read.parquet(f"{tmp_path}/{key}/data").count() == (1000 if want == store.STORED else 0)
+
+
 @pytest.mark.parametrize(
     ("seconds", "size", "kind", "want"),
     [
@@ -217,6 +231,7 @@ def converted(spark, tmp_path_factory):
 def test_conversion(spark, converted):
     manifest = T.read_manifest(spark, converted)
     assert manifest["row_counts"]["traces_task_axons"] == 2 * 3 * 6 and manifest["row_counts"]["trials_task_axons"] == 2 * 6
+    assert len(manifest["sha256"]) == 6 and all(len(v) == 64 for v in manifest["sha256"].values())
     held = T.read_converted(spark, converted)
     rows = held["traces_task_axons"].orderBy("row_ord").collect()
     assert [(r.id, r.roi, r.trial) for r in rows[:7]] == [("a_FOV1", "1", str(t)) for t in range(6)] + [("a_FOV1", "2", "0")]

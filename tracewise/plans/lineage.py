@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's ``spark.checkpoint.dir`` and read back; where that is unset, to a folder of our own."""
+    """``df`` written to the cluster's ``spark.checkpoint.dir`` and read back.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster it is an error, as a folder of one machine is
+    lost with it and not seen by others.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewise-"))
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="tracewise-"))
     return df.checkpoint(eager=True)

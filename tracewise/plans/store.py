@@ -17,6 +17,7 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 STORED, RECIPE = "materialized", "mutation_record"
 GIB = 1 << 30
@@ -49,15 +50,18 @@ class Policy:
 
     @staticmethod
     def read(data: Mapping[str, Any]) -> Policy:
-        held: dict[str, Any] = {}
-        if "compute_seconds_threshold" in data:
-            held["compute_seconds"] = float(data["compute_seconds_threshold"])
-        if "size_gib_threshold" in data:
-            held["size_bytes"] = int(float(data["size_gib_threshold"]) * GIB)
-        elif "size_bytes_threshold" in data:
-            held["size_bytes"] = int(data["size_bytes_threshold"])
-        held |= {k: frozenset(data[f"{k}_materialize_kinds"]) for k in ("always", "never") if f"{k}_materialize_kinds" in data}
-        return Policy(**held)
+        """From the settings of a policy file; a size in GiB goes before one in bytes."""
+        return Policy(**{name: make(data[setting]) for setting, (name, make) in SETTINGS.items() if setting in data})
+
+
+# How policy files call the settings. Later ones go before earlier ones of the same name.
+SETTINGS: dict[str, tuple[str, Callable[[Any], Any]]] = {
+    "compute_seconds_threshold": ("compute_seconds", float),
+    "size_bytes_threshold": ("size_bytes", int),
+    "size_gib_threshold": ("size_bytes", lambda gib: int(float(gib) * GIB)),
+    "always_materialize_kinds": ("always", frozenset),
+    "never_materialize_kinds": ("never", frozenset),
+}
 
 
 def name_of(function: Callable) -> str:
@@ -98,9 +102,9 @@ class Record:
     note: str = ""
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of a DataFrame by the optimizer's estimate; nothing runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files below a folder."""
+    return int(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0)
 
 
 class Store:
@@ -141,24 +145,25 @@ class Store:
     ) -> tuple[str, DataFrame]:
         """(key, artifact), made and noted if it isn't there.
 
-        A result whose estimate is below the policy's size is written, and the time of that counts as its cost; a larger one
-        is only noted, unless its kind is always written.
+        A result is written, and the policy decides by the time that took and by its size whether it stays: what took long
+        stays however large it is, and what is large but cheap gives way to its recipe. Results of kinds that are never
+        stored are not made at all.
         """
         parameters = dict(parameters or {})
         key = self.key(name, function, parameters, inputs)
         if not force and self.record(key) is not None:
             return key, self.resolve(key)
-        made = function(*[self.resolve(k) for k in inputs], **parameters)
-        size = estimated_bytes(made)
-        representation, reason = self.policy.decide(0.0, size, kind)
-        seconds = None
-        if representation == STORED:
-            began = time.perf_counter()
-            made.write.mode("overwrite").parquet(f"{self.root}/{key}/data")
-            seconds = time.perf_counter() - began
-            if reason == "cheap_and_small":
-                _, reason = self.policy.decide(seconds, None, kind)
-        self._note(Record(key, name_of(function), parameters, tuple(inputs), kind, representation, reason, seconds, size, note))
+        called, seconds, size = name_of(function), None, None
+        if kind not in self.policy.never:
+            path, began = f"{self.root}/{key}/data", time.perf_counter()
+            made = function(*[self.resolve(k) for k in inputs], **parameters)
+            made.write.mode("overwrite").parquet(path)
+            seconds, size = time.perf_counter() - began, written_bytes(self.spark, path)
+        representation, reason = self.policy.decide(seconds, size, kind)
+        if representation == RECIPE and size is not None:
+            # The files make room for an empty table of the same columns.
+            self.spark.createDataFrame([], made.schema).coalesce(1).write.mode("overwrite").parquet(path)
+        self._note(Record(key, called, parameters, tuple(inputs), kind, representation, reason, seconds, size, note))
         return key, self.resolve(key)
 
     def lineage(self, key: str) -> list[Record]:

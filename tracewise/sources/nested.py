@@ -97,4 +97,4 @@ def convert_all(spark: SparkSession, source: str, dest: str) -> dict[str, str]:
         tables[f"traces_{name}"], tables[f"behavior_{name}"] = flatten_series(read_nested(spark, source, name, SERIES), name)
     for name in COHORTS:
         tables[f"behavior_{name}"] = stringified(flatten_behavior(read_nested(spark, source, f"{name}_behavior", BEHAVIOR), name))
-    return write_tables(tables, dest, {n: f"{source}/{n}" for n in (*FLAT_LABELS, *GROUP_FIELD, *COHORTS)})
+    return write_tables(tables, dest, {n: f"{source}/{n}" for n in (*FLAT_LABELS, *GROUP_FIELD, *COHORTS)}, source)

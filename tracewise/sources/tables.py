@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Names of the converted tables.
@@ -57,16 +57,27 @@ def stringified(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)) for c in nested})
 
 
-def write_tables(tables: Mapping[str, DataFrame], folder: str, sources: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Each table as Parquet, and a manifest with row counts and sources. Returns the paths by name."""
+def checksums(spark: SparkSession, folder: str) -> dict[str, str]:
+    """SHA-256 of each file below a folder, by its name; made by the executors, a file at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    return {r.name: r.sha for r in files.select(name.alias("name"), F.sha2("content", 256).alias("sha")).orderBy("name").collect()}
+
+
+def write_tables(tables: Mapping[str, DataFrame], folder: str, sources: Mapping[str, str] | None = None, source_folder: str | None = None) -> dict[str, str]:
+    """Each table as Parquet, and a manifest: row counts, sources and the source files' checksums. Returns the paths by name.
+
+    Rows are counted as they are written.
+    """
     paths, counts = {}, {}
+    spark = next(iter(tables.values())).sparkSession
     for name, table in tables.items():
         paths[name] = f"{folder}/{name}.parquet"
-        table.write.mode("overwrite").parquet(paths[name])
-        counts[name] = table.sparkSession.read.parquet(paths[name]).count()
-    spark = next(iter(tables.values())).sparkSession
-    body = json.dumps({"sources": dict(sources or {}), "row_counts": counts, "spark_version": spark.version}, sort_keys=True)
-    spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(manifest_path(folder))
+        seen = Observation(name)
+        table.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(paths[name])
+        counts[name] = seen.get["n"]
+    body = {"sources": dict(sources or {}), "row_counts": counts, "spark_version": spark.version, "sha256": checksums(spark, source_folder) if source_folder else {}}
+    spark.createDataFrame([(json.dumps(body, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(manifest_path(folder))
     return paths
 
 
