@@ -246,3 +246,24 @@ def test_random_stacks_against_one_long_trace(spark):
         trial, place = divmod(start, frames)
         want.append((str(trial), float(place), float(place + len(values) - 1), max(values), float(place + values.index(max(values)))))
     assert sorted((r.trial, r.ev_onset, r.ev_offset, r.peak, r.peak_time) for r in found) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ragged_stacks_are_one_long_trace(spark, seed):
+    rng = np.random.default_rng(seed)
+    pieces = [(rng.random(int(n)) < 0.7).astype(float).tolist() for n in rng.integers(0, 9, 12)]
+    rows = [("s", "r", str(i), "cHIT", y if i != 5 else None, i) for i, y in enumerate(pieces)]
+    held = spark.createDataFrame(rows, SCHEMA).withColumn("threshold", F.lit(0.5))
+    found = D.stacked_events(held, F.lit("all"), 1.0, min_samples=3).collect()
+    pieces[5] = []
+    fronts = np.cumsum([0, *map(len, pieces)])
+    line, want, at = np.concatenate(pieces), [], 0
+    while at < len(line):
+        end = at
+        while end < len(line) and line[end] > 0.5:
+            end += 1
+        if end - at >= 3:
+            trial = int(np.searchsorted(fronts, at, side="right")) - 1
+            want.append((str(trial), float(at - fronts[trial]), float(end - 1 - fronts[trial]), float(end - at)))
+        at = max(end, at + 1)
+    assert sorted((r.trial, r.ev_onset, r.ev_offset, r.ev_duration) for r in found) == sorted(want)

@@ -79,15 +79,16 @@ def stacked_events(
     """Events of traces with a ``threshold``, where the trials of a stack follow one another in ``row_ord``.
 
     An event belongs to the trial in which it begins; its times count from that trial's first frame, and may run past
-    its last. Rows whose ``stack`` is null are left out.
+    its last. Trials may have any number of frames; null arrays have none. Rows whose ``stack`` is null are left out.
     """
     unit = unit or UNIT
     high = F.filter(segments("y", F.col("threshold")), lambda s: s["above"])
     runs = F.transform(high, lambda s: F.struct(s["start"].alias("start"), F.slice("y", s["start"] + 1, s["size"]).alias("values")))
     rows = traces.withColumn("stack", stack).where(F.col("stack").isNotNull())
-    rows = rows.select(*unit, "stack", "trial", "outcome", "row_ord", F.size("y").alias("frames"), runs.alias("runs"))
+    rows = rows.select(*unit, "stack", "trial", "outcome", "row_ord", F.greatest(F.size("y"), F.lit(0)).alias("frames"), runs.alias("runs"))
     line = W.partitionBy(*unit, "stack").orderBy("row_ord")
-    rows = rows.withColumn("origin", (F.row_number().over(line) - 1) * F.col("frames"))
+    before = F.sum("frames").over(line.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("origin", F.coalesce(before, F.lit(0)).cast("int"))
     each = rows.select(*unit, "stack", "trial", "outcome", "row_ord", "origin", F.inline("runs"))
     each = each.withColumn("place", F.col("origin") + F.col("start"))
     along = W.partitionBy(*unit, "stack").orderBy("place")

@@ -49,9 +49,13 @@ def waterfall_order(traces: DataFrame, events: DataFrame, unit: list[str] | None
 
 
 def strip_values(values: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``protocol, outcome, n, mean, sem`` and the sorted values of each bar; one value has no spread and an SEM of 0."""
+    """``protocol, outcome, n, mean, sem`` and the sorted ``values`` of each bar; one value has no spread and an SEM of 0.
+
+    A bar has a value for each of its units.
+    """
     wanted = F.lit(False)
     for protocol, outcome in pairs:
         wanted = wanted | ((F.col("protocol") == protocol) & (F.col("outcome") == outcome))
     sem = F.when(F.count("value") > 1, F.stddev_samp("value") / F.sqrt(F.count("value"))).otherwise(0.0)
-    return values.where(wanted & F.col("value").isNotNull()).groupBy("protocol", "outcome").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), sem.alias("sem"))
+    rows = values.where(wanted & F.col("value").isNotNull()).groupBy("protocol", "outcome")
+    return rows.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), sem.alias("sem"), F.sort_array(F.collect_list("value")).alias("values"))
