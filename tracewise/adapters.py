@@ -79,3 +79,44 @@ def lick_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``session, trial, lick_latency``: mean click value of a user and day; the session is the user."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'")
     return raw.groupBy(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("session"), F.dayofmonth("ts").cast("long").alias("trial")).agg((F.avg("value") / 1000).alias("lick_latency"))
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Converted trace and behaviour tables from ``embeddings``: four spellings of a vector in a row are 256 frames."""
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e, label, trial = F.transform("embedding", lambda x: x.cast("double")), F.col("label"), F.col("vec_id")
+    y = F.concat(e, F.reverse(e), F.transform(e, lambda x: x * 1.25), F.transform(e, lambda x: -x)).alias("y")
+    of = lambda names: F.element_at(F.array(*map(F.lit, names)), (trial % 4 + 1).cast("int"))
+    common = [label.cast("string").alias("roi"), trial.alias("trial"), y, trial.alias("row_ord")]
+    task = F.concat(F.lit("s"), (label % 2).cast("string")).alias("id")
+    batch = [
+        F.lit("NAIVE STIM REW").alias("protocol"), F.concat(F.lit("m"), (label % 2).cast("string")).alias("id"),
+        F.when(label % 4 < 2, "AXONS").otherwise("DENDRITES").alias("compartment"),
+    ]
+    outcomes, histories = of(("cHIT", "nHIT", "cCATCH", "FA")), of(("cRew", "nRew", "cStim", "none"))
+    return {
+        "traces_task_axons": raw.select(task, *common, outcomes.alias("unvalidated_type")),
+        "traces_no_dreadds": raw.select(task, *common, outcomes.alias("trial_type")),
+        "traces_batch1": raw.select(*batch, *common),
+        "behavior_batch1": raw.select(*batch, trial.alias("trial"), histories.alias("history")),
+    }
+
+
+def count_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Converted tables of trial types and behaviour from ``events``; some flat types stand there twice."""
+    raw, user = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("user_id")
+    named = lambda p, n: F.concat(F.lit(p), (user % n).cast("string"))
+    kind = F.col("event_type")
+    ttype = F.when(kind == "purchase", "HIT").when(kind == "signup", "CATCH").when(kind == "click", "None").when(kind == "error", "resp early").otherwise("FA")
+    history = F.when(kind == "purchase", "cRew").when(kind == "signup", "nRew").when(kind == "click", "cStim").otherwise("nStim").alias("history")
+    flat = raw.groupBy(named("s", 3).alias("id"), ttype.alias("ttype"), (user % 2).alias("part")).agg(F.count("*").alias("n_trials"), F.max("event_id").alias("row_ord"))
+    protocol = F.when(user % 5 > 0, "NAIVE STIM REW").otherwise("OTHER").alias("protocol")
+    days = raw.select(named("TD", 4).alias("td"), named("MOUSE", 3).alias("mouse"), ttype.alias("trial type"))
+    return {
+        "trials_task_axons": flat,
+        "trials_no_dreadds": flat.withColumn("id", F.concat(F.lit("x"), "id")),
+        "behavior_batch1": raw.select(protocol, named("m", 3).alias("id"), F.when(user % 2 == 0, "AXONS").otherwise("DENDRITES").alias("compartment"), history),
+        "behavior_batch3": raw.select(protocol, named("n", 3).alias("id"), named("FOV", 2).alias("fov"), history),
+        "behavior_task_dendrites": days,
+        "behavior_control_dendrites": days,
+    }

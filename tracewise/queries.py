@@ -14,8 +14,9 @@ from tracewise.functions.formats import regression_symbol, significance_symbol
 from tracewise.functions.keys import canonical_key
 from tracewise.operators import detect as D
 from tracewise.operators import display, grouping, latency, metrics, modulation, signal, stats, validation
-from tracewise.operators.recipes import side_of
+from tracewise.operators.recipes import regenerate, side_of
 from tracewise.operators.windows import events_in_epoch, events_in_window
+from tracewise.plans.specs import EventTableParams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,6 +102,22 @@ def trial_counts(spark, sf):
     return adapters.trial_counts(_events(spark, sf))
 
 
+@query("""WITH rw AS (
+  SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'HIT' WHEN 'signup' THEN 'CATCH' WHEN 'click' THEN 'None' WHEN 'error' THEN 'resp early' ELSE 'FA' END AS ttype,
+         CASE event_type WHEN 'purchase' THEN 'cRew' WHEN 'signup' THEN 'nRew' WHEN 'click' THEN 'cStim' ELSE 'nStim' END AS history FROM events
+), fl AS (
+  SELECT 's' || (user_id % 3) AS session, ttype, user_id % 2 AS part, count(*) AS n, max(event_id) AS ord FROM rw WHERE ttype <> 'None' AND ttype NOT LIKE '%resp%' GROUP BY ALL
+), la AS (SELECT session, ttype, arg_max(n, ord) AS n FROM fl GROUP BY ALL)
+SELECT 'task_axons' AS protocol, NULL::VARCHAR AS td, session, ttype, n FROM la
+UNION ALL SELECT 'NO_DREADDs', NULL, 'x' || session, ttype, n FROM la
+UNION ALL SELECT CASE WHEN user_id % 2 = 0 THEN 'passive_axons' ELSE 'passive_dendrites' END, NULL, 'RGECO_GCaMP_Batch1_m' || (user_id % 3), history, count(*) FROM rw WHERE user_id % 5 > 0 GROUP BY ALL
+UNION ALL SELECT 'passive_axons', NULL, 'GCaMP_POm_Batch3_n' || (user_id % 3) || '_FOV' || (user_id % 2), history, count(*) FROM rw WHERE user_id % 5 > 0 GROUP BY ALL
+UNION ALL SELECT 'task_dendrites' || CASE WHEN user_id % 4 < 2 THEN ' (pre-CNO)' ELSE ' (post-CNO)' END, 'TD' || (user_id % 4), 'mouse' || (user_id % 3), ttype, count(*) FROM rw WHERE user_id % 4 IN (0, 2, 3) GROUP BY ALL
+UNION ALL SELECT 'control_dendrites' || CASE WHEN user_id % 4 < 2 THEN ' (pre-CNO)' ELSE ' (post-CNO)' END, 'TD' || (user_id % 4), 'mouse' || (user_id % 3), ttype, count(*) FROM rw WHERE user_id % 4 IN (1, 2, 3) GROUP BY ALL""")
+def trial_counts_of_tables(spark, sf):
+    return grouping.trial_counts(adapters.count_tables(spark, sf))
+
+
 def _totals(spark, sf, alignment: str, legacy: bool) -> DataFrame:
     rows = _events(spark, sf)
     label = F.when(F.col("protocol").contains("passive"), F.col("history")).otherwise(F.col("outcome"))
@@ -192,7 +209,7 @@ def modulated_rois_half_std(spark, sf):
     return rounded(modulation.modulated_units(_indices(spark, sf), "half_std"))
 
 
-@query(MEDIAN_SQL + """ SELECT protocol, n_modulated, n_total, round(n_modulated / n_total * 100, 1) AS percent
+@query(MEDIAN_SQL + """ SELECT protocol, n_modulated, n_total, format('{:.1f}', n_modulated / n_total * 100)::DOUBLE AS percent
 FROM (SELECT protocol, count(*) AS n_modulated FROM md GROUP BY protocol)
 JOIN (SELECT protocol, count(*) AS n_total FROM (SELECT DISTINCT protocol, k0, k1 FROM ev) GROUP BY protocol) USING (protocol)""")
 def modulation_proportions(spark, sf):
@@ -286,10 +303,75 @@ sa AS (
 )"""
 SIDE_SQL = """count(v) FILTER (WHERE g = 'a') AS n_a, count(v) FILTER (WHERE g = 'b') AS n_b, avg(v) FILTER (WHERE g = 'a') AS mean_a, avg(v) FILTER (WHERE g = 'b') AS mean_b,
   var_samp(v) FILTER (WHERE g = 'a') AS va, var_samp(v) FILTER (WHERE g = 'b') AS vb"""
-OUT_SQL = "n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(sqrt(va / n_a), 6) AS sem_a, round(sqrt(vb / n_b), 6) AS sem_b"
 # The tail of Student's t for whole degrees of freedom, as a finite sum over powers of a cosine.
 TAIL_SQL = """round(1 - CASE WHEN nu % 2 = 0 THEN sin(th) * list_sum(list_transform(range(0, nu // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * cos(th) ** (2 * k)))
   ELSE 2 / pi() * (th + CASE WHEN nu > 1 THEN sin(th) * list_sum(list_transform(range(0, (nu - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * cos(th) ** (2 * k + 1))) ELSE 0 END) END, 6) AS p_value"""
+# The same for any degrees of freedom nu: Simpson's rule with 400 steps over the density in terms of an angle.
+WELCH_TAIL_SQL = """1 - exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(pi()) * 2 * th / 1200
+  * list_sum(list_transform(range(0, 401), lambda k: CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * cos(k / 400 * th) ** (nu - 1)))"""
+# Both tails of the normal distribution beyond z, from the series of the error function with positive terms.
+NORMAL_SQL = """greatest(0, 1 - sqrt(2 / pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 200), lambda k:
+  exp((2 * k + 1) * ln(greatest(z, 1e-300)) - k * ln(2) - lgamma(k + 1.5) + lgamma(1.5)))))"""
+TESTS_SQL = f"""{VALUES_SQL}, s AS (SELECT name, {SIDE_SQL} FROM sa GROUP BY name),
+pr AS (
+  SELECT name, k0, k1, avg(v) FILTER (WHERE g = 'a') AS a, avg(v) FILTER (WHERE g = 'b') AS b FROM sa GROUP BY ALL
+  HAVING count(v) FILTER (WHERE g = 'a') > 0 AND count(v) FILTER (WHERE g = 'b') > 0
+), ps AS (
+  SELECT name, count(*) AS n_a, count(*) AS n_b, avg(a) AS mean_a, avg(b) AS mean_b, var_samp(a) AS va, var_samp(b) AS vb,
+         avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t, count(*) - 1 AS nu FROM pr GROUP BY name
+), student AS (
+  SELECT *, {TAIL_SQL} FROM (
+    SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM (
+      SELECT *, (mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2) * (1 / n_a + 1 / n_b)) AS t, n_a + n_b - 2 AS nu FROM s))
+), welch AS (
+  SELECT *, {WELCH_TAIL_SQL} AS p_value FROM (
+    SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM (
+      SELECT *, (mean_a - mean_b) / sqrt(va / n_a + vb / n_b) AS t,
+             (va / n_a + vb / n_b) ** 2 / ((va / n_a) ** 2 / (n_a - 1) + (vb / n_b) ** 2 / (n_b - 1)) AS nu FROM s))
+), paired AS (SELECT *, {TAIL_SQL} FROM (SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM ps)),
+rk AS (
+  SELECT name, g, rank() OVER (PARTITION BY name ORDER BY round(v, 12)) + (count(*) OVER (PARTITION BY name, round(v, 12)) - 1) / 2 AS r FROM sa
+), us AS (
+  SELECT name, sum(r) FILTER (WHERE g = 'a') - count(*) FILTER (WHERE g = 'a') * (count(*) FILTER (WHERE g = 'a') + 1) / 2 AS u FROM rk GROUP BY name
+), tu AS (SELECT name, sum(n ** 3 - n) AS ties FROM (SELECT name, r, count(*) AS n FROM rk GROUP BY name, r) GROUP BY name),
+ranked AS (SELECT *, greatest(u, n_a * n_b - u) AS high, least(n_a, n_b) AS small, n_a + n_b AS pool FROM s JOIN us USING (name) JOIN tu USING (name)),
+-- Samples of the smaller size from all ranks, by their sum: counted rank by rank where the null is counted out.
+draws(name, upto, small, pool, i, k, total, ways) AS (
+  SELECT name, high, small, pool, 0, 0, 0, 1::DOUBLE FROM ranked WHERE small <= 8 AND ties = 0
+  UNION ALL
+  SELECT name, upto, small, pool, i, k, total, sum(ways) FROM (
+    SELECT d.name, d.upto, d.small, d.pool, d.i + 1 AS i, d.k + o.hit AS k, d.total + o.hit * (d.i + 1) AS total, d.ways FROM draws d, (VALUES (0), (1)) o(hit)
+    WHERE d.i < d.pool AND d.k + o.hit <= d.small
+  ) GROUP BY name, upto, small, pool, i, k, total
+), counted AS (
+  SELECT name, least(1, 2 * coalesce(sum(ways) FILTER (WHERE total - small * (small + 1) / 2 >= ceil(upto)), 0) / sum(ways)) AS p FROM draws WHERE i = pool AND k = small GROUP BY name
+), ranksum AS (
+  SELECT *, coalesce(p, least(1, {NORMAL_SQL})) AS p_value FROM (
+    SELECT ranked.*, p, abs(high - n_a * n_b / 2 - 0.5) / sqrt(n_a * n_b / 12 * (pool + 1 - ties / (pool * (pool - 1)))) AS z FROM ranked LEFT JOIN counted USING (name))
+), d AS (SELECT name, round(a - b, 12) AS d FROM pr),
+dk AS (SELECT name, d, rank() OVER (PARTITION BY name ORDER BY abs(d)) + (count(*) OVER (PARTITION BY name, abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0),
+ws AS (SELECT name, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w, count(*) AS kept FROM dk GROUP BY name),
+tw AS (SELECT name, sum(n ** 3 - n) AS ties FROM (SELECT name, r, count(*) AS n FROM dk GROUP BY name, r) GROUP BY name),
+signs AS (SELECT ps.*, w, kept, ties, n_a - kept AS zeros FROM ps JOIN ws USING (name) JOIN tw USING (name)),
+flips(name, upto, kept, i, total, ways) AS (
+  SELECT name, w, kept, 0, 0, 1::DOUBLE FROM signs WHERE kept <= 50 AND zeros = 0 AND ties = 0
+  UNION ALL
+  SELECT name, upto, kept, i, total, sum(ways) FROM (
+    SELECT f.name, f.upto, f.kept, f.i + 1 AS i, f.total + o.hit * (f.i + 1) AS total, f.ways FROM flips f, (VALUES (0), (1)) o(hit) WHERE f.i < f.kept
+  ) GROUP BY name, upto, kept, i, total
+), flipped AS (SELECT name, least(1, 2 * sum(ways) FILTER (WHERE total <= floor(upto)) / sum(ways)) AS p FROM flips WHERE i = kept GROUP BY name),
+signed AS (
+  SELECT *, coalesce(p, {NORMAL_SQL}) AS p_value FROM (
+    SELECT signs.*, p, abs(w - kept * (kept + 1) / 4) / sqrt(kept * (kept + 1) * (2 * kept + 1) / 24 - ties / 48) AS z FROM signs LEFT JOIN flipped USING (name))
+)"""
+OUT_SQL = "n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(sqrt(va / n_a), 6) AS sem_a, round(sqrt(vb / n_b), 6) AS sem_b"
+#: Of each test, its table in ``TESTS_SQL`` and the statistic's column.
+TEST_TABLES = {"student_t": ("student", "t"), "welch_t": ("welch", "t"), "mannwhitney": ("ranksum", "u"), "wilcoxon": ("signed", "w"), "paired_t": ("paired", "t")}
+
+
+def _test_sql(test: str, more: str = "") -> str:
+    held, statistic = TEST_TABLES[test]
+    return f"SELECT name, round({statistic}, 6) AS statistic, round(p_value, 6) AS p_value, {OUT_SQL}{more} FROM {held}"
 
 
 def _comparisons(spark: SparkSession, test: str | None = None) -> DataFrame:
@@ -305,64 +387,48 @@ def _compared(spark, sf, test: str) -> DataFrame:
     return rounded(stats.run_test(_samples(spark, sf, _comparisons(spark, test)), test).drop("test"))
 
 
-@query(f"""WITH {VALUES_SQL}, s AS (SELECT name, {SIDE_SQL} FROM sa GROUP BY name),
-t AS (SELECT *, (mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2) * (1 / n_a + 1 / n_b)) AS t, n_a + n_b - 2 AS nu FROM s),
-u AS (SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM t)
-SELECT name, round(t, 6) AS statistic, {TAIL_SQL}, {OUT_SQL} FROM u""")
+@query(f"WITH RECURSIVE {TESTS_SQL} {_test_sql('student_t')}")
 def compare_student_t(spark, sf):
     return _compared(spark, sf, "student_t")
 
 
-@query(f"""WITH {VALUES_SQL}, s AS (SELECT name, {SIDE_SQL} FROM sa GROUP BY name)
-SELECT name, round((mean_a - mean_b) / sqrt(va / n_a + vb / n_b), 6) AS statistic,
-  round((va / n_a + vb / n_b) ** 2 / ((va / n_a) ** 2 / (n_a - 1) + (vb / n_b) ** 2 / (n_b - 1)), 6) AS freedom, {OUT_SQL} FROM s""")
+@query(f"WITH RECURSIVE {TESTS_SQL} {_test_sql('welch_t')}")
 def compare_welch_t(spark, sf):
-    held = stats.statistics(_samples(spark, sf, _comparisons(spark, "welch_t")), "welch_t")
-    return rounded(held.select("name", "statistic", "freedom", "n_a", "n_b", "mean_a", "mean_b", "sem_a", "sem_b"))
+    return _compared(spark, sf, "welch_t")
 
 
-PAIR_SQL = f"""WITH {VALUES_SQL}, pr AS (
-  SELECT name, k0, k1, avg(v) FILTER (WHERE g = 'a') AS a, avg(v) FILTER (WHERE g = 'b') AS b FROM sa GROUP BY ALL
-  HAVING count(v) FILTER (WHERE g = 'a') > 0 AND count(v) FILTER (WHERE g = 'b') > 0
-), s AS (
-  SELECT name, count(*) AS n_a, count(*) AS n_b, avg(a) AS mean_a, avg(b) AS mean_b, var_samp(a) AS va, var_samp(b) AS vb,
-         avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t, count(*) - 1 AS nu FROM pr GROUP BY name
-)"""
-
-
-@query(PAIR_SQL + f", u AS (SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM s) SELECT name, round(t, 6) AS statistic, {TAIL_SQL}, {OUT_SQL} FROM u")
+@query(f"WITH RECURSIVE {TESTS_SQL} {_test_sql('paired_t')}")
 def compare_paired_t(spark, sf):
     return _compared(spark, sf, "paired_t")
 
 
-@query(f"""WITH {VALUES_SQL}, rk AS (
-  SELECT name, g, rank() OVER (PARTITION BY name ORDER BY round(v, 12)) + (count(*) OVER (PARTITION BY name, round(v, 12)) - 1) / 2 AS r FROM sa
-), us AS (
-  SELECT name, sum(r) FILTER (WHERE g = 'a') - count(*) FILTER (WHERE g = 'a') * (count(*) FILTER (WHERE g = 'a') + 1) / 2 AS u FROM rk GROUP BY name
-), s AS (SELECT name, {SIDE_SQL} FROM sa GROUP BY name)
-SELECT name, round(u, 6) AS statistic, {OUT_SQL} FROM s JOIN us USING (name)""")
+@query(f"WITH RECURSIVE {TESTS_SQL} {_test_sql('mannwhitney')}")
 def compare_mannwhitney(spark, sf):
-    return _compared(spark, sf, "mannwhitney").drop("p_value")
+    return _compared(spark, sf, "mannwhitney")
 
 
-@query(PAIR_SQL + f""", d AS (SELECT name, round(a - b, 12) AS d FROM pr WHERE round(a - b, 12) <> 0), rk AS (
-  SELECT name, d, rank() OVER (PARTITION BY name ORDER BY abs(d)) + (count(*) OVER (PARTITION BY name, abs(d)) - 1) / 2 AS r FROM d
-), ws AS (SELECT name, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w FROM rk GROUP BY name)
-SELECT name, round(w, 6) AS statistic, {OUT_SQL} FROM s LEFT JOIN ws USING (name)""")
+@query(f"WITH RECURSIVE {TESTS_SQL} {_test_sql('wilcoxon')}")
 def compare_wilcoxon(spark, sf):
-    return _compared(spark, sf, "wilcoxon").drop("p_value")
+    return _compared(spark, sf, "wilcoxon")
+
+
+SYMBOL_SQL = "CASE WHEN p < 0.0001 THEN '****' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE"
+
 
+SHOWN_SQL = r"regexp_replace(format('{:.3f}', p), '(\.\d+?)0+$', '\1')"
 
-@query()
+
+@query(
+    f"WITH RECURSIVE {TESTS_SQL} SELECT * EXCLUDE (p), p < 0.5 AS passed, {SYMBOL_SQL} {SHOWN_SQL} END AS symbol FROM ("
+    + " UNION ALL ".join(_test_sql(t, f", '{t}' AS test, p_value AS p") for t in TEST_TABLES)
+    + ")"
+)
 def run_comparisons_gate(spark, sf):
     comparisons = _comparisons(spark)
     return rounded(stats.run_comparisons(_samples(spark, sf, comparisons), comparisons))
 
 
-SYMBOL_SQL = "CASE WHEN p < 0.0001 THEN '****' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE"
-
-
-@query(f"WITH p AS (SELECT event_id, event_id % 97 / 970 * (event_id % 7) / 70 AS p FROM events) SELECT event_id, {SYMBOL_SQL} round(p, 3)::VARCHAR END AS symbol, {SYMBOL_SQL} 'n.s' END AS slope FROM p")
+@query(f"WITH p AS (SELECT event_id, event_id % 97 / 970 * (event_id % 7) / 70 AS p FROM events) SELECT event_id, {SYMBOL_SQL} {SHOWN_SQL} END AS symbol, {SYMBOL_SQL} 'n.s' END AS slope FROM p")
 def significance_symbols(spark, sf):
     p = F.col("event_id") % 97 / 970 * (F.col("event_id") % 7) / 70
     rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", p.alias("p"))
@@ -398,25 +464,27 @@ def baseline_threshold(spark, sf):
     return rounded(D.thresholds(adapters.traces(spark, sf), FPS, (2.0, 3.0), 2.0).select("roi", "threshold"))
 
 
-def _detect_sql(stack: str, sd: float, least: int, low: int = 21, high: int = 30, where: str = "true", base: int = 0, having: str = "true") -> str:
+def _detect_sql(
+    stack: str, sd: float, least: int, low: int = 21, high: int = 30, where: str = "true", base: int = 0, having: str = "true", traces: str = TRACES_SQL, frames: int = 64, fps: float = 10
+) -> str:
     weight = """CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 0.5 ELSE
       (CASE WHEN j >= odd THEN 0 WHEN j = 0 OR j = odd - 1 THEN 1 / 3 WHEN j % 2 = 1 THEN 4 / 3 ELSE 2 / 3 END)
       + (CASE WHEN n % 2 = 1 THEN 0 WHEN j = n - 1 THEN 5 / 12 WHEN j = n - 2 THEN 2 / 3 WHEN j = n - 3 THEN -1 / 12 ELSE 0 END) END"""
-    return f"""WITH {TRACES_SQL}, kp AS (SELECT *, {stack} AS stack FROM tr WHERE ({where})),
+    return f"""WITH {traces}, kp AS (SELECT *, {stack} AS stack FROM tr WHERE ({where})),
 th AS (SELECT roi, {sd} * stddev_pop(v) AS th FROM (SELECT roi, unnest(y[{low}:{high}]) AS v FROM kp) GROUP BY roi),
 nu AS (SELECT *, row_number() OVER (PARTITION BY roi, stack ORDER BY row_ord) - 1 AS ti FROM kp WHERE stack IS NOT NULL),
-fr AS (SELECT roi, stack, trial, row_ord, ti, unnest(y) AS v, unnest(range(64)) AS i FROM nu),
-ab AS (SELECT fr.*, ti * 64 + i AS gp, v > th AS above FROM fr JOIN th USING (roi)),
+fr AS (SELECT roi, stack, trial, row_ord, ti, unnest(y) AS v, unnest(range({frames})) AS i FROM nu),
+ab AS (SELECT fr.*, ti * {frames} + i AS gp, v > th AS above FROM fr JOIN th USING (roi)),
 is_ AS (SELECT *, gp - row_number() OVER (PARTITION BY roi, stack ORDER BY gp) AS island FROM ab WHERE above),
 el AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY gp) - 1 AS j FROM is_ WINDOW w AS (PARTITION BY roi, stack, island)),
 wt AS (SELECT *, n - (CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END) AS odd FROM el),
 ev AS (
-  SELECT roi, stack, arg_min(trial, gp) AS trial, arg_min(ti, gp) * 64 AS origin, max(v) AS peak, min(gp) AS g0, min(gp) FILTER (WHERE v = mx) AS gpk, max(gp) AS g1,
+  SELECT roi, stack, arg_min(trial, gp) AS trial, arg_min(ti, gp) * {frames} AS origin, max(v) AS peak, min(gp) AS g0, min(gp) FILTER (WHERE v = mx) AS gpk, max(gp) AS g1,
          count(*) AS n, sum(v * ({weight})) AS integral
   FROM (SELECT *, max(v) OVER (PARTITION BY roi, stack, island) AS mx FROM wt) GROUP BY roi, stack, island HAVING count(*) >= {least}
 )
-SELECT roi, trial, round(peak, 6) AS peak, round((g0 - origin + {base}) / 10, 6) AS ev_onset, round((gpk - origin + {base}) / 10, 6) AS peak_time,
-       round((g1 - origin + {base}) / 10, 6) AS ev_offset, round(n / 10, 6) AS ev_duration, round(integral, 6) AS integral
+SELECT roi, trial, round(peak, 6) AS peak, round((g0 - origin + {base}) / {fps}, 6) AS ev_onset, round((gpk - origin + {base}) / {fps}, 6) AS peak_time,
+       round((g1 - origin + {base}) / {fps}, 6) AS ev_offset, round(n / {fps}, 6) AS ev_duration, round(integral, 6) AS integral
 FROM ev WHERE {having}"""
 
 
@@ -468,6 +536,37 @@ def regenerate_sides_reward(spark, sf):
     return rounded(found.select(side_of(False, "reward").alias("side"), *EVENT_COLUMNS))
 
 
+LONG_SQL = """tr AS (
+  SELECT label, label::VARCHAR AS roi, vec_id AS trial, CASE vec_id % 4 WHEN 0 THEN 'cHIT' WHEN 1 THEN 'nHIT' WHEN 2 THEN 'cCATCH' ELSE 'FA' END AS outcome, vec_id AS row_ord,
+         list_concat(list_concat(e, list_reverse(e)), list_concat([x * 1.25 FOR x IN e], [-x FOR x IN e])) AS y
+  FROM (SELECT *, embedding::DOUBLE[] AS e FROM embeddings)
+)"""
+_PASSIVE = "CASE trial % 4 WHEN 0 THEN 'cRew' WHEN 1 THEN 'nRew' WHEN 2 THEN 'cStim' ELSE 'none' END"
+
+
+def _regenerate_sql() -> str:
+    within = lambda base, fps: f"(g0 - origin + {base}) / {fps} > 5.0 AND (g0 - origin + {base}) / {fps} < 7.0"
+    task = "CASE WHEN trial % 4 < 2 THEN 'target' ELSE 'reference' END AS side, 's' || (roi::INT % 2) || '_' || roi || '.0' AS k0, NULL::VARCHAR AS k1"
+    passive = "CASE trial % 4 WHEN 2 THEN 'reference' ELSE 'target' END AS side, 'RGECO_GCaMP_Batch1_m' || (roi::INT % 2) AS k0, roi AS k1"
+    outcome = "CASE trial % 4 WHEN 0 THEN 'cHIT' WHEN 1 THEN 'nHIT' WHEN 2 THEN 'cCATCH' ELSE 'FA' END"
+    rows = lambda group, head, outcome, history, found: f"SELECT '{group}' AS grp, {head}, {outcome} AS outcome, {history} AS history, * EXCLUDE (roi) FROM ({found})"
+    long_ = {"traces": LONG_SQL, "frames": 256}
+    parts = [
+        rows("task_axons", task, outcome, "NULL::VARCHAR", _detect_sql("row_ord", 0.5, 4, 62, 92, base=1, having=within(1, 30.54), fps=30.54, **long_)),
+        rows("NO_DREADDs", task, outcome, "NULL::VARCHAR", _detect_sql(BRANCH_SQL, 0.5, 4, 62, 92, having=within(0, 30.54), fps=30.54, **long_)),
+    ]
+    for group, own in (("passive_axons", "label % 4 < 2"), ("passive_dendrites", "label % 4 >= 2")):
+        found = _detect_sql("'all'", 0.5, 4, 1, 61, where=own, having=within(0, 30.3), fps=30.3, **long_)
+        parts.append(rows(group, passive, _PASSIVE, _PASSIVE, found) + " WHERE trial % 4 <> 3")
+    return "SELECT * EXCLUDE (grp, trial), grp AS \"group\", trial::VARCHAR AS trial FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query(_regenerate_sql())
+def regenerate_events(spark, sf):
+    found = regenerate(adapters.recordings(spark, sf), EventTableParams(threshold_sd=0.5, min_samples=4), "reward")
+    return rounded(found.drop("row_ord"))
+
+
 SIDE_OF_TRIAL = "CASE trial % 4 WHEN 0 THEN 'reference' WHEN 1 THEN 'reference' WHEN 2 THEN 'target' END AS side"
 
 
@@ -491,7 +590,29 @@ def waterfall_order(spark, sf):
     return display.waterfall_order(rows, found).select("roi", "trial", "is_event", "place")
 
 
-@query()
+# A Butterworth filter of third order with its cut-off at a fifth, by the bilinear transform; both ends mirrored oddly for
+# 12 frames; forwards, then backwards, each time from the state of a long constant input.
+LOWPASS_SQL = f"""WITH RECURSIVE {TRACES_SQL}, k AS (SELECT tan(pi() * 0.2 / 2) AS w), dn AS (SELECT w, 1 + 2 * w + 2 * w ** 2 + w ** 3 AS d FROM k),
+co AS (SELECT w ** 3 / d AS b0, 3 * w ** 3 / d AS b1, 3 * w ** 3 / d AS b2, w ** 3 / d AS b3, (-3 - 2 * w + 2 * w ** 2 + 3 * w ** 3) / d AS a1,
+  (3 - 2 * w - 2 * w ** 2 + 3 * w ** 3) / d AS a2, (-1 + 2 * w - 2 * w ** 2 + w ** 3) / d AS a3 FROM dn),
+zi AS (SELECT *, b3 - a3 AS z2, b3 - a3 + b2 - a2 AS z1, b3 - a3 + b2 - a2 + b1 - a1 AS z0 FROM co),
+wide AS (SELECT roi, trial, list_concat(list_concat([2 * y[1] - x FOR x IN list_reverse(y[2:13])], y), [2 * y[64] - x FOR x IN list_reverse(y[52:63])]) AS x FROM tr),
+f1(roi, trial, x, t, s0, s1, s2, v) AS (
+  SELECT roi, trial, x, 0, z0 * x[1], z1 * x[1], z2 * x[1], NULL::DOUBLE FROM wide, zi
+  UNION ALL
+  SELECT roi, trial, x, t + 1, s1 + b1 * x[t + 1] - a1 * (b0 * x[t + 1] + s0), s2 + b2 * x[t + 1] - a2 * (b0 * x[t + 1] + s0), b3 * x[t + 1] - a3 * (b0 * x[t + 1] + s0), b0 * x[t + 1] + s0
+  FROM f1, zi WHERE t < 88
+), back AS (SELECT roi, trial, list(v ORDER BY t DESC) AS x FROM f1 WHERE t > 0 GROUP BY roi, trial),
+f2(roi, trial, x, t, s0, s1, s2, v) AS (
+  SELECT roi, trial, x, 0, z0 * x[1], z1 * x[1], z2 * x[1], NULL::DOUBLE FROM back, zi
+  UNION ALL
+  SELECT roi, trial, x, t + 1, s1 + b1 * x[t + 1] - a1 * (b0 * x[t + 1] + s0), s2 + b2 * x[t + 1] - a2 * (b0 * x[t + 1] + s0), b3 * x[t + 1] - a3 * (b0 * x[t + 1] + s0), b0 * x[t + 1] + s0
+  FROM f2, zi WHERE t < 88
+)
+SELECT roi, trial, (76 - t)::INT AS frame, round(v, 6) AS v FROM f2 WHERE t > 12 AND t <= 76"""
+
+
+@query(LOWPASS_SQL)
 def lowpass(spark, sf):
     made = signal.lowpass(adapters.traces(spark, sf))
     return rounded(made.select("roi", "trial", F.posexplode("y").alias("frame", "v")))
@@ -524,10 +645,10 @@ def group_events_corrected(spark, sf):
     return grouping.pooled_events(_files(spark, sf), legacy=False).select("row_ord", "stem", "protocol", "k0", "k1")
 
 
-@query(POOLED_SQL + " SELECT row_ord, stem, k0, k1, false AS found FROM fl WHERE stem <> 'task_axons' UNION ALL SELECT row_ord + 1000000000, 'task_axons', k0, k1, true FROM fl WHERE row_ord % 3 = 0")
+@query(POOLED_SQL + " SELECT row_ord, stem, k0, k1, false AS found FROM fl WHERE stem <> 'task_axons' UNION ALL SELECT row_ord + 1000000000, 'task_axons', k0, k1, true FROM fl")
 def mixed_pool(spark, sf):
     files = _files(spark, sf).withColumn("found", F.lit(False))
-    found = files.where("row_ord % 3 = 0").select((F.col("row_ord") + 1_000_000_000).alias("row_ord"), F.lit("task_axons").alias("group"), "k0", "k1", F.lit(True).alias("found"))
+    found = files.select((F.col("row_ord") + 1_000_000_000).alias("row_ord"), F.lit("task_axons").alias("group"), "k0", "k1", F.lit(True).alias("found"))
     return grouping.replace_groups(files, found).select("row_ord", "stem", "k0", "k1", "found")
 
 
@@ -626,7 +747,7 @@ def latency_regression(spark, sf):
 
 
 @query(f"""WITH {EVENTS_SQL}, ref AS (SELECT protocol AS grp, side, k0 || '|' || k1 || '|' || trial AS key, * FROM ev),
-fo AS (SELECT grp, side, key, row_ord, ev_onset + CASE WHEN row_ord % 6 = 5 THEN 0.5 ELSE 0 END AS ev_onset, ev_offset + CASE WHEN row_ord % 5 = 0 THEN 0.25 ELSE 0 END AS ev_offset, peak + row_ord % 3 AS peak, peak_time, ev_duration, integral FROM ref WHERE row_ord % 7 <> 0),
+fo AS (SELECT grp, side, key, row_ord, ev_onset + CASE WHEN row_ord % 7 = 0 THEN 20 WHEN row_ord % 6 = 5 THEN 0.5 ELSE 0 END AS ev_onset, ev_offset + CASE WHEN row_ord % 5 = 0 THEN 0.25 ELSE 0 END AS ev_offset, peak + row_ord % 3 AS peak, peak_time, ev_duration, integral FROM ref),
 j AS (SELECT r.grp, r.side, r.row_ord, f.row_ord AS f, abs(f.ev_offset - r.ev_offset) <= 1e-9 AS ex, abs(f.peak - r.peak) AS dp, abs(f.peak_time - r.peak_time) AS dt, abs(f.ev_duration - r.ev_duration) AS dd, abs(f.integral - r.integral) AS di
   FROM ref r LEFT JOIN fo f ON r.grp = f.grp AND r.side = f.side AND r.key = f.key AND abs(f.ev_onset - r.ev_onset) <= 1e-9),
 b AS (SELECT grp, side, row_ord, bool_or(coalesce(ex, false)) AS exact, count(f) AS n, coalesce(min(f) FILTER (WHERE ex), max(f)) AS f FROM j GROUP BY ALL),
@@ -638,8 +759,8 @@ FROM m JOIN (SELECT grp, side, count(*) AS n FROM fo GROUP BY ALL) c ON m.grp =
 def match_report(spark, sf):
     reference = _events(spark, sf).withColumnRenamed("protocol", "group")
     o = F.col("row_ord")
-    moved = {"ev_onset": F.col("ev_onset") + F.when(o % 6 == 5, 0.5).otherwise(0.0), "ev_offset": F.col("ev_offset") + F.when(o % 5 == 0, 0.25).otherwise(0.0), "peak": F.col("peak") + o % 3}
-    return rounded(validation.match_report(reference.where("row_ord % 7 <> 0").withColumns(moved), reference))
+    moved = {"ev_onset": F.col("ev_onset") + F.when(o % 7 == 0, 20.0).when(o % 6 == 5, 0.5).otherwise(0.0), "ev_offset": F.col("ev_offset") + F.when(o % 5 == 0, 0.25).otherwise(0.0), "peak": F.col("peak") + o % 3}
+    return rounded(validation.match_report(reference.withColumns(moved), reference))
 
 
 HISTOGRAM_SQL = f"""WITH {EVENTS_SQL}, tt AS (
@@ -677,7 +798,9 @@ def canonical_roi_key(spark, sf):
     return rows.select("event_id", canonical_key(raw, F.concat((F.col("event_id") % 5).cast("string"), F.lit(".0"))).alias("key"))
 
 
-@query(f"WITH {METRICS_SQL} SELECT protocol, outcome, count(rate) AS n, round(avg(rate), 6) AS mean, round(CASE WHEN count(rate) > 1 THEN stddev_samp(rate) / sqrt(count(rate)) ELSE 0 END, 6) AS sem FROM m WHERE protocol = 'task_axons' AND outcome IN ('cHIT', 'nHIT') GROUP BY ALL")
+@query(f"WITH {METRICS_SQL} SELECT protocol, outcome, count(rate) AS n, round(avg(rate), 6) AS mean, round(CASE WHEN count(rate) > 1 THEN stddev_samp(rate) / sqrt(count(rate)) ELSE 0 END, 6) AS sem, string_agg(format('{{:.6f}}', rate), ',' ORDER BY rate) AS points FROM m WHERE protocol = 'task_axons' AND outcome IN ('cHIT', 'nHIT') GROUP BY ALL")
 def comparison_bars(spark, sf):
     values = metrics.comparison_values(_metrics(spark, sf), "rate")
-    return rounded(display.strip_values(values, [("task_axons", "cHIT"), ("task_axons", "nHIT")]))
+    bars = display.strip_values(values, [("task_axons", "cHIT"), ("task_axons", "nHIT")])
+    points = F.array_join(F.transform("values", lambda v: F.format_string("%.6f", v)), ",")
+    return rounded(bars.withColumn("points", points).drop("values"))
