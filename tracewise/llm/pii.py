@@ -30,9 +30,9 @@ from tracewise.llm.common import free_name, table
 
 KINDS = tagger.KINDS
 #: Characters of a window, between the fronts of two, and by which two may differ on where the middle of a span is.
-WINDOW, STRIDE, SLACK = 384, 256, 8
+WINDOW, STRIDE, SLACK = 640, 512, 8
 #: Windows that are decoded together, bytes of text handled at once, and windows that a task remembers.
-SLICE_WINDOWS, SLICE_BYTES, KEPT_WINDOWS = 768, 1_000_000, 30_000
+SLICE_WINDOWS, SLICE_BYTES, KEPT_WINDOWS = 768, 1_000_000, 20_000
 
 # Runs are possessive and begin where a run begins: a run that fails as a whole fails from any later digit too.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
