@@ -5,12 +5,12 @@ the weights meet a target entropy, or until no source is repeated more than a li
 number of passes over its documents: whole passes, and for what is left a part of one. Documents lie in blocks by a hash
 of their id; each pass visits the blocks in a permutation of its own. The partial pass first takes blocks that hold a
 large share of their source, the largest first, then the others in their permutation, each if it fits what is left of the
-budget; one that does not fit is passed over. The query's SQL has another rule, under which the first block that does not
-fit ends the pass; only ``query`` follows it. DataFrame functions only.
+budget; one that does not fit is passed over. DataFrame functions only.
 
 Without a budget, the smallest one is taken that gives every source a whole pass, so no document is left out. Defined
 cases: null text counts as empty and has no tokens; a source without tokens gets one pass; null sources form a source
-of their own; rows with a null id share a block; repeated rows count each; an empty table gives an empty mix.
+of their own; rows with a null id are dealt to blocks by all their columns; repeated rows count each; an empty table gives
+an empty mix.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from tracewise.llm.common import SPACE_RUN, cut, table, text_or_empty
 
 #: Times that a document of the most repeated source occurs, at most.
 MAX_REPETITION = 2.0
-#: Blocks of the whole corpus: so many at least, and of so many tokens at most on average.
-MIN_BLOCKS, BLOCK_TOKENS = 256, 4_000_000
+#: Blocks of the whole corpus: so many at least and at most, and in between of so many tokens on average. A pass over a
+#: source orders its blocks, which are no more than these.
+MIN_BLOCKS, MAX_BLOCKS, BLOCK_TOKENS = 256, 65_536, 4_000_000
 #: Blocks with more than this share of their source's tokens are taken first in a partial pass.
 LARGE_SHARE = 1 / 16
 #: Parts that one job splits the exponent's interval into, and jobs; 4 bits a job.
@@ -83,11 +84,22 @@ def exponent_for_entropy(shares: DataFrame, target: float) -> float:
     return low
 
 
+def _tokens(text_col: str, tokens_col: str | None) -> Column:
+    """A row's tokens: those of a column that holds them, or the text's."""
+    return (token_count(text_col) if tokens_col is None else F.coalesce(F.col(tokens_col).cast("long"), F.lit(0))).alias("n_tokens")
+
+
+def _block(docs: DataFrame, seed: str, id_col: str, blocks: int) -> Column:
+    """A row's block."""
+    everything = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return (_hash32(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), everything)) % blocks).alias("block")
+
+
 def source_weights(
     docs: DataFrame,
-    id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    tokens_col: str | None = None,
     max_repetition: float = MAX_REPETITION,
     target_entropy: float | None = None,
     budget_tokens: float | None = None,
@@ -96,7 +108,7 @@ def source_weights(
 
     ``passes`` is how often the budget goes over the source's documents.
     """
-    rows = docs.select(F.col(source_col).cast("string").alias("src"), token_count(text_col).alias("n_tokens"))
+    rows = docs.select(F.col(source_col).cast("string").alias("src"), _tokens(text_col, tokens_col))
     sources = cut(rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens")), few=True)
     known = sources.where("tokens > 0")
     total, least, most = known.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
@@ -112,7 +124,7 @@ def source_weights(
     budget = most * scale if budget_tokens is None else budget_tokens
     weight = F.when(F.col("tokens") > 0, raw / scale).otherwise(0.0)
     passes = F.when(F.col("tokens") > 0, F.lit(budget) * raw / scale / F.col("tokens")).otherwise(1.0)
-    blocks = max(MIN_BLOCKS, math.ceil(total / BLOCK_TOKENS))
+    blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, math.ceil(total / BLOCK_TOKENS)))
     return sources.select("src", "tokens", weight.alias("weight"), passes.alias("passes")), blocks
 
 
@@ -132,53 +144,43 @@ def _fitting(visits: DataFrame) -> DataFrame:
     return passes.select("src", "epoch", F.explode(taken).alias("x")).select("src", "x.block", "epoch", "x.block_pos")
 
 
-def block_plan(docs: DataFrame, seed: str, id_col: str, source_col: str, text_col: str, prefix: bool = False, **targets) -> tuple[DataFrame, int]:
-    """One row per visit of a block: ``src, block, epoch, block_pos``; and the number of blocks.
-
-    With ``prefix`` the first block that does not fit ends a partial pass, as the query's SQL has it. A source has as many
-    blocks as the whole corpus at most, so the ordering of its blocks stays small.
-    """
-    sources, blocks = source_weights(docs, id_col, source_col, text_col, **targets)
-    rows = docs.select(F.col(source_col).cast("string").alias("src"), F.col(id_col).alias("id"), token_count(text_col).alias("n_tokens"))
-    sums = rows.groupBy("src", (_hash32(F.lit(seed), "id") % blocks).alias("block")).agg(F.sum("n_tokens").alias("n_tokens"))
+def block_plan(docs: DataFrame, seed: str, id_col: str, source_col: str, text_col: str, tokens_col: str | None = None, **targets) -> tuple[DataFrame, int]:
+    """One row per visit of a block: ``src, block, epoch, block_pos``; and the number of blocks."""
+    sources, blocks = source_weights(docs, source_col, text_col, tokens_col, **targets)
+    rows = docs.select(F.col(source_col).cast("string").alias("src"), _block(docs, seed, id_col, blocks), _tokens(text_col, tokens_col))
+    sums = rows.groupBy("src", "block").agg(F.sum("n_tokens").alias("n_tokens"))
     whole = F.floor(F.col("passes") + 1e-9).cast("int")
-    rest = F.col("tokens") * (F.col("passes") - F.col("whole"))
-    part = F.greatest(F.round(rest) if prefix else F.floor(rest + 1e-6).cast("double"), F.lit(0.0))
+    part = F.greatest(F.floor(F.col("tokens") * (F.col("passes") - F.col("whole")) + 1e-6).cast("double"), F.lit(0.0))
     paced = sources.withColumn("whole", whole).withColumn("part", part).select("src", "tokens", "whole", "part")
     visits = sums.join(paced, sums.src.eqNullSafe(paced.src)).select(sums.src, "block", "n_tokens", "tokens", "whole", "part")
     visits = visits.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("part") > 0, F.col("whole")).otherwise(F.col("whole") - 1))))
     turn = Window.partitionBy("src", "epoch").orderBy(_hash32(F.lit(seed), "src", "epoch", "block"), "block")
-    visits = visits.withColumns({"block_pos": F.row_number().over(turn) - 1, "upto": F.sum("n_tokens").over(turn.rowsBetween(Window.unboundedPreceding, 0))})
-    if not prefix:
-        return _fitting(visits), blocks
-    taken = (F.col("epoch") < F.col("whole")) | (F.col("upto") <= F.col("part"))
-    return visits.where(taken).select("src", "block", "epoch", "block_pos"), blocks
+    return _fitting(visits.withColumn("block_pos", F.row_number().over(turn) - 1)), blocks
 
 
-def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **targets) -> DataFrame:
+def mix(
+    docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens_col: str | None = None, **targets
+) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as its block is visited.
 
     One struct column ``row`` with the columns of ``docs``, and ``epoch, block, block_pos``: the pass, the block, and the
-    block's turn in it. A hot source is spread over its blocks before the join with the plan.
+    block's turn in it. ``tokens_col`` names a column with token counts, where words of the text are not what counts. A
+    hot source is spread over its blocks before the join with the plan.
     """
-    plan, blocks = block_plan(docs, seed, id_col, source_col, text_col, **targets)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("src"), (_hash32(F.lit(seed), id_col) % blocks).alias("block"))
+    plan, blocks = block_plan(docs, seed, id_col, source_col, text_col, tokens_col, **targets)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("src"), _block(docs, seed, id_col, blocks))
     joined = rows.join(plan, (rows.block == plan.block) & rows.src.eqNullSafe(plan.src))
     return joined.select("row", "epoch", rows.block.cast("int").alias("block"), "block_pos")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every visit of every document: ``doc_id, source, n_tokens, epoch, block, block_pos``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    counted = docs.select("doc_id", "source", token_count("text").alias("n_tokens"))
-    plan, blocks = block_plan(docs, "mix", "doc_id", "source", "text", prefix=True)
-    rows = counted.withColumn("block", _hash32(F.lit("mix"), "doc_id") % blocks)
-    joined = rows.join(plan, (rows.block == plan.block) & rows.source.eqNullSafe(plan.src))
-    return joined.select("doc_id", "source", "n_tokens", "epoch", rows.block.cast("int").alias("block"), "block_pos")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", token_count("text").alias("n_tokens"))
+    return mix(docs, tokens_col="n_tokens").select("row.*", "epoch", "block", "block_pos")
 
 
 ORACLE = r"""
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents
 ), t AS (
   SELECT source, sum(n_tokens)::DOUBLE AS tokens FROM c GROUP BY source
@@ -189,22 +191,31 @@ WITH c AS (
 ), p AS (
   SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(tokens / most, a) * most / tokens ELSE 1.0 END AS passes FROM t, e
 ), q AS (
-  SELECT source, floor(passes + 1e-9)::INT AS whole,
-         greatest(round(tokens * (passes - floor(passes + 1e-9))), 0) AS part FROM p
+  SELECT source, tokens, floor(passes + 1e-9)::INT AS whole,
+         greatest(floor(tokens * (passes - floor(passes + 1e-9)) + 1e-6), 0)::BIGINT AS part FROM p
 ), d AS (
-  SELECT c.*, ('0x' || substr(md5('mix:' || doc_id), 1, 8))::BIGINT % greatest(256, ceil(total / 4000000))::BIGINT AS block FROM c, e
+  SELECT c.*, ('0x' || substr(md5('mix:' || doc_id), 1, 8))::BIGINT % least(65536, greatest(256, ceil(total / 4000000)))::BIGINT AS block FROM c, e
 ), s AS (
-  SELECT source, block, sum(n_tokens) AS n_tokens FROM d GROUP BY source, block
+  SELECT source, block, sum(n_tokens)::BIGINT AS n_tokens FROM d GROUP BY source, block
 ), v AS (
-  SELECT s.*, q.whole, q.part, unnest(range(0, CASE WHEN q.part > 0 THEN whole + 1 ELSE whole END)) AS epoch
+  SELECT s.*, q.tokens, q.whole, q.part, unnest(range(0, CASE WHEN q.part > 0 THEN whole + 1 ELSE whole END)) AS epoch
   FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source
 ), o AS (
   SELECT *, ('0x' || substr(md5('mix:' || coalesce(source, '') || ':' || epoch || ':' || block), 1, 8))::BIGINT AS turn FROM v
 ), w AS (
-  SELECT *, row_number() OVER (PARTITION BY source, epoch ORDER BY turn, block) - 1 AS block_pos,
-         sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY turn, block ROWS UNBOUNDED PRECEDING) AS upto FROM o
+  SELECT *, row_number() OVER (PARTITION BY source, epoch ORDER BY turn, block) - 1 AS block_pos FROM o
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN n_tokens > tokens / 16 THEN -n_tokens ELSE 0 END, block_pos, block) AS i
+  FROM w WHERE epoch = whole
+), g(source, i, room, taken) AS (
+  SELECT source, 0::BIGINT, part, false FROM q
+  UNION ALL
+  SELECT r.source, r.i, room - CASE WHEN n_tokens <= room THEN n_tokens ELSE 0 END, n_tokens <= room
+  FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source AND r.i = g.i + 1
+), x AS (
+  SELECT source, block, epoch, block_pos FROM w WHERE epoch < whole
+  UNION ALL SELECT r.source, block, epoch, block_pos FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source AND r.i = g.i WHERE taken
 )
-SELECT d.doc_id, d.source, d.n_tokens, w.epoch::INT AS epoch, d.block::INT AS block, w.block_pos::INT AS block_pos
-FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source AND d.block = w.block
-WHERE w.epoch < w.whole OR w.upto <= w.part
+SELECT d.doc_id, d.source, d.n_tokens, x.epoch::INT AS epoch, d.block::INT AS block, x.block_pos::INT AS block_pos
+FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.block = x.block
 """
