@@ -8,7 +8,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use inside.
-CLASHING = ("id", "norm", "fp", "sha", "keep_id", "component_id", "row", "src", "block", "epoch", "lang_pred", "score", "ids", "decoded", "spans", "kept", "path", "blob", "k1", "cell")
+CLASHING = ("id", "norm", "fp", "sha", "keep_id", "component_id", "row", "src", "block", "epoch", "lang_pred", "score", "ids", "decoded", "spans", "kept", "path", "blob", "k1", "cell", "whole", "prefix", "keep_fp", "made", "__lang", "__score", "__spans", "__fp", "__dropped_keys", "__dropped_id", "__lang_pred", "__lang_score")
 
 
 def words(n: int, seed: int) -> str:

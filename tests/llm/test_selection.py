@@ -140,8 +140,8 @@ def test_pipeline_stages_on_small_documents(spark, sf_dir):
         df = spark.createDataFrame(after, df.schema)
 
 
-def test_pipeline_stages_bear_awkward_and_empty_tables(spark, docs, empty):
-    for start in (docs, empty):
+def test_pipeline_stages_bear_awkward_and_empty_tables(spark, docs, empty, clashing):
+    for start in (docs, empty, clashing):
         df = start
         for name, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, "")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.common import cut, table
+from tracewise.llm.common import cut, free_name, table
 from tracewise.llm.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 2
@@ -160,11 +160,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(by_fp, F.col("fp") == F.col("held")).select("id", "fp", "component_id")
 
 
-def _marking(text_col: str):
+def _marking(text_col: str, out_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t.as_py()) for t in batch.column(text_col)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*batch.schema.names, out_col])
 
     return run
 
@@ -179,14 +179,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     distinct, stars, _ = _grouped(rows)
     rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("of"))
     first = rooted.agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "fp")).alias("x"))
-    keep = cut(first.select(F.col("x.id").alias("__keep"), F.col("x.fp").alias("__keep_fp")), few=True)
-    ids = keep.select("__keep").distinct()
-    if rows.join(ids, rows["id"].eqNullSafe(ids["__keep"]), "left_semi").count() == keep.count():
-        return docs.join(ids, docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
-    marked = docs.mapInArrow(_marking(text_col), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    keep = cut(first.select(F.col("x.id").alias("keep_id"), F.col("x.fp").alias("keep_fp")), few=True)
+    ids = keep.select("keep_id").distinct()
+    if rows.join(ids, rows["id"].eqNullSafe(ids["keep_id"]), "left_semi").count() == keep.count():
+        return docs.join(ids, docs[id_col].eqNullSafe(ids["keep_id"]), "left_semi")
+    made = free_name("__fp", docs.columns)
+    marked = docs.mapInArrow(_marking(text_col, made), T.StructType([*docs.schema.fields, T.StructField(made, T.LongType())]))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    held = marked.select(whole, F.col(id_col).alias("id"), F.col("__fp").alias("fp"))
-    found = held.join(keep, (F.col("fp") == F.col("__keep_fp")) & F.col("id").eqNullSafe(F.col("__keep")))
+    held = marked.select(whole, F.col(id_col).alias("id"), F.col(made).alias("fp"))
+    found = held.join(keep, (F.col("fp") == F.col("keep_fp")) & F.col("id").eqNullSafe(F.col("keep_id")))
     return found.groupBy("fp").agg(F.min_by("whole", F.to_json("whole")).alias("whole")).select("whole.*")
 
 
