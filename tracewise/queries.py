@@ -172,8 +172,9 @@ MI_SQL = f"""WITH {EVENTS_SQL}, {SIDES_SQL}, ct AS (
 
 
 def _sessions(events: DataFrame) -> DataFrame:
-    of = lambda side: F.count_distinct(F.when(F.col("side") == side, F.col("trial")))
-    return events.groupBy("protocol", "k0").agg(of("target").alias("n_target"), of("reference").alias("n_reference"))
+    of = lambda side: F.count_if(F.col("side") == side)
+    trials = events.select("protocol", "k0", "side", "trial").distinct()
+    return trials.groupBy("protocol", "k0").agg(of("target").alias("n_target"), of("reference").alias("n_reference"))
 
 
 def _indices(spark, sf) -> DataFrame:
