@@ -113,6 +113,8 @@ def test_top_k_is_brute_force(spark, sizes, monkeypatch):
     assert found == brute_top(rows, 4)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
     assert topk.top_k(df, F.lit(False)).count() == 0
+    wild = spark.createDataFrame([(5, [1e300, -1e300]), (6, [-1e300, 1e300]), (7, [1e17, 1e17]), (10, [1e300, 1e300]), (11, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert topk.top_k(wild, F.col("vec_id") % 5 == 0, k=3).count() == 6
 
 
 def test_pipeline_stages_on_small_documents(spark, sf_dir):

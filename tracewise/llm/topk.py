@@ -1,14 +1,16 @@
 """Exact top-k search by distributed histogram selection.
 
-Queries and candidates are dealt into blocks, and every pair of blocks scores all its vectors by a matrix product. Jobs
-over all pairs then narrow, for each query, the interval that holds its kth score: each sums a histogram of the interval
-over all candidates and goes on in the bin that the kth score falls into, until the bin is one value wide. A last job
-keeps what scores higher, and of the ties at the kth score the smallest ids.
+Queries and candidates are dealt into blocks, and every pair of blocks scores all its vectors by one matrix product. A pair
+passes on, for each of its queries, the scores that can be among the k best of all: the k best of the pair, ties to smaller
+ids. Jobs over these then narrow, for each query, the interval that holds its kth score: each sums a histogram of the
+interval and goes on in the bin that the kth score falls into, until the bin is one value wide. A last job keeps what
+scores higher, and of the ties at the kth score the smallest ids.
 
 Vectors become integers floor(64 * x), so scores and ties are exact. Defined cases: vectors that are null or hold null or
 non-finite components, and rows with a null id, take no part; vectors are compared with those of the same length only;
 rows that repeat an id are candidates each, but none for a query of that id; a query id that repeats is one query, with
-the smallest of its vectors. Empty vectors score 0. Scores beyond 2^61 wrap or are taken as lying there; there is no crash. Other columns play no part; an empty table gives an empty result.
+the smallest of its vectors. Empty vectors score 0. Scores beyond 2^61 wrap or are taken as lying there; there is no crash.
+Other columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from tracewise.llm.common import cut, table
 SCALE = 64
 #: Vectors in a block, on average; a pair of blocks is one unit of work.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
-#: Queries of a block whose scores are held at once, and bins that an interval is split into.
+#: Queries of a block whose scores are held at once, and bins that an interval of scores is split into.
 TILE, BINS = 256, 128
 
 
@@ -71,89 +73,56 @@ def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         return np.zeros((len(queries), len(candidates)), np.int64)
     most = float(np.abs(queries).max()) * float(np.abs(candidates).max()) * queries.shape[1]
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-    return (queries.astype(kind) @ candidates.astype(kind).T).astype(np.int64)
+    made = (queries.astype(kind) @ candidates.astype(kind).T).astype(np.int64)
+    return np.clip(made, -(2**61), 2**61) if kind is np.int64 else made
 
 
-def _tiles(batch: pa.RecordBatch, i: int) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray]]:
-    """Of the i-th pair of blocks: some queries' ids, the candidates' ids, the queries' states, and all scores.
+def _best(k: int):
+    """``query_id, vec_id, score`` of each query's k best in a pair of blocks; a query is no candidate of its own."""
 
-    A candidate that is the query itself is out of the way below every interval.
-    """
-    row = {c: batch.column(c)[i].as_py() for c in ("dim", "c_ids", "c_vectors", "q_ids", "q_vectors", "state")}
-    c_ids, candidates = _unpack(row["c_ids"], row["c_vectors"], row["dim"])
-    q_ids, queries = _unpack(row["q_ids"], row["q_vectors"], row["dim"])
-    state = sorted(row["state"], key=lambda s: s["id"])
-    held = {k: np.array([s[k] for s in state], np.int64) for k in ("low", "high", "need")}
-    for at in range(0, len(q_ids), TILE):
-        part = slice(at, at + TILE)
-        scores = _scores(queries[part], candidates)
-        scores[q_ids[part][:, None] == c_ids[None, :]] = np.iinfo(np.int64).min
-        yield q_ids[part], c_ids, {k: v[part] for k, v in held.items()}, scores
-
-
-def _bin_width(low, high):
-    return (high - low) // BINS + 1
-
-
-def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, bin, n`` over each query's interval, bins counted from above.
-
-    A block counts no further down than as many scores as are still needed: lower ones can't be the kth of all.
-    """
-    for batch in batches:
-        for i in range(batch.num_rows):
-            for q_ids, _, state, scores in _tiles(batch, i):
-                low, high = state["low"][:, None], state["high"][:, None]
-                scores[scores > high] = np.iinfo(np.int64).min
-                need = int(state["need"].max())
-                if scores.shape[1] > need:
-                    scores = np.partition(scores, scores.shape[1] - need, axis=1)[:, -need:]
-                own, _ = np.nonzero(scores >= low)
-                bins = ((high - scores) // _bin_width(low, high))[scores >= low]
-                keys, n = np.unique(own * (BINS + 1) + bins, return_counts=True)
-                out = [pa.array(q_ids[keys // (BINS + 1)]), pa.array((keys % (BINS + 1)).astype(np.int32)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "bin", "n"])
-
-
-def _selecting(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                for q_ids, c_ids, state, scores in _tiles(batch, i):
-                    least = state["low"][:, None]
-                    tie = scores == least
+                row = {c: batch.column(c)[i].as_py() for c in ("dim", "c_ids", "c_vectors", "q_ids", "q_vectors")}
+                c_ids, candidates = _unpack(row["c_ids"], row["c_vectors"], row["dim"])
+                q_ids, queries = _unpack(row["q_ids"], row["q_vectors"], row["dim"])
+                for at in range(0, len(q_ids), TILE):
+                    own_ids = q_ids[at : at + TILE]
+                    scores, other = _scores(queries[at : at + TILE], candidates), own_ids[:, None] != c_ids[None, :]
+                    low = np.where(other, scores, np.iinfo(np.int64).min)
+                    kth = np.partition(low, low.shape[1] - k, axis=1)[:, -k, None] if low.shape[1] > k else low.min(1, initial=0, keepdims=True)
+                    above, tie = low > kth, low == kth
                     # Candidates stand in the order of their ids, so the first ties are those to keep.
-                    keep = (scores > least) | tie & (np.cumsum(tie, axis=1) <= k)
-                    own, other = np.nonzero(keep)
-                    out = [pa.array(q_ids[own]), pa.array(c_ids[other]), pa.array(scores[own, other])]
+                    keep = (above | tie & (np.cumsum(tie, axis=1) <= k - above.sum(1, keepdims=True))) & other
+                    q, c = np.nonzero(keep)
+                    out = [pa.array(own_ids[q]), pa.array(c_ids[c]), pa.array(scores[q, c])]
                     yield pa.RecordBatch.from_arrays(out, names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _pairs(candidates: DataFrame, queries: DataFrame, state: DataFrame, n_c: int, n_q: int) -> DataFrame:
-    """Every pair of a candidate and a query block of one vector length, with the states of the block's queries."""
-    states = state.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "low", "high", "need")).alias("state"))
-    q = queries.join(states, ["dim", "block"]).select("dim", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "state")
+def _pairs(candidates: DataFrame, queries: DataFrame, n_c: int, n_q: int) -> DataFrame:
+    """Every pair of a candidate and a query block of one vector length."""
+    q = queries.select("dim", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     c = candidates.select("dim", F.col("block").alias("cb"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
     q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
     c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     return c.join(q, ["dim", "cb", "qb"])
 
 
-def _narrower(state: DataFrame, pairs: DataFrame) -> DataFrame:
+def _narrower(state: DataFrame, kept: DataFrame) -> DataFrame:
     """The states, with each interval narrowed to the bin of the kth score; to its lower end if there are too few scores."""
-    counts = pairs.mapInArrow(_histograms, "id long, bin int, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
-    counts = counts.join(state.select("id", "need"), "id")
-    down = Window.partitionBy("id").orderBy("bin")
+    width = F.floor((F.col("high") - F.col("low")) / BINS).cast("long") + 1
+    held = kept.join(state.withColumn("width", width), "query_id").where("score >= low and score <= high")
+    counts = held.groupBy("query_id", "need", F.expr("(high - score) div width").alias("bin")).agg(F.count("*").alias("n"))
+    down = Window.partitionBy("query_id").orderBy("bin")
     counts = counts.withColumn("upto", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     found = counts.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
-    found = found.select("id", "bin", (F.col("upto") - F.col("n")).alias("above"))
-    width = F.floor((F.col("high") - F.col("low")) / BINS).cast("long") + 1
+    found = found.select("query_id", "bin", (F.col("upto") - F.col("n")).alias("above"))
     top = F.col("high") - F.col("bin") * width
     return cut(
-        state.join(found, "id", "left").select(
-            "dim", "block", "id",
+        state.join(found, "query_id", "left").select(
+            "query_id",
             F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.greatest("low", top - width + 1)).alias("low"),
             F.when(F.col("bin").isNull(), F.col("low")).otherwise(top).alias("high"),
             (F.col("need") - F.coalesce("above", F.lit(0))).alias("need"),
@@ -165,24 +134,22 @@ def _narrower(state: DataFrame, pairs: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best of all other vectors for each row for which ``is_query`` holds.
 
-    ``is_query`` is a condition on the columns of ``vectors``. Blocks, intervals and histograms stay on the executors;
-    the driver learns counts, the largest norm, and whether all intervals are one value wide.
+    ``is_query`` is a condition on the columns of ``vectors``. Blocks, scores, intervals and histograms stay on the
+    executors; the driver learns counts, and whether all intervals are one value wide.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), integers(vector_col).alias("v"), is_query.alias("asked"))
     rows = rows.where("id is not null and v is not null")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    n, asked, longest = rows.agg(F.count("*"), F.count_if("asked"), F.max(norm)).first()
+    n, asked = rows.agg(F.count("*"), F.count_if("asked")).first()
     n_c, n_q = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    candidates = _blocks(rows.select("id", "v"), n_c)
-    asking = cut(rows.where("asked").groupBy("id").agg(F.min("v").alias("v")), few=True)
-    queries = _blocks(asking, n_q)
-    # No score is beyond the product of the lengths, nor beyond what an integer holds.
-    most = (F.ceil(F.least(norm * F.lit(float(longest or 0.0)) * (1 + 1e-9), F.lit(2.0**61))) + 1).cast("long")
-    block = F.pmod(F.xxhash64("id", "v"), F.lit(n_q)).cast("int")
-    state = cut(asking.select(F.size("v").alias("dim"), block.alias("block"), "id", (-most).alias("low"), most.alias("high"), F.lit(k).cast("long").alias("need")), few=True)
-    while (state.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0) > 0:
-        state = _narrower(state, _pairs(candidates, queries, state, n_c, n_q))
-    chosen = _pairs(candidates, queries, state, n_c, n_q).mapInArrow(_selecting(k), "query_id long, vec_id long, score long")
+    queries = _blocks(rows.where("asked").groupBy("id").agg(F.min("v").alias("v")), n_q)
+    pairs = _pairs(_blocks(rows.select("id", "v"), n_c), queries, n_c, n_q)
+    # Dealt by number: pairs are few bytes and much work.
+    dealt = pairs.repartition(max(1, min(n_c * n_q, 64 * vectors.sparkSession.sparkContext.defaultParallelism)), "dim", "cb", "qb")
+    kept = cut(dealt.mapInArrow(_best(k), "query_id long, vec_id long, score long"))
+    state = cut(kept.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.lit(k).cast("long").alias("need")), few=True)
+    while not state.where("high > low").isEmpty():
+        state = _narrower(state, kept)
+    chosen = kept.join(state.select("query_id", F.col("low").alias("kth")), "query_id").where("score >= kth")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return chosen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
