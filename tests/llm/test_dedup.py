@@ -215,16 +215,20 @@ def test_the_query_consults_the_filters(spark, tmp_path, docs):
     assert sorted(map(tuple, found), key=repr) == sorted(((i, n, d, sha(t)) for i, n, d, t in brute_lines(awkward_rows())), key=repr)
 
 
-def plain_fingerprint(text):
+def plain_shingles(text, n):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     held = re.findall(r"[^\x20\x09-\x0D]+", low)
-    parts = [" ".join(held[i : i + 3]) for i in range(len(held) - 2)] or ([" ".join(held)] if held else [])
-    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return [" ".join(held[i : i + n]) for i in range(len(held) - n + 1)] or ([" ".join(held)] if held else [])
+
+
+def plain_fingerprint(text, n=3):
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in plain_shingles(text, n)]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
-def brute_components(rows):
-    made = [plain_fingerprint(r[1]) for r in rows]
+def brute_components(rows, link=simhash.CLOSE):
+    made = [plain_fingerprint(r[1], link.words) for r in rows]
+    keys = [set(simhash.band_keys(simhash.shingle_hashes(r[1], link.words), link.bands).tolist()) if link.bands else {0} for r in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -233,7 +237,7 @@ def brute_components(rows):
         return i
 
     for i, j in combinations(range(len(rows)), 2):
-        if (made[i] ^ made[j]).bit_count() <= 2:
+        if made[i] == made[j] or (made[i] ^ made[j]).bit_count() <= link.radius and keys[i] & keys[j]:
             parent[root(i)] = root(j)
     groups = defaultdict(list)
     for i, r in enumerate(rows):
@@ -257,6 +261,34 @@ def test_near_groups_are_brute_force(docs, spark, clashing, empty):
     assert digest(simhash.near_groups(df)) == brute_components(near)
 
 
+def edited(text, share, rng):
+    """The text with a share of its words replaced, spread over it."""
+    held = text.split()
+    for i in rng.choice(len(held), max(1, int(share * len(held))), replace=False):
+        held[i] = f"w{rng.integers(10**6)}"
+    return " ".join(held)
+
+
+@pytest.mark.parametrize("tile", [8, 2048])
+def test_similar_texts_are_found(spark, tile, monkeypatch):
+    """Near copies down to a five-word similarity of 0.8 are found; texts that share a passage or nothing are left alone."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(11)
+    rows = [(i, words(int(rng.integers(80, 400)), i)) for i in range(60)]
+    rows += [(1000 + i, edited(rows[i % 30][1], 0.015, rng)) for i in range(90)]
+    shared = words(40, 999)
+    rows += [(2000 + i, f"{words(200, 3000 + i)} {shared}") for i in range(40)]
+    rows += [(3000, None), (3001, ""), (None, rows[0][1]), (3002, "two words"), (3003, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(simhash.near_groups(df, link=simhash.SIMILAR)) == brute_components(rows, simhash.SIMILAR)
+    kept = {r.doc_id for r in simhash.keep_one(df, link=simhash.SIMILAR).collect()}
+    held = [(i, set(plain_shingles(t, 5))) for i, t in rows if i is not None]
+    group = dict(simhash.near_groups(df, link=simhash.SIMILAR).where("id is not null").select("id", "component_id").collect())
+    pairs = [(i, j) for (i, a), (j, b) in combinations(held, 2) if a and b and len(a & b) >= 0.8 * len(a | b)]
+    assert len(pairs) > 80 and sum(group[i] == group[j] for i, j in pairs) >= 0.95 * len(pairs)
+    assert {2000 + i for i in range(40)} <= kept and all(group[i] == i for i in range(2000, 2040))
+
+
 @pytest.mark.parametrize("tile", [4, 64])
 def test_tiles_lose_no_link(spark, tile, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", tile)
@@ -268,7 +300,7 @@ def test_tiles_lose_no_link(spark, tile, monkeypatch):
             flips = rng.choice(64, rng.integers(1, 5), replace=False)
             values.add(int(s) ^ sum(1 << int(b) for b in flips))
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    found = components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))).collect()
+    found = components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), simhash.CLOSE)).collect()
     root = {v: v for v in signed}
     root |= {r.node: r.root for r in found}
     u = np.array(signed).astype(np.uint64) if min(signed) >= 0 else np.array([v % 2**64 for v in signed], np.uint64)

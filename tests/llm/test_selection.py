@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewise.llm import langid, mixing, queries, topk
+from tracewise.llm import langid, mixing, queries, simhash, topk
 
 from .conftest import awkward_rows, words
 from .test_dedup import brute_components, brute_exact
@@ -136,7 +136,7 @@ def test_pipeline_stages_on_small_documents(spark, sf_dir):
         if name == "exact_dedup":
             assert {r[0] for r in after} == {r[0] for r in brute_exact(before) if r[3]}
         if name == "near_dedup":
-            assert {r[0] for r in after} == {r[0] for r in brute_components(before) if r[0] == r[2]}
+            assert {r[0] for r in after} == {r[0] for r in brute_components(before, simhash.SIMILAR) if r[0] == r[2]}
         if name == "mixing":
             assert set(after) == set(before)
         df = spark.createDataFrame(after, df.schema)
