@@ -284,6 +284,16 @@ def test_pinned_values():
     assert [r["passed"] for r in got] == [True, True, False]
 
 
+def test_pinned_values_grade_a_run():
+    assert not any(r["passed"] for r in validation.check_values({}))
+    assert all(r["passed"] for r in validation.check_values(dict(validation.PINNED)))
+    near = dict(validation.PINNED) | {"reward.regression.task_axons_p_value": 0.91, "reward.rewarded_trials": validation.PINNED["reward.rewarded_trials"] | {"task_axons": 69}}
+    assert {r["name"] for r in validation.check_values(near) if not r["passed"]} == {"reward.rewarded_trials"}
+    wanted = validation.PINNED["reward.modulated_proportions"]
+    assert {k: round(100 * a / b, 1) for k, (a, b) in wanted.items()}["passive_axons"] == 67.0
+
+
+
 def test_histogram(spark):
     rows = [("p", "target", x) for x in (5.0, 5.05, 5.1, 6.45, 6.5, 6.51, 4.99)]
     totals = spark.createDataFrame([("p", 10, 5)], "protocol string, n_target long, n_reference long")

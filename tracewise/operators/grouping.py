@@ -173,7 +173,8 @@ def trace_units(tables: Mapping[str, DataFrame], legacy: bool = True) -> DataFra
     axons = three.select(F.lit("passive_axons").alias("protocol"), session_name(BATCH3, "id", "fov").alias("k0"), "roi")
     one = tables["traces_batch1"].where(F.col("protocol") == PASSIVE_PROTOCOL).select("id", "compartment", "roi").distinct()
     if legacy:
-        # Fields come in the order of their first rows; one field's list is small.
+        # Fields come in the order of their first rows. One row names the last; its units, some hundreds that one image
+        # holds, are listed by each session: the slip's own output, whatever makes it.
         last = three.groupBy("id", "fov").agg(F.min("first").alias("first")).orderBy(F.desc("first")).limit(1)
         stale = three.join(F.broadcast(last.select("id", "fov")), ["id", "fov"]).select("roi")
         one = one.select("id", "compartment").distinct().crossJoin(stale)
