@@ -305,8 +305,9 @@ sa AS (
 SIDE_SQL = """count(v) FILTER (WHERE g = 'a') AS n_a, count(v) FILTER (WHERE g = 'b') AS n_b, avg(v) FILTER (WHERE g = 'a') AS mean_a, avg(v) FILTER (WHERE g = 'b') AS mean_b,
   var_samp(v) FILTER (WHERE g = 'a') AS va, var_samp(v) FILTER (WHERE g = 'b') AS vb"""
 # The tail of Student's t for whole degrees of freedom, as a finite sum over powers of a cosine.
-TAIL_SQL = """round(1 - CASE WHEN nu % 2 = 0 THEN sin(th) * list_sum(list_transform(range(0, nu // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * cos(th) ** (2 * k)))
-  ELSE 2 / pi() * (th + CASE WHEN nu > 1 THEN sin(th) * list_sum(list_transform(range(0, (nu - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * cos(th) ** (2 * k + 1))) ELSE 0 END) END, 6) AS p_value"""
+EXACT_TAIL_SQL = """(1 - CASE WHEN nu % 2 = 0 THEN sin(th) * list_sum(list_transform(range(0, nu // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * cos(th) ** (2 * k)))
+  ELSE 2 / pi() * (th + CASE WHEN nu > 1 THEN sin(th) * list_sum(list_transform(range(0, (nu - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * cos(th) ** (2 * k + 1))) ELSE 0 END) END)"""
+TAIL_SQL = f"round({EXACT_TAIL_SQL}, 6) AS p_value"
 # The same for any degrees of freedom nu: Simpson's rule with 400 steps over the density in terms of an angle.
 WELCH_TAIL_SQL = """1 - exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(pi()) * 2 * th / 1200
   * list_sum(list_transform(range(0, 401), lambda k: CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * cos(k / 400 * th) ** (nu - 1)))"""
@@ -321,7 +322,7 @@ pr AS (
   SELECT name, count(*) AS n_a, count(*) AS n_b, avg(a) AS mean_a, avg(b) AS mean_b, var_samp(a) AS va, var_samp(b) AS vb,
          avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t, count(*) - 1 AS nu FROM pr GROUP BY name
 ), student AS (
-  SELECT *, {TAIL_SQL} FROM (
+  SELECT *, {EXACT_TAIL_SQL} AS p_value FROM (
     SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM (
       SELECT *, (mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2) * (1 / n_a + 1 / n_b)) AS t, n_a + n_b - 2 AS nu FROM s))
 ), welch AS (
@@ -329,7 +330,7 @@ pr AS (
     SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM (
       SELECT *, (mean_a - mean_b) / sqrt(va / n_a + vb / n_b) AS t,
              (va / n_a + vb / n_b) ** 2 / ((va / n_a) ** 2 / (n_a - 1) + (vb / n_b) ** 2 / (n_b - 1)) AS nu FROM s))
-), paired AS (SELECT *, {TAIL_SQL} FROM (SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM ps)),
+), paired AS (SELECT *, {EXACT_TAIL_SQL} AS p_value FROM (SELECT *, atan(abs(t) / sqrt(nu)) AS th FROM ps)),
 rk AS (
   SELECT name, g, rank() OVER (PARTITION BY name ORDER BY round(v, 12)) + (count(*) OVER (PARTITION BY name, round(v, 12)) - 1) / 2 AS r FROM sa
 ), us AS (
