@@ -106,6 +106,29 @@ def test_store_writes_once_and_keys_hold_parameters(spark, tmp_path):
         held.resolve("nothing")
 
 
+def test_artifacts_are_made_again_from_the_command_line(spark, tmp_path, monkeypatch):
+    from tracewise import __main__ as cli
+
+    monkeypatch.setenv("DERIVATIVES_ROOT", str(tmp_path))
+    held = store.Store.from_env(spark)
+    assert held.root == f"{tmp_path}/store" and not held.exists("n")
+    key, _ = held.get_or_compute("n", numbers, parameters={"n": 7})
+    assert held.exists(key) and held.folder(key) == f"{held.root}/{key}"
+    command = held.record(key).replay_command(held.root, f"{tmp_path}/again").split()
+    assert command[:4] == ["python", "-m", "tracewise", "replay"] and cli.main(command[3:]) == 0
+    assert spark.read.parquet(f"{tmp_path}/again/{key}").count() == 7
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as Fake
+
+    from tracewise.plans.lineage import checkpointed
+
+    context = Fake(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match=r"spark.checkpoint.dir"):
+        checkpointed(Fake(sparkSession=Fake(sparkContext=context, conf={})))
+
+
 def test_recipes_are_replayed(spark, tmp_path):
     held = store.Store(spark, str(tmp_path), store.Policy(never=frozenset({"data"})))
     key, _ = held.get_or_compute("n", numbers, parameters={"n": 4})

@@ -1,4 +1,4 @@
-"""Command line: ``python -m tracewise onset|manifest|latency|ingest|validate``. Paths may be on any file system of Spark's."""
+"""Command line: ``python -m tracewise onset|manifest|latency|ingest|validate|replay``. Paths may be on any file system of Spark's."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from tracewise.functions.formats import describe_match
 from tracewise.operators import recipes, validation
 from tracewise.plans import cohort, published, session
 from tracewise.plans.specs import CohortConfig, load_config, load_manifest
+from tracewise.plans.store import Store
 from tracewise.sources import event_files, nested
 from tracewise.sources import tables as T
 
@@ -30,6 +31,9 @@ def _arguments(args: list[str]) -> argparse.Namespace:
     ingest = commands.add_parser("ingest")
     ingest.add_argument("--source", required=True, help="folder of nested JSON sources")
     ingest.add_argument("--dest", required=True)
+    replay = commands.add_parser("replay")
+    for name in ("--root", "--key", "--out"):
+        replay.add_argument(name, required=True)
     validate = commands.add_parser("validate")
     validate.add_argument("--source", required=True)
     validate.add_argument("--converted", required=True)
@@ -71,6 +75,9 @@ def main(args: list[str] | None = None) -> int:
         for name, path in sorted(nested.convert_all(spark, args.source, args.dest).items()):
             print(f"{name}: {path}")
         return 0
+    if args.command == "replay":
+        _write(Store(spark, args.root).remade(args.key), args.out, args.key)
+        return 0
     if args.command == "validate":
         report = validate(spark, args.source, args.converted, args.alignment).collect()
         for row in report:

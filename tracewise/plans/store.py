@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import importlib
 import json
+import shlex
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
@@ -19,6 +20,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewise.plans.session import derivatives_root
+
 STORED, RECIPE = "materialized", "mutation_record"
 GIB = 1 << 30
 
@@ -101,6 +104,10 @@ class Record:
     size_bytes: int | None = None
     note: str = ""
 
+    def replay_command(self, root: str, out: str) -> str:
+        """What to type to make the artifact again and write it below ``out``."""
+        return shlex.join(["python", "-m", "tracewise", "replay", "--root", root, "--key", self.key, "--out", out])
+
 
 def written_bytes(spark: SparkSession, path: str) -> int:
     """Size of the files below a folder."""
@@ -113,6 +120,30 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, policy: Policy | None = None):
         self.spark, self.root, self.policy = spark, root.rstrip("/"), policy or Policy()
 
+    @classmethod
+    def from_env(cls, spark: SparkSession, policy: Policy | None = None) -> Store:
+        """The store in the folder of results that settings name."""
+        return cls(spark, f"{derivatives_root()}/store", policy)
+
+    def folder(self, key: str) -> str:
+        """Where a key's data and record are."""
+        return f"{self.root}/{key}"
+
+    def exists(self, key: str) -> bool:
+        """Whether anything is known of a key."""
+        return self.record(key) is not None
+
+    def remade(self, key: str) -> DataFrame:
+        """The artifact made again from its recipe, also where it is stored; its inputs are read or made as usual."""
+        record = self._known(key)
+        return function_of(record.function)(*[self.resolve(k) for k in record.inputs], **record.parameters)
+
+    def _known(self, key: str) -> Record:
+        record = self.record(key)
+        if record is None:
+            raise StoreError(f"there is no artifact {key!r} below {self.root}")
+        return record
+
     def key(self, name: str, function: Callable, parameters: Mapping[str, Any], inputs: Sequence[str]) -> str:
         """``name`` with a digest of all that the result follows from."""
         body = json.dumps([name_of(function), dict(parameters), list(inputs)], sort_keys=True, default=str)
@@ -121,23 +152,20 @@ class Store:
     def record(self, key: str) -> Record | None:
         """What is known of a key; None if nothing is."""
         try:
-            body = json.loads(self.spark.read.text(f"{self.root}/{key}/record").first()[0])
+            body = json.loads(self.spark.read.text(f"{self.folder(key)}/record").first()[0])
         except AnalysisException:
             return None
         return Record(**(body | {"inputs": tuple(body["inputs"])}))
 
     def _note(self, record: Record) -> None:
         body = json.dumps(asdict(record), sort_keys=True, default=str)
-        self.spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{record.key}/record")
+        self.spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder(record.key)}/record")
 
     def resolve(self, key: str) -> DataFrame:
         """The artifact: read back, or made again from its recipe and its inputs', lazily."""
-        record = self.record(key)
-        if record is None:
-            raise StoreError(f"there is no artifact {key!r} below {self.root}")
-        if record.representation == STORED:
-            return self.spark.read.parquet(f"{self.root}/{key}/data")
-        return function_of(record.function)(*[self.resolve(k) for k in record.inputs], **record.parameters)
+        if self._known(key).representation == STORED:
+            return self.spark.read.parquet(f"{self.folder(key)}/data")
+        return self.remade(key)
 
     def get_or_compute(
         self, name: str, function: Callable[..., DataFrame], inputs: Sequence[str] = (), parameters: Mapping[str, Any] | None = None,
@@ -151,11 +179,11 @@ class Store:
         """
         parameters = dict(parameters or {})
         key = self.key(name, function, parameters, inputs)
-        if not force and self.record(key) is not None:
+        if not force and self.exists(key):
             return key, self.resolve(key)
         called, seconds, size = name_of(function), None, None
         if kind not in self.policy.never:
-            path, began = f"{self.root}/{key}/data", time.perf_counter()
+            path, began = f"{self.folder(key)}/data", time.perf_counter()
             made = function(*[self.resolve(k) for k in inputs], **parameters)
             made.write.mode("overwrite").parquet(path)
             seconds, size = time.perf_counter() - began, written_bytes(self.spark, path)
@@ -168,7 +196,5 @@ class Store:
 
     def lineage(self, key: str) -> list[Record]:
         """Records of the artifact and all it comes from, inputs first."""
-        record = self.record(key)
-        if record is None:
-            raise StoreError(f"there is no artifact {key!r} below {self.root}")
+        record = self._known(key)
         return [r for k in record.inputs for r in self.lineage(k)] + [record]
