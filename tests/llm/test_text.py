@@ -322,6 +322,18 @@ def test_long_words_are_summed_whole():
     assert (counts * sizes).sum() == pytest.approx(sum(w * len(x) for w, x in zip(weights, held, strict=True)))
 
 
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "bb"]
+    p = np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.2, 0.2], [0.1, 0.05], [0.2, 0.3], [0.1, 0.05], [1e-3, 1e-3]])
+    model, rng = langid.Model(["x", "y"], pieces, p / p.sum(0)), random.Random(6)
+    texts = ["".join(rng.choice("ab Ab\n1z") for _ in range(rng.randint(0, 400))) for _ in range(40)] + [None, "", "a" * 90, "12 34"]
+    whole = langid.Scorer(model).texts(texts)
+    monkeypatch.setattr(langid, "SLICE_BYTES", 32)
+    assert all("".join(langid.parts(t or "")) == (t or "") for t in texts)
+    again = langid.Scorer(model).texts(texts)
+    assert again[0] == whole[0] and again[1] == pytest.approx(whole[1])
+
+
 def test_language_of_held_out_documents(spark, sf_dir, docs, clashing, empty):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.fit(table, teachers=60)

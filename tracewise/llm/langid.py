@@ -43,6 +43,7 @@ SMALL = 1e-100
 KEPT_WORDS, SLICE_BYTES, PASS_SUMS = 400_000, 1_000_000, 1_000_000
 MARK = "▁"
 _WORDS = re.compile(r"[^\W\d_]+").findall
+_GAP = re.compile(r"\s").search
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,6 +194,18 @@ def passes(words: list[str], languages: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def parts(text: str) -> Iterator[str]:
+    """The text in parts of ``SLICE_BYTES`` characters or a little more, cut before white space, which is in no word."""
+    at = 0
+    while len(text) - at > SLICE_BYTES:
+        cut_at = _GAP(text, at + SLICE_BYTES)
+        if not cut_at:
+            break
+        yield text[at : cut_at.start()]
+        at = cut_at.start()
+    yield text[at:]
+
+
 def words_of(text: str) -> list[str]:
     """The text's words as they are scored."""
     return [MARK + w for w in _WORDS(text.lower())]
@@ -202,7 +215,8 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches, "text", SLICE_BYTES):
         seen: Counter = Counter()
         for language, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
-            seen.update((language, w) for w in words_of(text or ""))
+            for part in parts(text or ""):
+                seen.update((language, w) for w in words_of(part))
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "word", "n"])
 
@@ -283,12 +297,29 @@ class Scorer:
         return out
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Each text's language and the language's probability."""
+        """Each text's language and the language's probability. Of long texts a part is split into words at a time."""
         if not self.model.languages:
             return [UND] * len(texts), np.zeros(len(texts))
+        total, lettered = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts), bool)
+        waiting, size = [], 0
+        for i, text in enumerate(texts):
+            for part in parts(text or ""):
+                waiting.append((i, part))
+                size += len(part)
+                if size > SLICE_BYTES:
+                    self._add(waiting, total, lettered)
+                    waiting, size = [], 0
+        self._add(waiting, total, lettered)
+        best = total.argmax(1)
+        share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        names = [self.model.languages[b] if ok else UND for b, ok in zip(best, lettered, strict=True)]
+        return names, np.where(lettered, share, 0.0)
+
+    def _add(self, pieces: list[tuple[int, str]], total: np.ndarray, lettered: np.ndarray) -> None:
+        """Add the words of parts of texts to their texts' scores."""
         if len(self.numbers) > KEPT_WORDS:
             self._clear()
-        split = [_WORDS(t.lower()) if t else [] for t in texts]
+        split = [_WORDS(t.lower()) for _, t in pieces]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         flat = [w for s in split for w in s]
         new = list(set(flat).difference(self.numbers))
@@ -297,19 +328,13 @@ class Scorer:
             self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, self.words([MARK + w for w in new])])
             self.letters = np.r_[self.letters, np.array([any(map(str.isalpha, w)) for w in new])]
-        numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        ends = np.cumsum(counts)
-        total = np.zeros((len(texts), len(self.model.languages)))
-        lettered = np.zeros(len(texts), bool)
         some = np.flatnonzero(counts)
         if len(some):
-            first = (ends - counts)[some]
-            total[some] = np.add.reduceat(self.scores[numbers], first, axis=0)
-            lettered[some] = np.logical_or.reduceat(self.letters[numbers], first)
-        best = total.argmax(1)
-        share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        names = [self.model.languages[b] if ok else UND for b, ok in zip(best, lettered, strict=True)]
-        return names, np.where(lettered, share, 0.0)
+            numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
+            first = (np.cumsum(counts) - counts)[some]
+            of = np.array([i for i, _ in pieces], np.int64)[some]
+            np.add.at(total, of, np.add.reduceat(self.scores[numbers], first, axis=0))
+            np.logical_or.at(lettered, of, np.logical_or.reduceat(self.letters[numbers], first))
 
 
 #: The scorer of the last model that this worker met.
