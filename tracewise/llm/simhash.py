@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ SEED = 42
 TILE, PART = 2048, 128
 #: Comparisons of fingerprints that a task gets, on average: some seconds of work.
 TASK_PAIRS = 1 << 30
+#: Hashes of a long text whose bits are counted at a time.
+PART_HASHES = 1 << 16
 _hash = xxhash.xxh64_intdigest
 
 
@@ -59,18 +62,22 @@ CLOSE, SIMILAR = Link(), Link(words=5, radius=14, bands=8)
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """The hash of each shingle, repeats included; of a shorter text its whole."""
     held = (text or "").encode().lower().split()
-    shingles = zip(*(held[i:] for i in range(words)), strict=False) if len(held) >= words else [held] if held else []
-    return np.array([_hash(b" ".join(s), SEED) for s in shingles], np.uint64)
+    if len(held) < words:
+        return np.array([_hash(b" ".join(held), SEED)] if held else [], np.uint64)
+    shingles = zip(*(islice(held, i, None) for i in range(words)), strict=False)
+    return np.fromiter((_hash(b" ".join(s), SEED) for s in shingles), np.uint64, len(held) - words + 1)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
     """The bits that more than half of the hashes have, as an unsigned number."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    # Sums of up to 255 bits fit a byte.
-    counts = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(bits)).tobytes(), "big")
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PART_HASHES):
+        bits = np.unpackbits(hashes[at : at + PART_HASHES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        # Sums of up to 255 bits fit a byte.
+        counts += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def _odd(n: int) -> np.ndarray:
