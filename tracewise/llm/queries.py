@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewise.llm import bpe, chat, exact_dedup, langid, line_dedup, mixing, pii, secret_ledger, simhash, topk
+from tracewise.llm import bpe, chat, exact_dedup, fim, langid, line_dedup, mixing, packing, pii, resample, secret_ledger, simhash, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_topk": topk.query,
     "op10_language_id": langid.query,
+    "op11_resample": resample.query,
+    "op12_fill_in_middle": fim.query,
+    "op13_packing": packing.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -23,4 +26,6 @@ ORACLES = {
     "op5_secrets": secret_ledger.ORACLE,
     "op7_chat": chat.ORACLE,
     "op9_topk": topk.ORACLE,
+    "op11_resample": resample.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
 }
