@@ -142,8 +142,9 @@ def test_marks_that_can_arise_by_chance_are_refused(marks):
 
 def test_offsets_are_those_of_the_whole_text():
     splitter = fim.Splitter(fim.CODE_POINT)
-    for text in (words(500, 3) * 3, "ünï\r\n\t  \x85 😀" * 40, "z" * 5000, ""):
-        assert splitter.offsets(text).tolist() == [a for _, (a, _) in splitter.split(text)]
+    texts = [words(500, 3) * 3, "ünï\r\n\t  \x85 😀" * 40, "z" * 5000, ""]
+    for text, found in zip(texts, splitter.offsets(texts), strict=True):
+        assert found.tolist() == [a for _, (a, _) in splitter.split(text)]
 
 
 @pytest.fixture(scope="module")

@@ -85,17 +85,21 @@ class Splitter:
         self.lengths = np.r_[self.lengths, np.fromiter(map(len, runs), np.int64, len(runs))]
         self.flat = np.r_[self.flat, np.fromiter((a for f in found for a in f), np.int64, int(sizes.sum()))]
 
-    def offsets(self, text: str) -> np.ndarray:
-        """Where each unit of the text begins, in code points."""
+    def offsets(self, texts: list[str]) -> list[np.ndarray]:
+        """Where each unit of each text begins, in code points."""
         if self.whole:
-            return np.fromiter((a for _, (a, _) in self.split(text)), np.int64)
+            return [np.fromiter((a for _, (a, _) in self.split(t)), np.int64) for t in texts]
         if len(self.numbers) > KEPT_RUNS:
             self._clear()
-        runs = _RUNS(text)
-        new = [r for r in dict.fromkeys(runs) if r not in self.numbers]
+        split = list(map(_RUNS, texts))
+        # Runs that are new to the task are split together, so that its arrays grow once.
+        new = [r for r in dict.fromkeys(r for s in split for r in s) if r not in self.numbers]
         if new:
             self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
             self._add(new)
+        return list(map(self._placed, split))
+
+    def _placed(self, runs: list[str]) -> np.ndarray:
         of = np.fromiter(map(self.numbers.__getitem__, runs), np.int64, len(runs))
         sizes, lengths = self.sizes[of], self.lengths[of]
         return self.flat[ragged(self.starts[of], sizes)] + np.repeat(np.cumsum(lengths) - lengths, sizes)
@@ -130,11 +134,11 @@ def _transforming(rule: Rule, text_col: str, hash_col: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(rule.unit)
         for batch, texts in slices(batches, text_col, SLICE_BYTES):
+            texts = [t or "" for t in texts]
             sizes, made = [], []
-            for text, digest in zip(texts, batch.column(hash_col).to_pylist(), strict=True):
-                offsets = splitter.offsets(text or "")
+            for text, offsets, digest in zip(texts, splitter.offsets(texts), batch.column(hash_col).to_pylist(), strict=True):
                 sizes.append(len(offsets))
-                made.append(transform(text or "", offsets, [int(digest[i : i + 8], 16) for i in range(0, 32, 8)], rule))
+                made.append(transform(text, offsets, [int(digest[i : i + 8], 16) for i in range(0, 32, 8)], rule))
             form, prefix, middle, output = zip(*made, strict=True)
             held = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != hash_col]
             new = [pa.array(sizes, pa.int64()), pa.array(form, pa.string()), pa.array(prefix, pa.int64()), pa.array(middle, pa.int64()), pa.array(output, pa.string())]
