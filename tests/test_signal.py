@@ -267,3 +267,103 @@ def test_ragged_stacks_are_one_long_trace(spark, seed):
             want.append((str(trial), float(at - fronts[trial]), float(end - 1 - fronts[trial]), float(end - at)))
         at = max(end, at + 1)
     assert sorted((r.trial, r.ev_onset, r.ev_offset, r.ev_duration) for r in found) == sorted(want)
+
+
+def plain_simpson(values):
+    n = len(values)
+    if n < 3:
+        return 0.0 if n == 1 else (values[0] + values[1]) / 2
+    odd = n - (n % 2 == 0)
+    whole = sum((values[i] + 4 * values[i + 1] + values[i + 2]) / 3 for i in range(0, odd - 2, 2))
+    return whole if n % 2 else whole + 5 / 12 * values[-1] + 2 / 3 * values[-2] - values[-3] / 12
+
+
+def ragged_stacks(seed):
+    """Two units of ragged trials, and the events of each as one long trace; many stretches run over trials."""
+    rng = np.random.default_rng(seed)
+    rows, want = [], []
+    for roi in ("r", "q"):
+        pieces = [np.where(rng.random(n) < 0.85, rng.uniform(1, 2, n), 0.0).tolist() for n in rng.integers(0, 6, 30).tolist()]
+        rows += [("s", roi, str(i), "cHIT", y if i % 11 else None, 100 - 3 * i) for i, y in enumerate(pieces)]
+        pieces = [y if i % 11 else [] for i, y in enumerate(pieces)][::-1]
+        fronts, line, at = np.cumsum([0, *map(len, pieces)]), sum(pieces, []), 0
+        while at < len(line):
+            end = at
+            while end < len(line) and line[end] > 0.5:
+                end += 1
+            if end - at >= 2:
+                trial = int(np.searchsorted(fronts, at, side="right")) - 1
+                held = line[at:end]
+                want.append((roi, str(29 - trial), float(at - fronts[trial]), float(at - fronts[trial] + np.argmax(held)), float(end - 1 - fronts[trial]), float(end - at), max(held), round(plain_simpson(held), 9)))
+            at = max(end, at + 1)
+    return rows, sorted(want)
+
+
+def told(rows):
+    return sorted((r.roi, r.trial, r.ev_onset, r.peak_time, r.ev_offset, r.ev_duration, r.peak, round(r.integral, 9)) for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stacks_cut_anywhere_give_the_same_events(spark, seed):
+    from tracewise.operators.prefix import RANGE
+
+    rows, want = ragged_stacks(seed)
+    held = spark.createDataFrame(rows, SCHEMA).withColumn("threshold", F.lit(0.5))
+    assert told(D.stacked_events(held, F.lit("all"), 1.0, 2).collect()) == want
+    rng, keys = np.random.default_rng(seed), [*D.UNIT, "stack"]
+    for n in (1, 3, 12, 60):
+        cuts = sorted(rng.integers(0, 110, n).tolist())
+        number = sum((F.col("row_ord") > c).cast("int") for c in cuts)
+        whole = D.merge_ranges(D.run_rows(held, F.lit("all")).withColumn(RANGE, number), keys).where("n >= 2")
+        assert told(whole.select("roi", "trial", *D.run_metrics(0, 1.0)).collect()) == want, cuts
+
+
+def test_endless_values_have_endless_integrals(spark):
+    inf = float("inf")
+    rows = one(spark, [0.0, 1.0, inf], [1.0, 1.0, 0.0]).withColumn("threshold", F.lit(0.5))
+    assert [(r.peak, r.integral, r.ev_duration) for r in D.stacked_events(rows, F.lit("all"), 1.0, 1).collect()] == [(inf, inf, 4.0)]
+
+
+@pytest.fixture
+def two_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_stream_cut_anywhere_gives_the_events_of_the_stack(spark, two_partitions, seed):
+    """Trials come out of order, repeated, in random batches; one that comes beyond the watermark is dropped."""
+    from tracewise.streaming.detect import stacked_stream
+    from tracewise.streaming.replay import replay
+
+    rows, want = ragged_stacks(seed)
+    rng = np.random.default_rng(seed)
+    timed = lambda held: spark.createDataFrame(held, SCHEMA).withColumn("ts", F.timestamp_seconds(F.col("row_ord") * 10)).coalesce(1)
+    rows = sorted(rows, key=lambda r: r[5] + rng.uniform(0, 20))
+    cuts = [0, *sorted(rng.integers(1, 60, 2).tolist()), 60]
+    slices = [timed(rows[max(0, a - 3) : b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    # Beyond the idle time, so that stacks are closed; then a late trial, and the first of a new stack of the unit.
+    slices += [timed([("s", "none", "x", "FA", None, 10**5)])] * 2 + [timed([("s", "r", "late", "cHIT", [1.0] * 9, 50)]), timed([("s", "r", "new", "cHIT", [1.0] * 4, 10**6)]), timed([("s", "none", "y", "FA", None, 10**7)])]
+    limits = spark.createDataFrame([("s", "r", 0.5), ("s", "q", 0.5)], "session string, roi string, threshold double")
+    found = replay(spark, slices, lambda x: stacked_stream(x, limits, "ts", "flattened", 1.0, late="10 minutes", idle="1 day", min_samples=2), files_a_batch=1).collect()
+    assert told(found) == sorted([*want, ("r", "new", 0.0, 0.0, 3.0, 4.0, 1.0, 3.0)])
+
+
+def test_stretches_merge_in_any_grouping():
+    from tracewise.streaming.detect import joined
+
+    nan, rng = float("nan"), np.random.default_rng(0)
+    for _ in range(50):
+        values, parts, at = rng.integers(1, 4, 12).astype(float).tolist(), [], 0
+        while at < 12:
+            own = values[at : at + int(rng.integers(1, 5))]
+            tail = own[-3:]
+            sums = [sum(v for i, v in enumerate(own, at) if i % 2 == r) for r in (0, 1)]
+            parts.append([at, len(own), max(own), at + own.index(max(own)), *sums, own[0], *[nan] * (3 - len(tail)), *tail])
+            at += len(own)
+        whole = [0, 12, max(values), values.index(max(values)), sum(values[::2]), sum(values[1::2]), values[0], *values[-3:]]
+        while len(parts) > 1:
+            i = int(rng.integers(0, len(parts) - 1))
+            parts[i : i + 2] = [joined(parts[i], parts[i + 1])]
+        assert parts[0] == whole
