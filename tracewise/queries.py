@@ -17,6 +17,8 @@ from tracewise.operators import display, grouping, latency, metrics, modulation,
 from tracewise.operators.recipes import regenerate, side_of
 from tracewise.operators.windows import events_in_epoch, events_in_window
 from tracewise.plans.specs import EventTableParams
+from tracewise.streaming.detect import stacked_stream
+from tracewise.streaming.replay import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -504,6 +506,20 @@ def detect_per_branch(spark, sf):
     return rounded(D.detect(adapters.traces(spark, sf), "per_branch", FPS, **LOOSE).select(*EVENT_COLUMNS))
 
 
+@query(_detect_sql(BRANCH_SQL, 0.5, 4))
+def detect_per_branch_stream(spark, sf):
+    """The same stacks as a stream: three slices of trials in their order, then a row that carries the time past them all."""
+    kept = adapters.traces(spark, sf).where(D.is_validated())
+    limits, last = D.thresholds(kept, FPS, (2.0, 3.0), LOOSE["sd"]), kept.agg(F.max("row_ord")).first()[0] or 0
+    timed = kept.withColumn("ts", F.timestamp_seconds(F.col("row_ord") * 10 + 10))
+    slices = [timed.where(F.floor(F.col("row_ord") * 3 / (last + 1)) == i) for i in range(3)]
+    # Of no known unit, but of the one session there is: what the join rules out is left out before it moves the watermark.
+    known = {"session": F.lit("s"), "roi": F.lit("none"), "outcome": F.lit("FA"), "ts": F.timestamp_seconds(F.lit(last * 10) + 30 * 86_400)}
+    end = spark.range(1).select(*[known.get(c, F.lit(None).cast(t)).alias(c) for c, t in timed.dtypes])
+    found = replay(spark, [*slices, end], lambda rows: stacked_stream(rows, limits, "ts", "per_branch", FPS, "1 hour", "20 days", LOOSE["min_samples"]))
+    return rounded(found.select(*EVENT_COLUMNS))
+
+
 @query(_detect_sql("'all'", 0.5, 4, having="(g0 - origin) / 10 > 2.0 AND (g0 - origin) / 10 < 5.0"))
 def detect_flattened(spark, sf):
     return rounded(D.detect(adapters.traces(spark, sf), "flattened", FPS, window=(2.0, 5.0), validated_only=False, **LOOSE).select(*EVENT_COLUMNS))
