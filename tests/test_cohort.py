@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from tracewise.functions import formats, keys, pvalues
-from tracewise.operators import display, grouping, latency, metrics, modulation, stats, validation
+from tracewise.operators import display, grouping, latency, metrics, modulation, prefix, selection, stats, validation
 
 PASSIVE = "NAIVE STIM REW"
 
@@ -301,3 +304,90 @@ def test_histogram(spark):
     df = spark.createDataFrame(rows, "protocol string, side string, ev_onset double")
     got = {r.bin: (r.n_events, round(r.weight, 9)) for r in display.onset_histogram(df, totals, unit_counts=units).collect()}
     assert sum(n for n, _ in got.values()) == 5 and got[0] == (2, 0.05) and got[14] == (2, 0.05)
+
+
+def brute_matches(found, reference, tolerance):
+    out = []
+    for ref, key, on, off in reference:
+        near = [f for f in found if f[1] == key and on is not None and f[2] is not None and abs(f[2] - on) <= tolerance]
+        exact = [f for f in near if off is not None and f[3] is not None and abs(f[3] - off) <= tolerance]
+        out.append((ref, "exact" if exact else "onset" if near else "missing", min(f[0] for f in exact) if exact else max((f[0] for f in near), default=None)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("tolerance", [1e-9, 0.0, 0.25])
+def test_matches_at_the_edges_of_bins(spark, tolerance):
+    rng = np.random.default_rng(1)
+    width = max(4 * tolerance, 1e-9)
+    # Whole multiples of a bin, and just a tolerance from them, one double less or more; many equal; far ones with coarse doubles.
+    near = [float(v) for i in rng.integers(0, 6, 60) for v in (i * width, i * width + tolerance, np.nextafter(i * width - tolerance, 9), np.nextafter(i * width + tolerance, -9))]
+    values = [*near, *[1e6 + i * 1e-10 for i in range(20)], None, float("nan"), float("inf")]
+    pick = lambda: values[int(rng.integers(0, len(values)))]
+    found, reference = ([(i, f"r{int(rng.integers(0, 2))}", pick(), pick()) for i in range(250)] for _ in range(2))
+    table = lambda rows: spark.createDataFrame([("g", "target", "s", k, 1, on, off, 1.0, 1.0, 1.0, 1.0, i) for i, k, on, off in rows], "group string, side string, k0 string, k1 string, trial long, ev_onset double, ev_offset double, peak double, peak_time double, ev_duration double, integral double, row_ord long")
+    got = validation.matched(table(found), table(reference), tolerance=tolerance).collect()
+    assert sorted((r.ref_ord, r.how, r.match and r.match.f_row_ord) for r in got) == brute_matches(found, reference, tolerance)
+
+
+def test_matching_one_hot_trial_is_linear(spark):
+    """One unit and trial with 30,000 events, a third at one onset: in pairs, 3e8 candidates."""
+    n = 30_000
+    onset = F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") / 100)
+    rows = spark.range(n).select(
+        F.lit("g").alias("group"), F.lit("target").alias("side"), F.lit("s").alias("k0"), F.lit("r").alias("k1"), F.lit(1).alias("trial"), onset.alias("ev_onset"),
+        (onset + F.col("id") % 7).alias("ev_offset"), *[F.lit(1.0).alias(m) for m in validation.METRICS], F.col("id").alias("row_ord"),
+    )
+    began = time.perf_counter()
+    report = validation.match_report(rows, rows).first()
+    assert (report.n_reference, report.n_exact, report.n_missing) == (n, n, 0) and time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_ranks_do_not_depend_on_ranges(spark, parts, monkeypatch):
+    """Ties over the edges of ranges, several comparisons, one of them hot; no range holds the whole of it."""
+    rng = np.random.default_rng(2)
+    rows = [("hot", "mannwhitney", "ab"[int(rng.integers(0, 2))], float(rng.integers(0, 40)) / 10) for _ in range(900)] + [("small", "mannwhitney", g, v) for g, v in (("a", 1.0), ("b", 1.0), ("a", 2.0))]
+    df = spark.createDataFrame(rows, "name string, test string, group string, value double")
+    plain, dealt = prefix.running_sums, []
+
+    def spy(*args, **kw):
+        kw["parts"] = parts
+        dealt.append(prefix.ranges(args[0], args[1], args[2], parts).groupBy(prefix.RANGE).count().count())
+        return plain(*args, **kw)
+
+    monkeypatch.setattr(stats, "running_sums", spy)
+    got = {r["name"]: (r.u, r.tie_sum) for r in stats.rank_sums(df).collect()}
+    for name in ("hot", "small"):
+        held = [(v, g) for n, _, g, v in rows if n == name]
+        u = sum((a > b) + 0.5 * (a == b) for a, g in held if g == "a" for b, h in held if h == "b")
+        ties = sum(t**3 - t for t in Counter(v for v, _ in held).values())
+        assert got[name] == (u, ties)
+    assert dealt == [parts]
+
+
+def test_running_sums_and_numbers(spark):
+    rng = np.random.default_rng(3)
+    rows = [(["a", None, "c"][int(rng.integers(0, 3))], i, int(rng.integers(0, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(5)
+    for parts in (None, 1, 7):
+        got = {r.i: r.before for r in prefix.running_sums(df, ["k"], ["i"], parts, before=F.col("v")).collect()}
+        assert got == {i: sum(v for k2, j, v in rows if k2 == k and j < i) for k, i, _ in rows}
+        numbers = prefix.numbered(df, [F.desc("v"), F.asc("i")], "place", parts).collect()
+        assert [r.place for r in sorted(numbers, key=lambda r: (-r.v, r.i))] == list(range(1, 301))
+    assert prefix.numbered(df.limit(0), ["i"]).count() == 0 and prefix.running_sums(df.limit(0), ["k"], ["i"], before=F.col("v")).count() == 0
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.9, 1.0])
+def test_quantiles_by_narrowing_are_exact(spark, q):
+    rng = np.random.default_rng(4)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "normal": rng.normal(0, 1, 500), "tail": np.exp(rng.normal(0, 80, 401)) * rng.choice([-1, 1], 401), "tied": rng.choice([0.1, 0.2, 0.3], 300), "one": [7.0], "same": [2.5] * 50,
+        "endless": [-inf, -inf, 1.0, 2.0, inf, nan, nan], "wide": [-1.7e308, 1.7e308, 1.0, -1.0], "least": np.arange(20) * 5e-324, "close": 1.0 + np.arange(30) * 2.0**-52, "zeros": [0.0, -0.0, 0.0, 1e-320], None: [3.0, 1.0],
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None)], "k string, v double").repartition(4)
+    by = {r.k: r.quantile for r in selection.narrowed(df, ["k"], "v", q).collect()}
+    want = {r.k: r.quantile for r in selection.quantiles(df, ["k"], "v", q).collect()}
+    assert repr(sorted(by.items(), key=repr)).replace("-0.0", "0.0") == repr(sorted(want.items(), key=repr)).replace("-0.0", "0.0") and set(by) == set(groups)
+    assert selection.quantiles(df, ["k"], "v", q, buffered=10).where("k = 'same'").first().quantile == 2.5
+    assert selection.quantiles(df.limit(0), ["k"], "v", q).count() == 0

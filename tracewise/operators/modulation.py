@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from tracewise.functions.formats import percent
 from tracewise.functions.keys import null_safe_join
+from tracewise.operators.selection import quantiles
+from tracewise.plans.lineage import checkpointed
 
 UNIT = ["protocol", "k0", "k1"]
 CUTOFFS = ("mean", "median", "half_std")
@@ -30,15 +32,20 @@ def modulation_index(windowed: DataFrame, denominators: DataFrame) -> DataFrame:
 
 
 def cutoffs(indices: DataFrame, kind: str) -> DataFrame:
-    """``protocol, cutoff``: the mean, the median, or half the population's standard deviation of the indices."""
-    made = {"mean": F.avg("mi"), "median": F.expr("percentile(mi, 0.5)"), "half_std": F.stddev_pop("mi") * 0.5}
-    if kind not in made:
+    """``protocol, cutoff``: the mean, the median, or half the population's standard deviation of the indices.
+
+    The median is exact for protocols of any size; it reads ``indices`` more than once.
+    """
+    if kind not in CUTOFFS:
         raise ValueError(f"cutoff must be one of {CUTOFFS}, got {kind!r}")
-    return indices.groupBy("protocol").agg(made[kind].alias("cutoff"))
+    if kind == "median":
+        return quantiles(indices, ["protocol"], "mi", 0.5, "cutoff")
+    return indices.groupBy("protocol").agg({"mean": F.avg("mi"), "half_std": F.stddev_pop("mi") * 0.5}[kind].alias("cutoff"))
 
 
 def modulated_units(indices: DataFrame, kind: str) -> DataFrame:
-    """Units whose index is above their protocol's cutoff."""
+    """Units whose index is above their protocol's cutoff. The indices are made once, and stored for the cutoff and the units."""
+    indices = checkpointed(indices)
     return indices.join(cutoffs(indices, kind), "protocol").where("mi > cutoff").drop("cutoff")
 
 

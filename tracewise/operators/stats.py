@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tracewise.functions import pvalues
 from tracewise.functions.formats import significance_symbol
+from tracewise.operators.prefix import running_sums
 
 PAIRED = ("paired_t", "wilcoxon")
 TESTS = ("student_t", "welch_t", "mannwhitney", "wilcoxon", "paired_t")
@@ -40,10 +40,12 @@ def _sides(rows: DataFrame) -> DataFrame:
 
 
 def _tied(rows: DataFrame, value: str) -> DataFrame:
-    """``rows`` summed by distinct value, with ``tied`` and the mean ``place`` of each; ``rows`` has counts a and b."""
+    """``rows`` summed by distinct value, with ``tied`` and the mean ``place`` of each; ``rows`` has counts a and b.
+
+    Distinct values are dealt to ranges, which are counted first; no task orders a whole comparison.
+    """
     sums = rows.groupBy("name", "test", value).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("tied", F.col("a") + F.col("b"))
-    up = W.partitionBy("name").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return sums.withColumn("place", F.sum("tied").over(up) - (F.col("tied") - 1) / 2)
+    return running_sums(sums, ["name", "test"], [value], before=F.col("tied")).withColumn("place", F.col("before") + (F.col("tied") + 1) / 2)
 
 
 def rank_sums(rows: DataFrame) -> DataFrame:

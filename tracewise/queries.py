@@ -13,9 +13,10 @@ from tracewise.functions.arrays import simpson
 from tracewise.functions.formats import regression_symbol, significance_symbol
 from tracewise.functions.keys import canonical_key
 from tracewise.operators import detect as D
-from tracewise.operators import display, grouping, latency, metrics, modulation, signal, stats, validation
+from tracewise.operators import display, grouping, latency, metrics, modulation, selection, signal, stats, validation
 from tracewise.operators.recipes import regenerate, side_of
 from tracewise.operators.windows import events_in_epoch, events_in_window
+from tracewise.plans.lineage import checkpointed
 from tracewise.plans.specs import EventTableParams
 from tracewise.streaming.detect import stacked_stream
 from tracewise.streaming.replay import replay
@@ -212,6 +213,14 @@ def modulated_rois_half_std(spark, sf):
     return rounded(modulation.modulated_units(_indices(spark, sf), "half_std"))
 
 
+@query(MI_SQL + " SELECT protocol, round(median(mi), 9) AS median, round(quantile_cont(mi, 0.9), 9) AS upper FROM mi GROUP BY protocol")
+def index_quantiles(spark, sf):
+    """Cutoffs by narrowing histograms, as protocols of any number of units get them."""
+    indices = checkpointed(_indices(spark, sf))
+    median, upper = (selection.narrowed(indices, ["protocol"], "mi", q, name) for q, name in ((0.5, "median"), (0.9, "upper")))
+    return rounded(median.join(upper, "protocol"), 9)
+
+
 @query(MEDIAN_SQL + """ SELECT protocol, n_modulated, n_total, format('{:.1f}', n_modulated / n_total * 100)::DOUBLE AS percent
 FROM (SELECT protocol, count(*) AS n_modulated FROM md GROUP BY protocol)
 JOIN (SELECT protocol, count(*) AS n_total FROM (SELECT DISTINCT protocol, k0, k1 FROM ev) GROUP BY protocol) USING (protocol)""")
