@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +176,47 @@ def test_every_operator_has_one_query():
 def test_held_out_is_a_quarter(spark):
     n = spark.range(4000).select(langid.held_out("id").alias("h")).where("h").count()
     assert 800 < n < 1200
+
+
+def sql_mix(rows, budget):
+    """The query's SQL with a budget, over other rows."""
+    engine = duckdb.connect()
+    engine.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    engine.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r[0], r[1], r[3]) for r in rows])
+    plain = "pow(tokens / most, a) * most / tokens"
+    assert plain in mixing.ORACLE
+    scaled = f"{budget} * pow(tokens / most, a) / (SELECT sum(pow(tokens / most, a)) FROM t, e WHERE tokens > 0) / tokens"
+    return sorted(engine.execute(mixing.ORACLE.replace(plain, scaled)).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("budget", [0, 0.5, 3, 50, 333, 1000, 5000])
+def test_budgets_are_those_of_the_sql(spark, budget):
+    # A source of one token, starved by small budgets; one with a long document; one without tokens.
+    rows = [(i, "w " * (1 + i % 5), "en", "big", 0) for i in range(200)] + [(1000 + i, "w " * 3, "en", "mid", 0) for i in range(30)] + [(1500, "w " * 300, "en", "mid", 0), (2000, "w", "en", "tiny", 0), (3000, " ", "en", "none", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = mixing.mix(df, budget_tokens=budget).select("row.doc_id", "row.source", mixing.token_count("row.text").alias("n"), "epoch", "block", "block_pos").collect()
+    assert sorted(map(tuple, found), key=repr) == sql_mix(rows, budget)
+    if budget <= 0.5:
+        assert {r.source for r in found} == {"none"}
+
+
+def test_a_pass_of_very_many_blocks_takes_linear_work(spark):
+    """The fold over all the blocks a plan may have; four times as many blocks take about four times as long."""
+
+    def seconds(n):
+        visits = spark.range(n).select(
+            F.lit("a").alias("src"), F.lit(0).alias("epoch"), F.lit(0).alias("whole"), (F.lit(float(n)) * 5).alias("part"), F.col("id").alias("block"), (F.hash("id") % 5 + 10).cast("long").alias("n_tokens"),
+            F.lit(n * 10).alias("tokens"), F.col("id").alias("block_pos"),
+        )
+        began = time.perf_counter()
+        rows = mixing._fitting(visits).collect()
+        took, room, want = time.perf_counter() - began, n * 5, []
+        for r in visits.orderBy("block_pos").collect():
+            if r.n_tokens <= room:
+                room, want = room - r.n_tokens, [*want[-3:], r.block]
+        assert sorted(r.block for r in rows)[-3:] == sorted(want)[-3:]
+        return took
+
+    seconds(1024)
+    few, many = seconds(16_384), seconds(65_536)
+    assert many < 12 * few + 2

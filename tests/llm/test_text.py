@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from tracewise.llm import bpe, chat, langid, pii, secret_ledger, tagger
 
-from .conftest import awkward_rows
+from .conftest import awkward_rows, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -413,3 +413,21 @@ def test_chat_query(spark):
     assert (found[2].n_turns, found[2].turns_sha256, found[2].loss_sha256) == (3, sha("\n\n" * 2 + f"assistant\n{HOSTILE}\n"), sha(HOSTILE))
     assert found[None].n_turns == 1
     assert chat.digests(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_teach_too(spark):
+    """More labelled rows than teach, all with a null id or one id, many of them alike: both languages are learned."""
+    rows = [(None if i % 2 else "1", f"the house and the garden {words(3, i % 900)}" if i % 3 else "das Haus und der Garten hinter dem Zaun", "en" if i % 3 else "de") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(3)
+    model = langid.fit(docs, teachers=100)
+    assert model.languages == ["de", "en"]
+    asked = spark.createDataFrame([("x", "der Garten und das Haus"), ("y", "the garden and the house")], "doc_id string, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == {"x": "de", "y": "en"}
+
+
+def test_every_label_is_learned_unless_a_bound_is_given(spark):
+    rows = [(str(i), " ".join(chr(97 + (i // k + j) % 26) * 3 for k in (1, 26) for j in range(3)), f"l{i % 250:03}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == sorted({r[2] for r in rows}) and model.probabilities.shape[1] == 250
+    assert len(langid.fit(docs, most_languages=7).languages) == 7

@@ -8,8 +8,9 @@ characters, scaled up whenever they grow small. Tasks keep the scores of words t
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned;
 ties go to the first language by name; characters outside the vocabulary count alike for all languages. Rows with a null
-language don't teach; repeated rows count each; other columns pass through, whatever their names, but for ones named as an
-output, which give way. A null id counts as empty text in the choice of rows. Whole texts are scored.
+language don't teach; rows that repeat id, text and language teach once, and are scored each; other columns pass through,
+whatever their names, but for ones named as an output, which give way. A null id counts as empty text in the choice of
+rows, where the text parts rows of one id; of each language at least one row teaches. Whole texts are scored.
 """
 
 from __future__ import annotations
@@ -32,10 +33,8 @@ from tracewise.llm.batches import slices
 from tracewise.llm.common import cut, free_name, table
 
 UND = "und"
-#: Labelled documents per language that teach, about: those whose id hashes lowest. A bound on training, not on scoring.
+#: Labelled documents per language that teach, about: those whose id and text hash lowest. A bound on training, not on scoring.
 TEACHERS = 1000
-#: Languages that are learned at most, those with the most rows: a bound on training, and so on the model's size.
-LANGUAGES = 200
 ROUNDS, SMOOTHING, UNKNOWN = 2, 0.05, 1e-7
 #: Sums below ``SMALL`` are multiplied by its inverse; far from both ends of what a double holds.
 SMALL = 1e-100
@@ -247,22 +246,30 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", teachers: int = TEACHERS) -> Model:
+def fit(
+    docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", teachers: int = TEACHERS, most_languages: int | None = None
+) -> Model:
     """A model learned from rows that are not held out and have a language and a text.
 
-    Word counts and expected counts are made on the executors; the driver gets a number per language and piece.
+    Word counts and expected counts are made on the executors; the driver gets a number per language and piece, and so do
+    the tasks that score: about 0.2 MB a language. All languages are learned, unless ``most_languages`` bounds them to
+    those with the most rows.
     """
     pieces = vocabulary(vocab_path or public_tokenizers.path("piece_bpe_32k.model"))
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # Hashes are spread evenly, so a share of their range holds about so many rows of each language.
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
+    # Hashes are spread evenly, so a share of their range holds about so many distinct rows of each language.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("different"), F.min("h").alias("least"))
+    sizes = sizes.orderBy(F.desc("count"), "lang")
+    sizes = (sizes if most_languages is None else sizes.limit(most_languages)).collect()
     if not sizes:
         return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
-    h, limits = F.xxhash64("id"), [(r["lang"], int(-(2**63) + 2**64 * min(1.0, teachers / r["count"])) - 1) for r in sizes]
+    share = {r["lang"]: int(-(2**63) + 2**64 * min(1.0, teachers / max(r["different"], 1))) - 1 for r in sizes}
+    limits = [(r["lang"], max(share[r["lang"]], r["least"])) for r in sizes]
     # One number per language; with it the scan itself picks the teachers.
     limit = F.create_map(*[F.lit(x) for pair in limits for x in pair])
-    chosen = rows.where(h <= limit[F.col("lang")]).select("lang", "text")
+    chosen = rows.where(F.col("h") <= limit[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
     counts = cut(chosen.mapInArrow(_counting, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), few=True)
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     probabilities = None

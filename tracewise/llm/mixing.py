@@ -7,8 +7,8 @@ of their id; each pass visits the blocks in a permutation of its own. The partia
 large share of their source, the largest first, then the others in their permutation, each if it fits what is left of the
 budget; one that does not fit is passed over. DataFrame functions only.
 
-Without a budget, the smallest one is taken that gives every source a whole pass, so no document is left out. Defined
-cases: null text counts as empty and has no tokens; a source without tokens gets one pass; null sources form a source
+Without a budget, the smallest one is taken that gives every source a whole pass, so no document is left out. A source
+whose share of a budget is under a token has no visit. Defined cases: null text counts as empty and has no tokens; a source without tokens gets one pass; null sources form a source
 of their own; rows with a null id are dealt to blocks by all their columns; repeated rows count each; an empty table gives
 an empty mix.
 """
@@ -30,6 +30,8 @@ MAX_REPETITION = 2.0
 MIN_BLOCKS, MAX_BLOCKS, BLOCK_TOKENS = 256, 65_536, 4_000_000
 #: Blocks with more than this share of their source's tokens are taken first in a partial pass.
 LARGE_SHARE = 1 / 16
+#: Blocks of a partial pass that are folded together.
+FOLD = 256
 #: Parts that one job splits the exponent's interval into, and jobs; 4 bits a job.
 PARTS, ROUNDS = 16, 12
 
@@ -129,7 +131,11 @@ def source_weights(
 
 
 def _fitting(visits: DataFrame) -> DataFrame:
-    """The visits of whole passes, and of partial passes those that fit one after another."""
+    """The visits of whole passes, and of partial passes those that fit one after another.
+
+    A pass's blocks, bounded in number, are folded in parts: a part's fold appends to a list of its own, so that no step
+    copies more than a part, or the list of parts.
+    """
     size = F.when(F.col("n_tokens") > LARGE_SHARE * F.col("tokens"), -F.col("n_tokens")).otherwise(F.lit(0))
     passes = visits.groupBy("src", "epoch").agg(
         F.first("whole").alias("whole"), F.first("part").alias("part"), F.sort_array(F.collect_list(F.struct(size.alias("size"), "block_pos", "block", "n_tokens"))).alias("held")
@@ -139,9 +145,17 @@ def _fitting(visits: DataFrame) -> DataFrame:
         taken = F.struct((state["left"] - x["n_tokens"]).alias("left"), F.concat(state["taken"], F.array(x)).alias("taken"))
         return F.when(x["n_tokens"] <= state["left"], taken).otherwise(state)
 
-    start = F.struct(F.col("part").cast("long").alias("left"), F.slice("held", 1, 0).alias("taken"))
-    taken = F.when(F.col("epoch") < F.col("whole"), F.col("held")).otherwise(F.aggregate("held", start, step, lambda x: x["taken"]))
-    return passes.select("src", "epoch", F.explode(taken).alias("x")).select("src", "x.block", "epoch", "x.block_pos")
+    def folded(state, part):
+        none = F.slice(part, 1, 0)
+        own = F.aggregate(part, F.struct(state["left"].alias("left"), none.alias("taken")), step)
+        # Made once: a fold of one element that the fold of the part is.
+        return F.aggregate(F.array(own), state, lambda s, x: F.struct(x["left"].alias("left"), F.concat(s["taken"], F.array(x["taken"])).alias("taken")))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("held") - 1) / FOLD)), lambda i: F.slice("held", (i * FOLD + 1).cast("int"), FOLD))
+    dealt = passes.withColumn("parts", parts)
+    start = F.struct(F.col("part").cast("long").alias("left"), F.slice("parts", 1, 0).alias("taken"))
+    taken = F.when(F.col("epoch") < F.col("whole"), F.col("held")).otherwise(F.flatten(F.aggregate("parts", start, folded, lambda x: x["taken"])))
+    return dealt.select("src", "epoch", F.explode(taken).alias("x")).select("src", "x.block", "epoch", "x.block_pos")
 
 
 def block_plan(docs: DataFrame, seed: str, id_col: str, source_col: str, text_col: str, tokens_col: str | None = None, **targets) -> tuple[DataFrame, int]:
@@ -153,7 +167,9 @@ def block_plan(docs: DataFrame, seed: str, id_col: str, source_col: str, text_co
     part = F.greatest(F.floor(F.col("tokens") * (F.col("passes") - F.col("whole")) + 1e-6).cast("double"), F.lit(0.0))
     paced = sources.withColumn("whole", whole).withColumn("part", part).select("src", "tokens", "whole", "part")
     visits = sums.join(paced, sums.src.eqNullSafe(paced.src)).select(sums.src, "block", "n_tokens", "tokens", "whole", "part")
-    visits = visits.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("part") > 0, F.col("whole")).otherwise(F.col("whole") - 1))))
+    # A source whose budget is under a token has no pass at all.
+    last = F.when(F.col("part") > 0, F.col("whole")).otherwise(F.col("whole") - 1)
+    visits = visits.where((F.col("whole") > 0) | (F.col("part") > 0)).withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
     turn = Window.partitionBy("src", "epoch").orderBy(_hash32(F.lit(seed), "src", "epoch", "block"), "block")
     return _fitting(visits.withColumn("block_pos", F.row_number().over(turn) - 1)), blocks
 
