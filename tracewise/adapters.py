@@ -5,9 +5,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewise.plans.lineage import shared_folder
+from tracewise.sources.event_files import SUFFIXES
+
 FPS = 10.0
 
 
@@ -120,3 +125,82 @@ def count_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "behavior_task_dendrites": days,
         "behavior_control_dendrites": days,
     }
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_files(rows: DataFrame, folder: str, name: str) -> None:
+    """``rows`` as CSV files of ``folder``: one for each value of the column ``name``, which is the file's name."""
+    spark = rows.sparkSession
+    parts = f"{folder}/parts-{uuid.uuid4().hex}"
+    rows.repartition(name).write.partitionBy(name).option("header", True).csv(parts)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    for held in files.listStatus(path(parts)):
+        title = held.getPath().getName().partition("=")[2]
+        for file in files.listStatus(held.getPath()) if title else []:
+            files.rename(file.getPath(), path(f"{folder}/{title}.csv"))
+    files.delete(path(parts), True)
+
+
+def event_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """``events`` as CSV files in the three layouts, eight of each group and side; names say both."""
+    rows = events(spark, sf_dir)
+    group = F.when(F.col("protocol").contains("dendrites"), "task_dendrites_TD0").otherwise(F.col("protocol"))
+    side = F.element_at(F.create_map(F.lit("target"), F.lit(SUFFIXES["reward"][0]), F.lit("reference"), F.lit(SUFFIXES["reward"][1])), F.col("side"))
+    rows = rows.withColumn("file", F.concat(F.lit("part"), (F.col("row_ord") % 8).cast("string"), F.lit("_MODIFIED_"), group, side))
+    numbers = ["peak", "ev_onset", "peak_time", "ev_offset", "ev_duration", "integral"]
+    task = F.col("protocol").isin("task_axons", "NO_DREADDs")
+    flat = F.concat("k0", F.lit("_"), "k1", F.lit(".0")).alias("ROI")
+    csv_files(rows.where(task).select(F.col("row_ord").alias("place"), flat, "trial", "outcome", *numbers, "file"), folder, "file")
+    keyed = [F.col("k0").alias("id"), F.col("k1").alias("ROI"), "trial"]
+    csv_files(rows.where(F.col("protocol").contains("passive")).select(*keyed, "history", *numbers, "file"), folder, "file")
+    csv_files(rows.where(F.col("protocol").contains("dendrites")).select(*keyed, "outcome", *numbers, "file"), folder, "file")
+
+
+def frequency_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Events of each unit by outcome, as frequency files: one of each protocol."""
+    counts = events(spark, sf_dir).groupBy("protocol", "k0", "k1").agg(*[(F.count_if(F.col("outcome") == o) / 8).alias(o) for o in ("cHIT", "nHIT", "FA")])
+    name = F.concat(F.regexp_replace("protocol", "[^A-Za-z_]+", "_"), F.lit("_fullreward_event_frequencies"))
+    csv_files(counts.select(F.col("k0").alias("id"), F.col("k1").alias("ROI"), "cHIT", "nHIT", "FA", name.alias("file")), folder, "file")
+
+
+#: Vectors in a row that make a session of the nested sources.
+SESSION = 64
+
+
+def _sorted_lists(rows: DataFrame, keys: list[str], **columns) -> DataFrame:
+    """Rows of each group as one array of structs, in ``at``."""
+    # By ``at`` alone: maps have no order.
+    earlier = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    held = F.array_sort(F.collect_list(F.struct("at", *[c.alias(n) for n, c in columns.items()])), earlier)
+    return rows.groupBy(*keys).agg(held.alias("held"), F.min("at").alias("at"))
+
+
+def nested_sources(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """``embeddings`` as nested JSON recordings: sessions of 64 vectors, their labels as units."""
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e, at, odd = F.transform("embedding", lambda x: x.cast("double")), F.col("vec_id"), F.col("at") % 2 == 1
+    kind = F.element_at(F.array(*map(F.lit, ("cHIT", "nHIT", "cCATCH", "FA"))), (at % 4 + 1).cast("int"))
+    rows = raw.select(F.floor(at / SESSION).alias("position"), F.concat(F.lit("r"), F.col("label").cast("string")).alias("roi"), at.alias("at"), kind.alias("kind"), e.alias("y"))
+    labels = F.create_map(F.lit("unvalidated_type"), F.col("kind"), F.lit("response_latency"), F.when(odd, (F.col("at") / 10).cast("string")).otherwise("none"))
+    drop = lambda *names: F.transform("held", lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    flat = rows.withColumn("ttype", F.explode(F.array(F.lit("ALL"), F.when(F.col("kind").contains("HIT"), "HIT").otherwise("other"))))
+    units = _sorted_lists(flat, ["position", "ttype", "roi"], trial=F.col("at").cast("string"), labels=labels, y=F.col("y")).withColumn("trials", drop("trial", "labels", "y"))
+    branches = _sorted_lists(units, ["position", "ttype"], roi=F.col("roi"), trials=F.col("trials")).withColumn("rois", drop("roi", "trials"))
+    ordered = branches.withColumn("at", F.when(F.col("ttype") == "ALL", 0).when(F.col("ttype") == "HIT", 1).otherwise(2))
+    sessions = _sorted_lists(ordered, ["position"], ttype=F.col("ttype"), rois=F.col("rois")).withColumn("branches", drop("ttype", "rois"))
+    sessions.select("position", F.concat(F.lit("s"), "position").alias("id"), "branches").write.json(f"{folder}/task_axons.json")
+    # The same trials as a series: two groups of a protocol, each with its units and a behaviour table.
+    grouped = rows.withColumn("name", F.when(F.col("at") % 3 == 0, "AXONS").otherwise("DENDRITES"))
+    units = _sorted_lists(grouped, ["position", "name", "roi"], trial=F.col("at").cast("int"), y=F.col("y")).withColumn("trials", drop("trial", "y"))
+    held = _sorted_lists(units, ["position", "name"], roi=F.col("roi"), trials=F.col("trials")).withColumn("rois", drop("roi", "trials")).select("position", "name", "rois")
+    fields = F.create_map(F.lit("history"), F.col("kind"), F.lit("Rew lick latency"), F.when(odd, (F.col("at") / 10).cast("string")).otherwise("no lick"))
+    seen = _sorted_lists(grouped, ["position", "name"], trial=F.col("at").cast("int"), row=F.col("at").cast("int"), fields=fields).withColumn("behavior", drop("trial", "row", "fields"))
+    groups = held.join(seen.select("position", "name", "behavior"), ["position", "name"]).withColumn("at", F.when(F.col("name") == "AXONS", 0).otherwise(1))
+    series = _sorted_lists(groups, ["position"], name=F.col("name"), behavior=F.col("behavior"), rois=F.col("rois")).withColumn("groups", drop("name", "behavior", "rois"))
+    protocols = F.array(F.struct(F.lit("NAIVE STIM REW").alias("protocol"), "groups"))
+    series.select("position", F.concat(F.lit("m"), "position").alias("id"), protocols.alias("protocols")).write.json(f"{folder}/batch1.json")

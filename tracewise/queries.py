@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise import adapters
@@ -18,6 +18,9 @@ from tracewise.operators.recipes import regenerate, side_of
 from tracewise.operators.windows import events_in_epoch, events_in_window
 from tracewise.plans.lineage import checkpointed
 from tracewise.plans.specs import EventTableParams
+from tracewise.sources import nested
+from tracewise.sources.event_files import FREQUENCY_GLOBS, SUFFIXES, read_event_folder, read_frequencies
+from tracewise.sources.tables import read_manifest, read_table, write_tables
 from tracewise.streaming.detect import stacked_stream
 from tracewise.streaming.replay import replay
 
@@ -831,3 +834,88 @@ def comparison_bars(spark, sf):
     bars = display.strip_values(values, [("task_axons", "cHIT"), ("task_axons", "nHIT")])
     points = F.array_join(F.transform("values", lambda v: F.format_string("%.6f", v)), ",")
     return rounded(bars.withColumn("points", points).drop("values"))
+
+
+# Files: the tables written in the layouts of recordings, and read back -------------------------------------------------
+
+FILES_SQL = EVENTS_SQL + """, fi AS (
+  SELECT *, 'part' || (row_ord % 8) || '_MODIFIED_' || CASE WHEN protocol LIKE '%dendrites%' THEN 'task_dendrites_TD0' ELSE protocol END AS stem, protocol IN ('task_axons', 'NO_DREADDs') AS task FROM ev
+)"""
+
+
+@query(f"""WITH {FILES_SQL} SELECT side, stem, CASE WHEN task THEN k0 || '_' || k1 || '.0' ELSE k0 END AS k0, CASE WHEN NOT task THEN k1 END AS k1, trial::VARCHAR AS trial,
+  CASE WHEN protocol NOT LIKE '%passive%' THEN outcome END AS outcome, CASE WHEN protocol LIKE '%passive%' THEN history END AS history, {_r(*ALL)} FROM fi""")
+def event_files(spark, sf):
+    """Event files in three layouts, of both sides, as one table."""
+    folder = adapters.shared_path(spark, "events")
+    adapters.event_files(spark, sf, folder)
+    sides = [read_event_folder(spark, folder, suffix).withColumn("side", F.lit(side)) for side, suffix in zip(("target", "reference"), SUFFIXES["reward"], strict=True)]
+    return rounded(sides[0].unionByName(sides[1]).drop("row_ord"))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT regexp_replace(protocol, '[^A-Za-z_]+', '_', 'g') || '_fullreward_event_frequencies' AS stem, k0, k1,
+  {', '.join(f"count(*) FILTER (WHERE outcome = '{o}') / 8 AS \"{o}\"" for o in ("cHIT", "nHIT", "FA"))} FROM ev GROUP BY protocol, k0, k1""")
+def frequency_files(spark, sf):
+    folder = adapters.shared_path(spark, "frequencies")
+    adapters.frequency_files(spark, sf, folder)
+    return read_frequencies(spark, folder, FREQUENCY_GLOBS["reward"])
+
+
+NESTED_SQL = """em AS (
+  SELECT vec_id AS vid, vec_id // 64 AS position, 'r' || label AS roi, CASE vec_id % 4 WHEN 0 THEN 'cHIT' WHEN 1 THEN 'nHIT' WHEN 2 THEN 'cCATCH' ELSE 'FA' END AS kind,
+         CASE WHEN vec_id % 3 = 0 THEN 'AXONS' ELSE 'DENDRITES' END AS name, embedding::DOUBLE[] AS y FROM embeddings
+), fi AS (SELECT *, min(vid) OVER (PARTITION BY position, roi) AS r0, row_number() OVER (PARTITION BY position, roi ORDER BY vid) - 1 AS t FROM em
+), fl AS (SELECT *, dense_rank() OVER (PARTITION BY position ORDER BY r0) - 1 AS r FROM fi
+), si AS (SELECT *, min(vid) OVER (PARTITION BY position, name, roi) AS g0, row_number() OVER (PARTITION BY position, name, roi ORDER BY vid) - 1 AS gt FROM em
+), se AS (SELECT *, dense_rank() OVER (PARTITION BY position, name ORDER BY g0) - 1 AS gr, CASE name WHEN 'AXONS' THEN 0 ELSE least(1, (SELECT count(*) FROM em e WHERE e.position = si.position AND e.name = 'AXONS')) END AS g FROM si)"""
+
+
+def _nested(spark, sf, name: str, schema: str) -> DataFrame:
+    folder = adapters.shared_path(spark, "nested")
+    adapters.nested_sources(spark, sf, folder)
+    return nested.read_nested(spark, folder, name, schema)
+
+
+def _total() -> Column:
+    return F.round(F.aggregate("y", F.lit(0.0), lambda s, v: s + v), 6).alias("total")
+
+
+@query(f"""WITH {NESTED_SQL} SELECT 's' || position AS id, roi, vid::VARCHAR AS trial, kind AS unvalidated_type, CASE WHEN vid % 2 = 1 THEN vid / 10 END AS response_latency, position AS source_order,
+  ((position * 4096 + 0) * 4096 + r) * 1048576 + t AS row_ord, round(list_sum(y), 6) AS total FROM fl""")
+def nested_traces(spark, sf):
+    """Traces of nested sessions by branch, in the order of the file."""
+    traces, _ = nested.flatten_branches(_nested(spark, sf, "task_axons", nested.FLAT), "task_axons")
+    return traces.select("id", "roi", "trial", "unvalidated_type", "response_latency", "source_order", "row_ord", _total())
+
+
+@query(f"""WITH {NESTED_SQL}, br AS (SELECT position, roi, vid, 'ALL' AS ttype FROM em UNION ALL SELECT position, roi, vid, CASE WHEN kind LIKE '%HIT%' THEN 'HIT' ELSE 'other' END FROM em),
+un AS (SELECT position, ttype, roi, min(vid) AS first, count(*) AS n FROM br GROUP BY ALL)
+SELECT 's' || position AS id, ttype, arg_min(n, first)::INT AS n_trials FROM un GROUP BY position, ttype""")
+def nested_trial_counts(spark, sf):
+    return nested.flatten_branches(_nested(spark, sf, "task_axons", nested.FLAT), "task_axons")[1].select("id", "ttype", "n_trials")
+
+
+@query(f"""WITH {NESTED_SQL} SELECT 'm' || position AS id, name AS compartment, roi, vid::INT AS trial, position * 16777216 + g AS source_order, (position * 16777216 + g) * 16777216 + gr * 4096 + gt AS row_ord,
+  round(list_sum(y), 6) AS total FROM se""")
+def nested_series(spark, sf):
+    """Traces of nested sessions by protocol and group."""
+    traces, _ = nested.flatten_series(_nested(spark, sf, "batch1", nested.SERIES), "batch1")
+    return traces.select("id", "compartment", "roi", "trial", "source_order", "row_ord", _total())
+
+
+@query(f"""WITH {NESTED_SQL} SELECT 'RGECO_GCaMP_Batch1_m' || position AS session, vid AS trial, CASE WHEN vid % 2 = 1 THEN vid / 10 END AS lick_latency FROM em WHERE name = 'DENDRITES'""")
+def reward_lick_latency(spark, sf):
+    """Lick latencies of a group from the behaviour of nested sessions; what is no number is null."""
+    _, behavior = nested.flatten_series(_nested(spark, sf, "batch1", nested.SERIES), "batch1")
+    return latency.reward_lick_latency({"behavior_batch1": behavior}, "passive_dendrites")
+
+
+@query(f"""WITH {TRACES_SQL}, w AS (SELECT roi, trial, outcome, round(list_sum(y), 6) AS total, row_ord FROM tr), n AS (SELECT count(*) AS n FROM tr)
+SELECT w.*, n AS rows_noted FROM w, n""")
+def converted_tables(spark, sf):
+    """Wide traces, a column a frame, written as a converted table with its manifest, and read back as arrays."""
+    folder, rows = adapters.shared_path(spark, "converted"), adapters.traces(spark, sf)
+    frames = [F.get("y", F.lit(i)).alias(f"f{i:03d}") for i in range(64)]
+    write_tables({"traces_task_axons": rows.select("roi", "trial", "outcome", "row_ord", *frames)}, folder)
+    noted = read_manifest(spark, folder)["row_counts"]["traces_task_axons"]
+    return read_table(spark, folder, "traces_task_axons").select("roi", "trial", "outcome", _total(), "row_ord", F.lit(noted).cast("long").alias("rows_noted"))
