@@ -6,6 +6,7 @@ import json
 
 import pytest
 import yaml
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -346,3 +347,14 @@ def test_session_stages(spark):
     assert len(made) == 3 and list(made.results(rows)) == ["filter", "dff", "events"]
     found = [r for r in made(rows).collect() if r.peak > 1]
     assert len(found) == 3 and all(abs(r.ev_onset - 5.0) < 0.3 and 1.5 < r.peak < 2.6 for r in found)
+
+
+def test_many_trials_of_a_unit_keep_their_order(spark):
+    trials = [(i, [float(i)]) for i in range(5000, 0, -1)]
+    rows = [(0, "m", [("NAIVE STIM REW", [("AXONS", [], [("a", trials), ("b", trials[:3])])])])]
+    traces, _ = nested.flatten_series(spark.createDataFrame(rows, nested.SERIES), "batch1")
+    got = traces.orderBy("row_ord").select("roi", "trial").collect()
+    assert [tuple(r) for r in got] == [("a", t) for t, _ in trials] + [("b", t) for t, _ in trials[:3]]
+    assert traces.select("row_ord").distinct().count() == 5003
+    with pytest.raises(SparkRuntimeException, match="places"):
+        nested.flatten_series(spark.createDataFrame([(1 << 15, "m", [("P", [("AXONS", [], [("a", trials[:1])])])])], nested.SERIES), "batch1")[0].collect()

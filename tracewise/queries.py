@@ -895,7 +895,7 @@ def nested_trial_counts(spark, sf):
     return nested.flatten_branches(_nested(spark, sf, "task_axons", nested.FLAT), "task_axons")[1].select("id", "ttype", "n_trials")
 
 
-@query(f"""WITH {NESTED_SQL} SELECT 'm' || position AS id, name AS compartment, roi, vid::INT AS trial, position * 16777216 + g AS source_order, (position * 16777216 + g) * 16777216 + gr * 4096 + gt AS row_ord,
+@query(f"""WITH {NESTED_SQL} SELECT 'm' || position AS id, name AS compartment, roi, vid::INT AS trial, position * 16777216 + g AS source_order, ((position * 65536 + g) * 4096 + gr) * 1048576 + gt AS row_ord,
   round(list_sum(y), 6) AS total FROM se""")
 def nested_series(spark, sf):
     """Traces of nested sessions by protocol and group."""

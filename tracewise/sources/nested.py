@@ -24,12 +24,13 @@ GROUP_FIELD = {"batch1": "compartment", "batch3": "fov"}
 COHORTS = ("task_dendrites", "control_dendrites")
 
 
-def _order(*parts: str) -> Column:
-    """One number from places of nested levels, each below 2^12 but the last, below 2^20."""
-    out = F.col(parts[0]).cast("long")
-    for p in parts[1:-1]:
-        out = out * (1 << 12) + F.col(p)
-    return out * (1 << 20) + F.col(parts[-1])
+def packed(*places: tuple[str, int]) -> Column:
+    """One number from the places of nested levels, each with its bits; more places than these hold are an error."""
+    out = F.lit(0).cast("long")
+    for name, bits in places:
+        place = F.col(name).cast("long")
+        out = out * (1 << bits) + F.when(place < 1 << bits, place).otherwise(F.raise_error(F.lit(f"a level of a nested source has more than {1 << bits} places: {name}")))
+    return out
 
 
 def flatten_branches(nested: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
@@ -41,12 +42,12 @@ def flatten_branches(nested: DataFrame, dataset: str) -> tuple[DataFrame, DataFr
     named = branches.where(F.col("ttype").isNotNull() & (F.size("rois") > 0))
     trials = named.select(
         F.lit(dataset).alias("dataset"), "id", "ttype", F.size(F.get("rois", F.lit(0))["trials"]).alias("n_trials"), F.col("position").alias("source_order"),
-        (F.col("position") * (1 << 12) + F.col("b")).alias("row_ord"),
+        packed(("position", 40), ("b", 12)).alias("row_ord"),
     )
     rows = branches.where("ttype = 'ALL'").select("position", "id", "b", F.posexplode("rois").alias("r", "unit"))
     rows = rows.select("position", "id", "b", "r", "unit.roi", F.posexplode("unit.trials").alias("t", "x"))
     labels = [F.col("x.labels")[n].alias(n) for n in FLAT_LABELS[dataset]]
-    traces = rows.select(F.lit(dataset).alias("dataset"), "id", "roi", "x.trial", *labels, F.col("position").alias("source_order"), _order("position", "b", "r", "t").alias("row_ord"), "x.y")
+    traces = rows.select(F.lit(dataset).alias("dataset"), "id", "roi", "x.trial", *labels, F.col("position").alias("source_order"), packed(("position", 19), ("b", 12), ("r", 12), ("t", 20)).alias("row_ord"), "x.y")
     if "response_latency" in traces.columns:
         traces = traces.withColumn("response_latency", F.expr("try_cast(response_latency AS DOUBLE)"))
     return traces, trials
@@ -55,16 +56,17 @@ def flatten_branches(nested: DataFrame, dataset: str) -> tuple[DataFrame, DataFr
 def flatten_series(nested: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
     """(traces, behaviour) of sessions with protocols and groups, each with units and a behaviour table.
 
-    ``source_order`` rises with sessions, protocols and groups in their order; each level has under 2^12 places.
+    ``source_order`` rises with sessions, protocols and groups in their order, ``row_ord`` with units and trials, too: up to
+    2^20 trials a unit.
     """
     groups = nested.select("position", "id", F.posexplode("protocols").alias("p", "x")).select("position", "id", "p", "x.protocol", F.posexplode("x.groups").alias("g", "group"))
-    place = F.col("position") * (1 << 24) + F.col("p") * (1 << 12) + F.col("g")
-    numbered = groups.withColumn("source_order", place)
+    numbered = groups.withColumn("source_order", packed(("position", 39), ("p", 12), ("g", 12)))
     field = F.col("group.name").alias(GROUP_FIELD[dataset])
     head = [F.lit(dataset).alias("dataset"), "id", "protocol", field]
-    units = numbered.select(*head, "source_order", F.posexplode("group.rois").alias("r", "unit"))
-    rows = units.select("dataset", "id", "protocol", GROUP_FIELD[dataset], "source_order", "r", "unit.roi", F.posexplode("unit.trials").alias("t", "x"))
-    traces = rows.select("dataset", "id", "protocol", GROUP_FIELD[dataset], "roi", "x.trial", "source_order", (F.col("source_order") * (1 << 24) + F.col("r") * (1 << 12) + F.col("t")).alias("row_ord"), "x.y")
+    levels = ["position", "p", "g"]
+    units = numbered.select(*head, *levels, "source_order", F.posexplode("group.rois").alias("r", "unit"))
+    rows = units.select("dataset", "id", "protocol", GROUP_FIELD[dataset], *levels, "source_order", "r", "unit.roi", F.posexplode("unit.trials").alias("t", "x"))
+    traces = rows.select("dataset", "id", "protocol", GROUP_FIELD[dataset], "roi", "x.trial", "source_order", packed(("position", 15), ("p", 8), ("g", 8), ("r", 12), ("t", 20)).alias("row_ord"), "x.y")
     seen = numbered.select(*head, "source_order", F.explode("group.behavior").alias("x"))
     behavior = seen.select("dataset", "id", "protocol", GROUP_FIELD[dataset], "source_order", "x.trial", F.col("x.row").alias("behavior_row"), "x.fields")
     names = behavior_fields(behavior)
