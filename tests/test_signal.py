@@ -367,3 +367,29 @@ def test_stretches_merge_in_any_grouping():
             i = int(rng.integers(0, len(parts) - 1))
             parts[i : i + 2] = [joined(parts[i], parts[i + 1])]
         assert parts[0] == whole
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_traces_in_buckets_stay_where_they_are(spark, adaptive):
+    """No exchange of traces in the plans of baselines and detection over a bucketed table; the same values as without."""
+    from tracewise.sources.tables import write_bucketed
+
+    rng = np.random.default_rng(6)
+    made = [("s", f"r{i % 5}", str(i), "cHIT", (5 + rng.normal(0, 1, 40)).tolist(), i) for i in range(60)]
+    plain = spark.createDataFrame(made, SCHEMA)
+    table = write_bucketed(plain, f"bucketed_{adaptive}", 4)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = signal.dff(table, 10.0, in_place=True)
+        far = signal.dff(plain, 10.0)
+        assert sorted((r.trial, tuple(r.y)) for r in near.collect()) == sorted((r.trial, tuple(r.y)) for r in far.collect())
+        found, want = (D.detect(x, "per_trial", 10.0, sd=0.5, min_samples=2) for x in (table, plain))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+        for df, moved in ((near, False), (found, False), (far, True)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange" in plan) == moved, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql(f"DROP TABLE bucketed_{adaptive}")

@@ -25,21 +25,25 @@ def baseline(y: str, fps: float, window: tuple[float, float] = (2.0, 3.0)) -> Co
     return median(part(y, start - 1, stop - 1)) if start >= 1 else F.lit(None).cast("double")
 
 
-def with_baseline(traces: DataFrame, fps: float, window: tuple[float, float] = (2.0, 3.0), unit: list[str] | None = None) -> DataFrame:
+def with_baseline(traces: DataFrame, fps: float, window: tuple[float, float] = (2.0, 3.0), unit: list[str] | None = None, in_place: bool = False) -> DataFrame:
     """``traces`` plus ``f0``: the baseline's running median over the unit's trials in ``row_ord``.
 
-    Only the baselines take part in the ordering, and meet their traces again by unit and ``row_ord``.
+    Only the baselines take part in the ordering, and meet their traces again by unit and ``row_ord``. ``in_place`` is for
+    tables that are bucketed by the unit, as ``sources.tables.write_bucketed`` makes them: a unit's traces lie together
+    there, and the median runs over them where they are, without moving any.
     """
     unit = unit or ["session", "roi"]
     order = W.partitionBy(*unit).orderBy("row_ord").rowsBetween(-SMOOTHING[0], SMOOTHING[1])
+    f0 = F.expr("percentile(raw, 0.5)").over(order).alias("f0")
+    if in_place:
+        return traces.withColumn("raw", baseline("y", fps, window)).select(*traces.columns, f0)
     raw = traces.select(*unit, "row_ord", baseline("y", fps, window).alias("raw"))
-    smooth = raw.select(*unit, "row_ord", F.expr("percentile(raw, 0.5)").over(order).alias("f0"))
-    return traces.join(smooth, [*unit, "row_ord"])
+    return traces.join(raw.select(*unit, "row_ord", f0), [*unit, "row_ord"])
 
 
-def dff(traces: DataFrame, fps: float, window: tuple[float, float] = (2.0, 3.0), unit: list[str] | None = None) -> DataFrame:
-    """``traces`` with ``y`` as its relative distance from the smoothed baseline."""
-    held = with_baseline(traces, fps, window, unit)
+def dff(traces: DataFrame, fps: float, window: tuple[float, float] = (2.0, 3.0), unit: list[str] | None = None, in_place: bool = False) -> DataFrame:
+    """``traces`` with ``y`` as its relative distance from the smoothed baseline; ``in_place`` as for ``with_baseline``."""
+    held = with_baseline(traces, fps, window, unit, in_place)
     return held.withColumn("y", F.transform("y", lambda v: (v - F.col("f0")) / F.col("f0"))).drop("f0")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from tracewise.plans.lineage import checkpointed
 from tracewise.plans.specs import EventTableParams
 from tracewise.sources import nested
 from tracewise.sources.event_files import FREQUENCY_GLOBS, SUFFIXES, read_event_folder, read_frequencies
-from tracewise.sources.tables import read_manifest, read_table, write_tables
+from tracewise.sources.tables import read_manifest, read_table, write_bucketed, write_tables
 from tracewise.streaming.detect import stacked_stream
 from tracewise.streaming.replay import replay
 
@@ -475,6 +476,17 @@ def dff(spark, sf):
     return rounded(made.select("roi", "trial", F.posexplode("y").alias("frame", "v")))
 
 
+def _bucketed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    return write_bucketed(rows, f"traces_{uuid.uuid4().hex}", spark.sparkContext.defaultParallelism)
+
+
+@query(ORACLES["dff"])
+def dff_in_place(spark, sf):
+    """The same over traces in buckets of units, none of which is moved."""
+    made = signal.dff(_bucketed(spark, _raw(spark, sf)), FPS, in_place=True)
+    return rounded(made.select("roi", "trial", F.posexplode("y").alias("frame", "v")))
+
+
 @query(f"WITH {TRACES_SQL} SELECT roi, round(2 * stddev_pop(v), 6) AS threshold FROM (SELECT roi, unnest(y[21:30]) AS v FROM tr) GROUP BY roi")
 def baseline_threshold(spark, sf):
     return rounded(D.thresholds(adapters.traces(spark, sf), FPS, (2.0, 3.0), 2.0).select("roi", "threshold"))
@@ -513,6 +525,12 @@ def detect_per_trial(spark, sf):
     return rounded(D.detect(adapters.traces(spark, sf), "per_trial", FPS, **LOOSE).select(*EVENT_COLUMNS))
 
 
+@query(ORACLES["detect_per_trial"])
+def detect_in_place(spark, sf):
+    """Detection over traces in buckets of units."""
+    return rounded(D.detect(_bucketed(spark, adapters.traces(spark, sf)), "per_trial", FPS, **LOOSE).select(*EVENT_COLUMNS))
+
+
 @query(_detect_sql(BRANCH_SQL, 0.5, 4))
 def detect_per_branch(spark, sf):
     return rounded(D.detect(adapters.traces(spark, sf), "per_branch", FPS, **LOOSE).select(*EVENT_COLUMNS))

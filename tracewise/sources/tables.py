@@ -81,6 +81,16 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, sources: Mapping[
     return paths
 
 
+def write_bucketed(traces: DataFrame, table: str, buckets: int, unit: tuple[str, ...] = ("session", "roi")) -> DataFrame:
+    """Traces as a table of the warehouse, in buckets of units, a file each, in the order of trials; returns the table.
+
+    Whatever groups, joins or orders it by unit finds a unit's traces together: thresholds, detection and baselines then
+    need no exchange of traces.
+    """
+    traces.repartition(buckets, *unit).write.mode("overwrite").bucketBy(buckets, *unit).sortBy(*unit, "row_ord").saveAsTable(table)
+    return traces.sparkSession.table(table)
+
+
 def manifest_path(folder: str) -> str:
     """Where a folder's manifest is."""
     return f"{folder}/{MANIFEST}"
