@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from tracewise.functions.arrays import median, simpson
@@ -393,3 +394,29 @@ def test_traces_in_buckets_stay_where_they_are(spark, adaptive):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.sql(f"DROP TABLE bucketed_{adaptive}")
+
+
+@pytest.mark.parametrize("size", [13, 40, 1000])
+def test_lowpass_in_blocks_is_that_of_the_whole_trace(spark, size):
+    rng = np.random.default_rng(8)
+    whole = {k: np.cumsum(rng.normal(0, 1, n)) for k, n in (("a", 400), ("b", 401), ("c", 13), ("d", 3 * size + 1))}
+    rows = [(k, i // size, y[i : i + size].tolist()) for k, y in whole.items() for i in range(0, len(y), size)]
+    df = spark.createDataFrame(rows, "k string, block long, y array<double>").repartition(3)
+    got: dict[str, list] = {}
+    for r in signal.lowpass_blocks(df, ["k"]).orderBy("k", "block").collect():
+        got.setdefault(r.k, []).extend(r.y)
+    for k, y in whole.items():
+        assert np.allclose(got[k], signal.zero_phase(y[None, :])[0], rtol=0, atol=1e-9)
+    for bad in ([("a", 0, [1.0] * 5)], [("a", 0, [1.0] * 20 + [float("nan")])], [("a", 0, [1.0] * 9), ("a", 1, [1.0] * 30)]):
+        with pytest.raises(SparkRuntimeException):
+            signal.lowpass_blocks(spark.createDataFrame(bad, df.schema), ["k"]).collect()
+
+
+@pytest.mark.parametrize("block", [1, 7, 25, 1000])
+def test_baselines_by_blocks_are_those_of_the_whole_unit(spark, block):
+    rng = np.random.default_rng(9)
+    # Some trials have no baseline: a value of theirs is missing.
+    made = [("s", roi, str(i), "cHIT", [float("nan") if v < 0.1 else float(v) for v in rng.random(3)] * 10, 7 * i) for roi, n in (("r", 60), ("q", 3), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(made, SCHEMA)
+    want, got = (sorted((r.roi, r.trial, r.f0) for r in signal.with_baseline(df, 10.0, (1.0, 2.0), block=b).collect()) for b in (None, block))
+    assert got == want and len(want) == 64 and any(f is not None for *_, f in want)

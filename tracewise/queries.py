@@ -480,6 +480,12 @@ def _bucketed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return write_bucketed(rows, f"traces_{uuid.uuid4().hex}", spark.sparkContext.defaultParallelism)
 
 
+@query(ORACLES["f0_rolling_median"])
+def f0_in_blocks(spark, sf):
+    """The same, by blocks of 16 trials of a unit."""
+    return rounded(signal.with_baseline(_raw(spark, sf), FPS, block=16).select("roi", "trial", "f0"))
+
+
 @query(ORACLES["dff"])
 def dff_in_place(spark, sf):
     """The same over traces in buckets of units, none of which is moved."""
@@ -666,6 +672,15 @@ def lowpass(spark, sf):
     return rounded(made.select("roi", "trial", F.posexplode("y").alias("frame", "v")))
 
 
+@query(ORACLES["lowpass"])
+def lowpass_in_blocks(spark, sf):
+    """The same, by blocks of 20 frames: the frames of a trace are those before its block, and its own."""
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.size("y") - 1) / 20))).alias("block")
+    cut = adapters.traces(spark, sf).select("roi", "trial", block, "y").withColumn("y", F.slice("y", (F.col("block") * 20 + 1).cast("int"), 20))
+    made = signal.lowpass_blocks(cut, ["roi", "trial"]).select("roi", "trial", "block", F.posexplode("y").alias("i", "v"))
+    return rounded(made.select("roi", "trial", (F.col("block") * 20 + F.col("i")).cast("int").alias("frame"), "v"))
+
+
 # Grouping ------------------------------------------------------------------------------------------------------------
 
 STEMS = ("task_dendrites_TD0", "task_dendrites_TD1", "MODIFIED_task_dendrites_TD3", "control_dendrites_TD1", "control_dendrites_TD2", "task_axons")
