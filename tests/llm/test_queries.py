@@ -7,18 +7,23 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from tracewise.llm import langid, pii, queries, tagger
+import corpus_pipeline
+from tracewise.llm import langid, mixing, pii, queries, tagger
 
-from .test_dedup import brute_components
+from .test_dedup import brute_components, brute_exact
+from .test_similar import alike_pairs
 from .test_text import brute_personal
 
 
 @pytest.fixture(scope="module")
 def engine(sf_dir):
     made = duckdb.connect()
-    for name in ("documents", "embeddings", "conversations"):
+    for name in ("documents", "embeddings", "conversations", "benchmark"):
         made.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
     return made
 
@@ -89,3 +94,38 @@ def test_languages_of_all_documents(spark, sf_dir, documents):
         if row.held_out and lang is not None:
             right, tested = right + (lang == row.lang_pred), tested + 1
     assert tested > 20 and right / tested > 0.95
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_of_all_documents(spark, sf_dir, documents, library):
+    found = {r.doc_id: r for r in queries.QUERIES["op2_bpe"](spark, sf_dir).collect()}
+    assert len(found) == len(documents)
+    for (doc_id, text, _), coded in zip(documents, library.encode_batch([t or "" for _, t, _ in documents], add_special_tokens=False), strict=True):
+        row = found[doc_id]
+        assert row.n_tokens == len(coded.ids) and row.ids_sha256 == hashlib.sha256(np.array(coded.ids, "<u4").tobytes()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(library.decode(coded.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_pipeline_from_end_to_end(spark, sf_dir, engine, library):
+    """Its rows are those of the stages by plain loops, SQL and the library, one after another over the whole table."""
+    told = {r.doc_id: r for r in queries.QUERIES["op10_language_id"](spark, sf_dir).collect()}
+    rows = [r for r in engine.execute("SELECT doc_id, text, lang, source FROM documents ORDER BY doc_id").fetchall() if told[r[0]].lang_pred != langid.UND and told[r[0]].score >= corpus_pipeline.SURE]
+    stays = {r[0] for r in brute_exact(rows) if r[3]}
+    rows = [r for r in rows if r[0] in stays]
+    up = list(range(len(rows)))
+    for i, j in sorted(alike_pairs([r[1] for r in rows])):
+        a, b = sorted((up[i], up[j]))
+        up = [a if x == b else x for x in up]
+    rows = [r for i, r in enumerate(rows) if up[i] == i]
+    held = duckdb.connect()
+    held.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    held.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    visits = held.execute(f"SELECT doc_id FROM ({mixing.ORACLE})").fetchall()
+    ids = {r[0]: np.array(library.encode(r[1], add_special_tokens=False).ids, "<u4").tobytes() for r in rows}
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted((r.doc_id, bytes(r.ids)) for r in found) == sorted((i, ids[i]) for (i,) in visits)
+    assert all(r.round_trip and r.n_tokens * 4 == len(r.ids) for r in found)
