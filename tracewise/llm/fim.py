@@ -36,9 +36,9 @@ from tracewise.llm.common import free_name, table
 #: One code point, line ends included.
 CODE_POINT = r"[\s\S]"
 #: Bytes of text handled at once, and distinct runs that a task keeps the offsets of.
-SLICE_BYTES, KEPT_RUNS = 1_000_000, 300_000
-#: Runs of up to 32 characters, which words and the gaps between them mostly are.
-_RUNS = re.compile(r"[^\S\r\n]*\S{1,32}|\s{1,32}").findall
+SLICE_BYTES, KEPT_RUNS = 1_000_000, 150_000
+#: Runs of up to 64 characters, which words with the gaps before them mostly are.
+_RUNS = re.compile(r"[^\S\r\n]{0,32}\S{1,32}|\s{1,32}").findall
 PLAIN, PSM, SPM = "plain", "psm", "spm"
 OUT = ("n", "form", "prefix_chars", "middle_chars", "output")
 
@@ -74,7 +74,8 @@ class Splitter:
 
     def _clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.flat, self.starts, self.sizes, self.lengths = (np.zeros(0, np.int64) for _ in range(4))
+        self.flat = np.zeros(0, np.uint8)
+        self.starts, self.sizes, self.lengths = (np.zeros(0, np.int64) for _ in range(3))
 
     def _add(self, runs: list[str]) -> None:
         """Split runs that were not seen before."""
@@ -83,7 +84,7 @@ class Splitter:
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
         self.sizes = np.r_[self.sizes, sizes]
         self.lengths = np.r_[self.lengths, np.fromiter(map(len, runs), np.int64, len(runs))]
-        self.flat = np.r_[self.flat, np.fromiter((a for f in found for a in f), np.int64, int(sizes.sum()))]
+        self.flat = np.r_[self.flat, np.fromiter((a for f in found for a in f), np.uint8, int(sizes.sum()))]
 
     def offsets(self, texts: list[str]) -> list[np.ndarray]:
         """Where each unit of each text begins, in code points."""
