@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.functions.keys import without_modified
+from tracewise.sources.files import listed
+from tracewise.sources.keyed_csv import KeyedCsv
 
 # File endings by alignment, target side first, and the frequency files' pattern.
 SUFFIXES = {"reward": ("_all_2s_reward_events", "_all_2s_noreward_events"), "stimulus": ("_all_500ms_stim_events", "_all_500ms_nostim_events")}
@@ -14,55 +16,40 @@ NUMBERS = ("peak", "ev_onset", "peak_time", "ev_offset", "ev_duration", "integra
 TASK = ("task_axons", "NO_DREADDs")
 
 
-def layout(group: str) -> str:
-    """Which of the three layouts a group's files have."""
-    return "passive" if "passive" in group else "task" if group in TASK else "dendrites"
+def _files(spark: SparkSession, folder: str, pattern: str, keys: int = 1) -> DataFrame:
+    """Rows of the folder's files that fit the pattern, each under its own header, in one scan."""
+    spark.dataSource.register(KeyedCsv)
+    if not listed(folder, pattern):
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    return spark.read.format(KeyedCsv.name()).option("pattern", pattern).option("keys", keys).load(folder)
 
 
-def _glob(kind: str, suffix: str) -> str:
-    return f"*{suffix}.csv" if not kind else f"*{kind}*{suffix}.csv"
+def _number(name: str) -> Column:
+    return F.col("fields")[name].try_cast("double").alias(name)
 
 
-def read_events(spark: SparkSession, path: str, kind: str, suffix: str = "") -> DataFrame:
-    """Events of files of one layout: ``stem, k0, k1, trial, outcome, history``, metrics and ``row_ord``.
+def read_event_folder(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """Events of all files with the ending, whatever their layout: ``stem, k0, k1, trial, outcome, history``, metrics and
+    ``row_ord``, in one scan.
 
-    All columns are read as text: keys such as ``57.0`` must stay what they are. ``path`` may be a glob.
+    The stem says the layout: task recordings have their key in the column ``ROI``, the others in the first column and
+    ``ROI``. Columns that a file lacks are null, but for ``ROI``, without which rows have no key: that is an error.
+    ``row_ord`` rises with the stems and the rows in a file.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    # A blank header is a column's place; the key is the column ROI, with the first column where the layout has two.
-    first = raw.columns[0]
-    key = [F.col("ROI").alias("k0"), F.lit(None).cast("string").alias("k1")] if kind == "task" else [F.col(first).alias("k0"), F.col("ROI").alias("k1")]
-    text = lambda c: (F.col(c) if c in raw.columns else F.lit(None)).cast("string").alias(c)
-    number = lambda c: (F.expr(f"try_cast(`{c}` AS DOUBLE)") if c in raw.columns else F.lit(None).cast("double")).alias(c)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    stem = F.regexp_replace(F.url_decode(name), rf"{suffix}\.csv$", "")
-    order = F.col("_metadata.file_block_start").cast("long") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)
-    return raw.select(stem.alias("stem"), *key, text("trial"), text("outcome"), text("history"), *map(number, NUMBERS), order.alias("row_ord"))
-
-
-def read_event_folder(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """Events of all files with the ending, whatever their layout; one scan per layout that occurs."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}.csv").load(folder).select("path")
-    stems = names.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), rf"{suffix}\.csv$", "").alias("stem"), "path")
-    title = without_modified(F.col("stem"))
-    kind = F.when(title.contains("passive"), "passive").when(title.isin(*TASK), "task").otherwise("dendrites")
-    # A folder holds a file per group and side: a few dozen names.
-    by_kind: dict[str, list[str]] = {}
-    for row in stems.select(kind.alias("kind"), "path").collect():
-        by_kind.setdefault(row.kind, []).append(row.path)
-    if not by_kind:
-        raise FileNotFoundError(f"no *{suffix}.csv in {folder}")
-    pieces = [read_events(spark, paths, k, suffix) for k, paths in sorted(by_kind.items())]
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece, allowMissingColumns=True)
-    return out
+    stem = F.regexp_replace("file", rf"{suffix}\.csv$", "")
+    task = without_modified(stem).isin(*TASK)
+    lost = F.raise_error(F.concat(F.lit("no column ROI in "), "file"))
+    roi = F.when(F.map_contains_key("fields", "ROI"), F.col("fields")["ROI"]).otherwise(lost)
+    keys = [F.when(task, roi).otherwise(F.col("keys")[0]).alias("k0"), F.when(~task, roi).alias("k1")]
+    texts = [F.col("fields")[c].alias(c) for c in ("trial", "outcome", "history")]
+    return _files(spark, folder, f"*{suffix}.csv").select(stem.alias("stem"), *keys, *texts, *map(_number, NUMBERS), "row_ord")
 
 
 def read_frequencies(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """``stem, k0, k1`` and a column per outcome of all frequency files that fit the pattern."""
-    raw = spark.read.option("header", True).option("inferSchema", False).option("pathGlobFilter", pattern).csv(folder)
-    a, b = raw.columns[:2]
-    stem = F.regexp_replace(F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)), r"\.csv$", "")
-    numbers: list[Column] = [F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in raw.columns[2:]]
-    return raw.select(stem.alias("stem"), F.col(a).alias("k0"), F.col(b).alias("k1"), *numbers)
+    """``stem, k0, k1`` and a column per outcome of all frequency files that fit the pattern; null where a file lacks it.
+
+    The first two columns are keys, whatever their headers; outcomes are a few dozen names.
+    """
+    rows = _files(spark, folder, pattern, keys=2)
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("fields"))).distinct().collect())
+    return rows.select(F.regexp_replace("file", r"\.csv$", "").alias("stem"), F.col("keys")[0].alias("k0"), F.col("keys")[1].alias("k1"), *map(_number, names))

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tracewise.sources.files import listed, tree_checksums
+
 # Names of the converted tables.
 CONVERTED = (
     "trials_task_axons", "trials_no_dreadds", "behavior_batch1", "behavior_batch3", "behavior_task_dendrites",
@@ -58,10 +60,9 @@ def stringified(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def checksums(spark: SparkSession, folder: str) -> dict[str, str]:
-    """SHA-256 of each file below a folder, by its name; made by the executors, a file at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return {r.name: r.sha for r in files.select(name.alias("name"), F.sha2("content", 256).alias("sha")).orderBy("name").collect()}
+    """The hash of each file below a folder by its path there, as ``files.tree_checksums`` makes them: a file of up to 8 MB
+    has its SHA-256, a larger one that of its tree. One short row a file comes to the driver, for the manifest."""
+    return {r.name: r.sha256 for r in tree_checksums(spark, listed(folder, recursive=True)).orderBy("name").collect()}
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, sources: Mapping[str, str] | None = None, source_folder: str | None = None) -> dict[str, str]:
