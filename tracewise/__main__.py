@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewise.functions.formats import describe_match
 from tracewise.operators import recipes, validation
 from tracewise.plans import cohort, published, session
+from tracewise.plans.lineage import checkpointed
 from tracewise.plans.specs import CohortConfig, load_config, load_manifest
 from tracewise.plans.store import Store
 from tracewise.sources import event_files, nested
@@ -63,7 +64,7 @@ def validate(spark: SparkSession, source: str, converted: str, alignment: str) -
     found = recipes.regenerate(T.read_converted(spark, converted, tuple(recipes.recipe_tables(names))), cohort.CohortConfig("validate", alignment).event_tables, alignment, names)
     sides = zip(("target", "reference"), event_files.SUFFIXES[alignment], strict=True)
     files = [event_files.read_event_folder(spark, source, suffix).withColumn("side", F.lit(side)) for side, suffix in sides]
-    reference = files[0].unionByName(files[1]).withColumnRenamed("stem", "group").where(F.col("group").isin(*names))
+    reference = checkpointed(files[0].unionByName(files[1])).withColumnRenamed("stem", "group").where(F.col("group").isin(*names))
     return validation.match_report(found, reference).withColumn("sentence", describe_match())
 
 

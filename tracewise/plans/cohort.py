@@ -45,9 +45,10 @@ class Outputs:
 
 
 def read_inputs(spark: SparkSession, config: CohortConfig, source: str, tables: Mapping[str, DataFrame]) -> Inputs:
-    """The files of the config's alignment."""
+    """The files of the config's alignment, read once: an analysis refers to them many times, and each reference to the
+    files' source would list and read them anew."""
     sides = [read_event_folder(spark, source, suffix).withColumn("side", F.lit(side)) for side, suffix in zip(("target", "reference"), SUFFIXES[config.alignment], strict=True)]
-    return Inputs(reduce(DataFrame.unionByName, sides), read_frequencies(spark, source, FREQUENCY_GLOBS[config.alignment]), tables)
+    return Inputs(checkpointed(reduce(DataFrame.unionByName, sides)), checkpointed(read_frequencies(spark, source, FREQUENCY_GLOBS[config.alignment])), tables)
 
 
 def pooled(config: CohortConfig, inputs: Inputs) -> DataFrame:
