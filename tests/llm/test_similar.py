@@ -111,3 +111,72 @@ def test_documents_of_a_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     missed, pairs = check(rows, {r.doc_id for r in similar.keep_one(df).collect()})
     assert pairs and missed <= 0.05 * pairs
+
+
+def chains():
+    """Chains of texts, each alike to the next ones only, among longer and shorter ones and texts that share much less."""
+    rows = []
+    for chain in range(60):
+        rng, text = np.random.default_rng(chain), words(20 + 6 * chain, 7000 + chain).split()
+        for k in range(6):
+            text = list(text)
+            for at in rng.integers(0, len(text), 1 + len(text) // 100):
+                text[at] = f"y{chain}x{k}x{at}"
+            rows.append((chain * 10 + k, " ".join(text)))
+    shared = words(60, 998)
+    return rows + [(5000 + i, f"{words(60, 4000 + i)} {shared}") for i in range(40)]
+
+
+def components_of(rows):
+    pairs, up = alike_pairs([t for _, t in rows]), list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    return {rows[i][0] for i in range(len(rows)) if up[i] == i}
+
+
+@pytest.mark.parametrize("listed", [8192, 2])
+def test_groups_are_the_components_of_all_links(spark, listed, monkeypatch):
+    if hasattr(similar, "LIST_NODES"):
+        monkeypatch.setattr(similar, "LIST_NODES", listed)
+    rows = chains()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in similar.keep_one(df).collect()} == components_of(rows)
+
+
+def test_cells_that_shrink_to_one_block_are_settled(spark, monkeypatch):
+    """A cell of near copies shrinks to one block while one of texts that are not alike does not shrink."""
+    monkeypatch.setattr(similar, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(similar, "described", lambda t, link, real=similar.described: (*real(t, link)[:2], np.array([1 if t.startswith("s") else 2]), real(t, link)[3]))
+    rng = np.random.default_rng(3)
+    copy = " ".join(f"s{i}" for i in range(100))
+    rows = [(i, f"{copy} z{i}") for i in range(20)] + [(100 + i, " ".join(f"t{rng.integers(0, 10**9)}" for _ in range(60))) for i in range(300)]
+    link = similar.SIMILAR
+    made = [(i, *similar.described(t, link)) for i, t in rows]
+    df = spark.createDataFrame([(i, n, int(np.uint64(f).view(np.int64)), [int(k) for k in keys], held) for i, n, f, keys, held in made], "id long, node binary, fp long, keys array<long>, shingles binary")
+    found = {(bytes(r.u), bytes(r.v)) for r in similar.edges(df, link).collect()}
+    hung = {u for u, _ in found}
+    assert sum(bytes(n) not in hung for i, n, *_ in made if i < 100) == 1
+
+
+def test_pairs_by_sizes_and_parities_miss_none():
+    rng, link = np.random.default_rng(5), similar.SIMILAR
+    sets = []
+    for size in (1, 3, 5, 9, 40, 300, 1500):
+        for _ in range(3):
+            base = np.unique(rng.integers(0, 2**32, size, np.uint32))
+            sets += [base, *(np.unique(np.r_[base[rng.random(len(base)) < share], rng.integers(0, 2**32, len(base) // 20, np.uint32)]) for share in (0.97, 0.9, 0.85, 0.5))]
+    sets = sorted((s for s in sets if len(s)), key=len)
+    last = np.unique(np.concatenate(sets[::4]))
+    fronts = [set(similar.front(s, last, link.similarity).tolist()) for s in sets]
+    size, bits = np.array([len(s) for s in sets]), np.stack([np.frombuffer(similar.parities(s), np.uint64) for s in sets])
+    each = np.arange(len(sets))
+    near = {(int(x), int(y)) for a, b in similar.near_pairs(size, bits, each, np.zeros(len(sets), int), link.similarity) for x, y in zip(a, b)}
+    true = {(i, j) for i in each.tolist() for j in range(i + 1, len(sets)) if similar.alike(sets[i], sets[j], link.similarity)}
+    assert len(true) > 20 and true <= near and len(near) < 2 * len(true) and all(fronts[i] & fronts[j] for i, j in true)

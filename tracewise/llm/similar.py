@@ -7,11 +7,17 @@ the shingles of both texts, so no link is below the similarity. Texts with equal
 
 A cell's nodes are taken in order of their ids. A node is compared with the cell's leaders so far; it hangs on the first
 that it is alike to, else it is a leader itself. So of two alike texts in one cell at most one leads, and one at least
-hangs on a leader before it: work is linear in a group of near copies, and no link between two texts that would stay is
-lost. Components of these stars are the groups. A cell of any size is dealt to blocks of bounded bytes; only their
-leaders meet again, in fewer blocks, and in pairs of blocks where hardly any hangs on another.
+hangs on a leader before it: work is linear in a group of near copies. A cell of any size is dealt to blocks of bounded
+bytes; only their leaders meet again, in fewer blocks, and in pairs of blocks where hardly any hangs on another.
 
-With eight bands, texts with a similarity of 0.8 share a cell with probability 0.9997. Hashes of shingles have 32 bits:
+Cells miss few links, but some: of texts that share no cell, with fingerprints beyond the radius, or of a text that hangs on
+one leader and is alike to another. So components of the stars are completed by an exact join. Of two alike sets, the first
+elements in any common order share one (``front``); elements seen often in a sixteenth of the nodes come last in it, which
+bears on work alone. Nodes of different components that share one are compared by size and by parities of their elements,
+which give a least difference and drop no link, and what passes is checked by the shingles. Links within a component are
+not sought, as they join nothing. The groups are the components of all links.
+
+Hashes of shingles have 32 bits:
 two sets of a thousand agree by chance in one element in some thousand pairs. Defined cases: null text counts as empty;
 texts without words have one empty set and are one group; texts with fewer words than a shingle are one shingle. Null ids
 are no smallest id, unless a group has no other; rows that repeat an id count each. One row of each group stays: of
@@ -21,13 +27,14 @@ part else, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +59,10 @@ SIMILAR = Link()
 SLICE_BYTES, BLOCK_BYTES, TASK_BYTES = 1_000_000, 32_000_000, 64_000_000
 #: Blocks meet in pairs once more than this share of their nodes lead.
 STALLED = 0.9
+#: Bits of parities, nodes of a block that share an element, times an element is seen in the sample to come last, and how many do.
+PARITIES, LIST_NODES, OFTEN, MOST_LAST = 256, 8192, 8, 1_000_000
+#: Lists up to this length are paired many at once.
+SHORT_LIST = 64
 
 
 def described(text: str | None, link: Link) -> tuple[bytes, int, np.ndarray, bytes]:
@@ -164,7 +175,9 @@ def edges(rows: DataFrame, link: Link = SIMILAR) -> DataFrame:
         nodes = cut(several.join(made.where("node = leader").select("cell", "node"), ["cell", "node"], "left_semi"), few=True)
         if nodes.count() > STALLED * before:
             # Leaders of a block are not alike; each block meets each other.
-            dealt = _blocks(nodes).where("blocks > 1").withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i.cast("string")))).where("other <> block")
+            # A cell that fits one block now, as its leaders came from several, meets itself.
+            others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i.cast("string"))
+            dealt = _blocks(nodes).withColumn("other", F.explode(others)).where("other <> block or blocks = 1")
             pair = F.concat_ws(":", F.least("block", "other"), F.greatest("block", "other"))
             made = _settle(cut(dealt.select("cell", pair.alias("block"), "node", "bytes"), few=True), held, link)
             found.append(made.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")))
@@ -175,6 +188,163 @@ def edges(rows: DataFrame, link: Link = SIMILAR) -> DataFrame:
     return out
 
 
+def front(held: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
+    """The first elements of a sorted set, those of ``last`` (sorted) after the others; two alike sets share one of them."""
+    if len(last):
+        late = last[np.minimum(np.searchsorted(last, held), len(last) - 1)] == held
+        held_in_order = np.r_[held[~late], held[late]]
+    else:
+        held_in_order = held
+    return held_in_order[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1]
+
+
+def parities(held: np.ndarray) -> bytes:
+    """A bit for each class of elements: whether the set has an odd number of them. Two sets differ in as many at least as their bits do."""
+    return np.packbits(np.bincount(held % PARITIES, minlength=PARITIES).astype(np.uint8) & 1).tobytes()
+
+
+def _fronts(link: Link, last):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(s, "<u4") for s in batch.column("shingles").to_pylist()]
+            fronts = pa.array([front(s, last.value, link.similarity).view(np.int32) for s in sets], pa.list_(pa.int32()))
+            columns = [batch.column("node"), fronts, pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "front", "size", "bits"])
+
+    return run
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [np.frombuffer(s, "<i4") for s in batch.column("shingles").to_pylist()]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held), pa.int32())], names=["element"])
+
+
+def near_pairs(size: np.ndarray, bits: np.ndarray, group: np.ndarray, other: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different groups whose sizes and parities allow the similarity; where others matter, of different ones of these.
+
+    Places stand in the order of their sizes.
+    """
+    ratio, across = (1 - similarity) / (1 + similarity), len(np.unique(other)) > 1
+    for start in range(0, len(size), PART):
+        part = np.arange(start, min(start + PART, len(size)))
+        most = np.searchsorted(size, size[part[-1]] / max(similarity, 1e-9) + 1e-6, side="right")
+        for at in range(start, int(most), PART):
+            tile = np.arange(at, min(at + PART, int(most)))
+            wanted = (group[part][:, None] != group[tile][None, :]) & (part[:, None] < tile[None, :])
+            if across:
+                wanted &= other[part][:, None] != other[tile][None, :]
+            x, y = np.nonzero(wanted & (size[part][:, None] >= similarity * size[tile][None, :] - 1e-6))
+            for few in range(0, len(x), 1 << 16):
+                a, b = part[x[few : few + (1 << 16)]], tile[y[few : few + (1 << 16)]]
+                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                good = differ <= ratio * (size[a].astype(np.int64) + size[b]) + 1e-6
+                yield a[good], b[good]
+
+
+def _short_pairs(ends: np.ndarray, size: np.ndarray, bits: np.ndarray, group: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of many short lists, one after another; ``ends`` has each place's end of its list."""
+    ratio, left = (1 - similarity) / (1 + similarity), np.arange(len(size))
+    for step in range(1, SHORT_LIST):
+        left = left[left + step < ends[left]]
+        if not len(left):
+            return
+        a, b = left, left + step
+        fit = (group[a] != group[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
+        a, b = a[fit], b[fit]
+        good = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= ratio * (size[a] + size[b]) + 1e-6
+        yield a[good], b[good]
+
+
+def _pairing(link: Link):
+    def paired(element, block, node, size, bits, group) -> Iterator[pa.RecordBatch]:
+        size, firsts = size.astype(np.int64), np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
+        lasts = np.r_[firsts[1:], len(element)]
+        ends, found = np.repeat(lasts, lasts - firsts), []
+        short = np.repeat(lasts - firsts <= SHORT_LIST, lasts - firsts)
+        at = np.flatnonzero(short)
+        # Places among short lists only, and where their lists end there.
+        found += [(at[a], at[b]) for a, b in _short_pairs(np.cumsum(short)[ends - 1][at], size[at], bits[at], group[at], link.similarity)]
+        for first, last in zip(firsts, lasts, strict=True):
+            if last - first > SHORT_LIST:
+                order = first + np.argsort(size[first:last], kind="stable")
+                found += [(order[a], order[b]) for a, b in near_pairs(size[order], bits[order], group[order], block[order], link.similarity)]
+        if found:
+            u, v = (node[np.concatenate([pair[i] for pair in found])] for i in range(2))
+            seen = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(seen[0], pa.int64()), pa.array(seen[1], pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists of a batch at once; the last one waits for what follows, as it may go on."""
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            element = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("element", "low", "high")])
+            own = [batch.column(c).to_numpy() for c in ("block", "node", "size")]
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(batch), -1)
+            now = [element.T, *own, bits, batch.column("group").to_numpy()]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            done = int(np.flatnonzero((held[0] != held[0][-1]).any(1)).max(initial=-1)) + 1
+            if done:
+                yield from paired(_numbered(held[0][:done]), *(x[:done] for x in held[1:]))
+                held = [x[done:] for x in held]
+        if held is not None:
+            yield from paired(_numbered(held[0]), *held[1:])
+
+    return run
+
+
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    """A number of each run of equal rows."""
+    return np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1)])
+
+
+def _checking(link: Link):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = ([np.frombuffer(s, "<u4") for s in batch.column(c).to_pylist()] for c in ("of_u", "of_v"))
+            good = pa.array([alike(a, b, link.similarity) for a, b in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(good)
+
+    return run
+
+
+def missing(rows: DataFrame, groups: DataFrame, link: Link = SIMILAR) -> DataFrame:
+    """``u, v``: all links of nodes of ``rows`` (node, shingles) between different ``groups`` (of, root) of them.
+
+    Nodes that are in no row of ``groups`` are groups of their own. Only the elements that come last go to the driver.
+    """
+    context = rows.sparkSession.sparkContext
+    sample = rows.where(F.substring("node", 1, 1) < F.unhex(F.lit("10"))).dropDuplicates(["node"]).select("shingles")
+    often = sample.mapInArrow(_elements, "element int").groupBy("element").count().where(F.col("count") >= OFTEN)
+    last = context.broadcast(np.sort(np.array([r.element for r in often.orderBy(F.desc("count"), "element").limit(MOST_LAST).collect()], np.int32).view(np.uint32)))
+    fronts = cut(rows.select("node", "shingles").mapInArrow(_fronts(link, last), "node binary, front array<int>, size int, bits binary"))
+    # Elements of one node only are most of them: they go before anything else is looked up. Keys of nodes and groups are hashes of 64 bits.
+    each, own = fronts.select(F.explode("front").alias("element"), F.xxhash64("node").alias("key")), Window.partitionBy("element")
+    shared = each.withColumns({"first": F.min("key").over(own), "last": F.max("key").over(own)}).where("first <> last").select("element", "key").distinct()
+    nodes = fronts.dropDuplicates(["node"]).join(groups, F.col("node") == F.col("of"), "left")
+    held = cut(nodes.select(F.xxhash64("node").alias("key"), "node", "size", "bits", F.xxhash64(F.coalesce("root", "node")).alias("group")), few=True)
+    lists = shared.join(held.select("key", "size", "bits", "group"), "key").select("element", F.col("key").alias("node"), "size", "bits", "group")
+    lists = lists.withColumns({"first": F.min("group").over(own), "last": F.max("group").over(own), "blocks": F.ceil(F.count("*").over(own) / LIST_NODES).cast("int")})
+    lists = cut(lists.where("first <> last").drop("first", "last"))
+    zero, columns = F.lit(0), ["element", "low", "high", "block", "node", "size", "bits", "group"]
+    one = lists.where("blocks = 1").withColumns({"low": zero, "high": zero, "block": zero}).sortWithinPartitions("element").select(*columns)
+    # Each block of a longer list meets each other and itself.
+    dealt = lists.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).select(*columns)
+    dealt = dealt.repartition("element", "low", "high").sortWithinPartitions("element", "low", "high")
+    found = one.mapInArrow(_pairing(link), "u long, v long").union(dealt.mapInArrow(_pairing(link), "u long, v long"))
+    found, named = cut(found.distinct(), few=True), held.select("key", "node")
+    pairs = found.join(named.select(F.col("key").alias("u"), F.col("node").alias("of_u")), "u").join(named.select(F.col("key").alias("v"), F.col("node").alias("of_v")), "v")
+    pairs = cut(pairs.select(F.col("of_u").alias("u"), F.col("of_v").alias("v")), few=True)
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = cut(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("of_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("of_v")), "v")
+    return cut(both.mapInArrow(_checking(link), "u binary, v binary"), few=True)
+
+
 def _marking(text_col: str, out_col: str, link: Link):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text_col, SLICE_BYTES):
@@ -193,7 +363,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.BinaryType()), long("fp"), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_describing(link), T.StructType(fields)))
     firsts = cut(rows.groupBy("node").agg(F.min("id").alias("first_id")), few=True)
-    groups = cut(components(edges(rows, link)).withColumnRenamed("node", "of"), few=True)
+    found = cut(edges(rows, link), few=True)
+    groups = cut(components(found).withColumnRenamed("node", "of"), few=True)
+    more = missing(rows, groups, link)
+    if not more.isEmpty():
+        groups = cut(components(found.union(more)).withColumnRenamed("node", "of"), few=True)
     rooted = firsts.join(groups, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("of"))
     first = rooted.agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "node")).alias("x"))
     keep = cut(first.select(F.col("x.id").alias("keep_id"), F.col("x.node").alias("keep_node")), few=True)
