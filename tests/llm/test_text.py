@@ -396,6 +396,21 @@ def test_near_rendering_is_whole_rendering():
             assert chat.render_near(turns, template, 1) == chat.render(turns, template)
 
 
+def lapsing(turns):
+    """Ends otherwise at three turns only."""
+    return counted(turns) + ("END" if len(turns) == 3 else "")
+
+
+def test_every_prefix_is_looked_at(spark):
+    turns = [("user", f"t{i}") for i in range(7)]
+    assert chat.render(turns, lapsing)[-1] == 3
+    assert chat.render_near(turns, lapsing, 1) == chat.render(turns, lapsing)
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    assert [r.rewrote_at for r in chat.format_chats(df, lapsing).collect()] == [3]
+    adding = chat.Adding(lambda before, turn: f"<{turn[0]} after {before[-1][0] if before else 'none'}>{turn[1]}\n", 1)
+    assert chat.render_near(turns, adding) == chat.render(turns, counted)
+
+
 def test_long_conversations_take_linear_work():
     turns = [("assistant" if i % 2 else "user", f"message number {i} " * 3) for i in range(4000)]
     began = time.perf_counter()
