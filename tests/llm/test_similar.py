@@ -180,3 +180,61 @@ def test_pairs_by_sizes_and_parities_miss_none():
     near = {(int(x), int(y)) for a, b in similar.near_pairs(size, bits, each, np.zeros(len(sets), int), link.similarity) for x, y in zip(a, b)}
     true = {(i, j) for i in each.tolist() for j in range(i + 1, len(sets)) if similar.alike(sets[i], sets[j], link.similarity)}
     assert len(true) > 20 and true <= near and len(near) < 2 * len(true) and all(fronts[i] & fronts[j] for i, j in true)
+
+
+def test_sketches_give_a_least_difference_of_large_sets_too():
+    rng = np.random.default_rng(11)
+    for size in (0, 1, 2, 8, 9, 300, 3000, 3700):
+        for kept in (1, 0.99, 0.9, 0.5, 0):
+            a = np.unique(rng.integers(0, 2**32, size, np.uint32))
+            b = np.unique(np.r_[a[rng.random(len(a)) < kept], rng.integers(0, 2**32, int(size * (1.1 - kept)), np.uint32)])
+            found = similar.least_difference(*(np.frombuffer(similar.sketch(s), np.uint8) for s in (a, b)))
+            assert found <= len(np.setxor1d(a, b)), (size, kept)
+            # Sets that share half of their elements or less are told apart, whatever their size.
+            assert size < 300 or kept > 0.5 or found > (len(a) + len(b)) / 9
+    assert all(len(similar.sketch(np.arange(n, dtype=np.uint32))) == n // 8 for n in (8, 1024))
+
+
+def test_shingles_of_long_texts_that_share_little_stay_where_they_are(spark, monkeypatch):
+    """Sets of 1,500 share a passage and so an element of their fronts; 256 parities can't part them."""
+    moved, real = spark.sparkContext.accumulator(0), similar._checking
+
+    def counting(link):
+        run = real(link)
+
+        def counted(batches):
+            def seen():
+                for batch in batches:
+                    moved.add(len(batch))
+                    yield batch
+
+            return run(seen())
+
+        return counted
+
+    monkeypatch.setattr(similar, "_checking", counting)
+    shared = words(60, 997)
+    rows = [(i, f"{' '.join(f'w{i}x{k}' for k in range(1500))} {shared}") for i in range(30)]
+    rows += [(100 + i, " ".join(f"v{k}" if k >= 90 * i else f"u{i}x{k}" for k in range(1500))) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in similar.keep_one(df).collect()} == components_of(rows) == {*range(30), 100}
+    assert moved.value <= 2
+
+
+def test_shuffle_files_of_what_is_written_are_deleted(spark):
+    from tracewise.llm.common import cut
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(found.size()) if (f := found.apply(i).getName()).startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df, before = spark.range(1000).groupBy(F.col("id") % 7).count(), spark.conf.get(name, None)
+    for few in (False, True):
+        held = files()
+        made = cut(df, few=few, tidy=True)
+        assert not files() - held
+        assert made.count() == 7 and made.columns == df.columns
+    held = files()
+    cut(df)
+    assert files() - held and spark.conf.get(name, None) == before

@@ -14,8 +14,9 @@ Cells miss few links, but some: of texts that share no cell, with fingerprints b
 one leader and is alike to another. So components of the stars are completed by an exact join. Of two alike sets, the first
 elements in any common order share one (``front``); elements seen often in a sixteenth of the nodes come last in it, which
 bears on work alone. Nodes of different components that share one are compared by size and by parities of their elements,
-which give a least difference and drop no link, and what passes is checked by the shingles. Links within a component are
-not sought, as they join nothing. The groups are the components of all links.
+which give a least difference and drop no link: first by 256, which say little of large sets, then by about as many as the
+sets have elements. Only what passes both is checked by the shingles, so that few of these move. Links within a component
+are not sought, as they join nothing. The groups are the components of all links.
 
 Hashes of shingles have 32 bits:
 two sets of a thousand agree by chance in one element in some thousand pairs. Defined cases: null text counts as empty;
@@ -30,6 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewise.llm import common
 from tracewise.llm.batches import slices
-from tracewise.llm.common import cut, free_name
+from tracewise.llm.common import free_name
 from tracewise.llm.components import components
 from tracewise.llm.simhash import PART, band_keys, fingerprint, shingle_hashes
 
@@ -63,6 +66,8 @@ STALLED = 0.9
 PARITIES, LIST_NODES, OFTEN, MOST_LAST = 256, 8192, 8, 1_000_000
 #: Lists up to this length are paired many at once.
 SHORT_LIST = 64
+#: Shingles are moved by several joins, whose files must not add up.
+cut = partial(common.cut, tidy=True)
 
 
 def described(text: str | None, link: Link) -> tuple[bytes, int, np.ndarray, bytes]:
@@ -203,13 +208,28 @@ def parities(held: np.ndarray) -> bytes:
     return np.packbits(np.bincount(held % PARITIES, minlength=PARITIES).astype(np.uint8) & 1).tobytes()
 
 
+def sketch(held: np.ndarray) -> bytes:
+    """Parities by as many classes as the set has elements, or up to twice as many: a power of two."""
+    classes = max(8, 1 << (len(held) - 1).bit_length()) if len(held) else 8
+    return np.packbits(np.bincount(held & np.uint32(classes - 1), minlength=classes).astype(np.uint8) & 1).tobytes()
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many elements two sets differ at least, by the bytes of their sketches; the finer one is folded to the other's classes."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def _fronts(link: Link, last):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(s, "<u4") for s in batch.column("shingles").to_pylist()]
             fronts = pa.array([front(s, last.value, link.similarity).view(np.int32) for s in sets], pa.list_(pa.int32()))
-            columns = [batch.column("node"), fronts, pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "front", "size", "bits"])
+            columns = [batch.column("node"), fronts, pa.array([len(s) for s in sets], pa.int32()), *(pa.array([f(s) for s in sets], pa.binary()) for f in (parities, sketch))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "front", "size", "bits", "sketch"])
 
     return run
 
@@ -301,6 +321,19 @@ def _numbered(keys: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1)])
 
 
+def _sifting(link: Link):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of nodes whose sketches allow the similarity."""
+        ratio = (1 - link.similarity) / (1 + link.similarity)
+        for batch in batches:
+            most = ratio * (batch.column("size_u").to_numpy().astype(np.int64) + batch.column("size_v").to_numpy()) + 1e-6
+            sketches = ([np.frombuffer(s, np.uint8) for s in batch.column(c).to_pylist()] for c in ("sketch_u", "sketch_v"))
+            good = [least_difference(a, b) <= x for a, b, x in zip(*sketches, most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("of_u"), batch.column("of_v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _checking(link: Link):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,12 +353,12 @@ def missing(rows: DataFrame, groups: DataFrame, link: Link = SIMILAR) -> DataFra
     sample = rows.where(F.substring("node", 1, 1) < F.unhex(F.lit("10"))).dropDuplicates(["node"]).select("shingles")
     often = sample.mapInArrow(_elements, "element int").groupBy("element").count().where(F.col("count") >= OFTEN)
     last = context.broadcast(np.sort(np.array([r.element for r in often.orderBy(F.desc("count"), "element").limit(MOST_LAST).collect()], np.int32).view(np.uint32)))
-    fronts = cut(rows.select("node", "shingles").mapInArrow(_fronts(link, last), "node binary, front array<int>, size int, bits binary"))
+    fronts = cut(rows.select("node", "shingles").mapInArrow(_fronts(link, last), "node binary, front array<int>, size int, bits binary, sketch binary"))
     # Elements of one node only are most of them: they go before anything else is looked up. Keys of nodes and groups are hashes of 64 bits.
     each, own = fronts.select(F.explode("front").alias("element"), F.xxhash64("node").alias("key")), Window.partitionBy("element")
     shared = each.withColumns({"first": F.min("key").over(own), "last": F.max("key").over(own)}).where("first <> last").select("element", "key").distinct()
     nodes = fronts.dropDuplicates(["node"]).join(groups, F.col("node") == F.col("of"), "left")
-    held = cut(nodes.select(F.xxhash64("node").alias("key"), "node", "size", "bits", F.xxhash64(F.coalesce("root", "node")).alias("group")), few=True)
+    held = cut(nodes.select(F.xxhash64("node").alias("key"), "node", "size", "bits", "sketch", F.xxhash64(F.coalesce("root", "node")).alias("group")), few=True)
     lists = shared.join(held.select("key", "size", "bits", "group"), "key").select("element", F.col("key").alias("node"), "size", "bits", "group")
     lists = lists.withColumns({"first": F.min("group").over(own), "last": F.max("group").over(own), "blocks": F.ceil(F.count("*").over(own) / LIST_NODES).cast("int")})
     lists = cut(lists.where("first <> last").drop("first", "last"))
@@ -336,9 +369,11 @@ def missing(rows: DataFrame, groups: DataFrame, link: Link = SIMILAR) -> DataFra
     dealt = dealt.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).select(*columns)
     dealt = dealt.repartition("element", "low", "high").sortWithinPartitions("element", "low", "high")
     found = one.mapInArrow(_pairing(link), "u long, v long").union(dealt.mapInArrow(_pairing(link), "u long, v long"))
-    found, named = cut(found.distinct(), few=True), held.select("key", "node")
-    pairs = found.join(named.select(F.col("key").alias("u"), F.col("node").alias("of_u")), "u").join(named.select(F.col("key").alias("v"), F.col("node").alias("of_v")), "v")
-    pairs = cut(pairs.select(F.col("of_u").alias("u"), F.col("of_v").alias("v")), few=True)
+    found, pairs = cut(found.distinct(), few=True), None
+    for end in "uv":
+        named = held.select(F.col("key").alias(end), F.col("node").alias(f"of_{end}"), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+        pairs = (found if pairs is None else pairs).join(named, end)
+    pairs = cut(pairs.drop("u", "v").mapInArrow(_sifting(link), "u binary, v binary"), few=True)
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     sets = cut(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("of_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("of_v")), "v")
