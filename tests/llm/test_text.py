@@ -208,6 +208,21 @@ def test_decoding_is_the_best_path_of_each_window():
         assert path[::-1] == (found.tolist() if found is not None else [0] * len(text))
 
 
+def test_only_windows_that_may_have_tags_are_decoded_in_full(monkeypatch):
+    weights, rng, real, seen = tagger.load(), np.random.default_rng(31), tagger._viterbi, []
+    plain = [" ".join(f"{tagger._spoken(rng)}" for _ in range(60))[: rng.integers(40, 300)] for _ in range(200)]
+    texts = [*plain, *(tagger.example(rng)[0] for _ in range(200)), "", "x", "at", "1", "\U0001f600" * 700]
+    monkeypatch.setattr(tagger, "_viterbi", lambda w, score, alive: (seen.append(score.shape[2]), real(w, score, alive))[1])
+    tagger.decode(weights, plain)
+    assert sum(seen) < len(plain) / 2
+    for text, found in zip(texts, tagger.decode(weights, texts), strict=True):
+        if text:
+            score = tagger._emissions(weights, tagger.encode(text)[:, None].astype(np.int64))[0].transpose(0, 2, 1).astype(np.float32)
+            want = real(weights, score, [1] * len(text))[:, 0]
+            assert np.array_equal(want, np.zeros(len(text), int) if found is None else found), text
+    assert tagger.decode(weights, [""]) == [None]
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     w = tagger._fresh(rng)

@@ -21,6 +21,8 @@ TAGS = 1 + 2 * len(KINDS)
 EMBED, HIDDEN, LENGTH = 10, 16, 128
 #: Bounds of training: labelled texts, passes over them, texts in a batch, and the seed of all that is random.
 EXAMPLES, PASSES, BATCH, SEED, RATE = 8000, 12, 48, 7, 0.02
+#: By how much other tags must be behind for a window to be untagged for certain: far more than rounding makes of its score.
+MARGIN = np.float32(1)
 #: Where the trained weights are kept.
 STORED = os.path.join(os.path.dirname(__file__), "tagger_weights.npz")
 
@@ -182,8 +184,8 @@ class Weights:
 
     @cached_property
     def fused(self) -> dict[str, np.ndarray]:
-        """Per direction one matrix over (state, embedding, 1), halved where a gate is a sigmoid: (1 + tanh(x / 2)) / 2."""
-        half = np.r_[np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)
+        """Per direction one matrix over (state, embedding, 1), negative, and doubled where a gate is no sigmoid: tanh(x) is 2 / (1 + exp(-2 x)) - 1."""
+        half = -np.r_[np.ones(3 * HIDDEN), np.full(HIDDEN, 2)].astype(np.float32)
         return {side: np.ascontiguousarray((np.vstack([self[f"h{side}"], self[f"x{side}"], self[f"c{side}"]]) * half).T, np.float32) for side in "fb"}
 
 
@@ -323,10 +325,19 @@ def _alive(sizes: np.ndarray) -> list[int]:
     return np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right").tolist()
 
 
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.divide(np.float32(1), x, out=x)
+
+
+@np.errstate(over="ignore")
 def _scores(w: Weights, symbols: np.ndarray, alive: list[int]) -> np.ndarray:
     """Emissions (time, tag, window); of those windows that reach a place."""
     longest, count = symbols.shape
-    embed = np.ascontiguousarray(w["embed"].T, np.float32)
+    one, two = np.float32(1), np.float32(2)
+    embed = np.ascontiguousarray(w["embed"], np.float32)
     score = np.zeros((longest, TAGS, count), np.float32)
     for side, out in (("f", w["out"][:HIDDEN]), ("b", w["out"][HIDDEN:])):
         out, matrix = np.ascontiguousarray(out.T, np.float32), w.fused[side]
@@ -334,17 +345,19 @@ def _scores(w: Weights, symbols: np.ndarray, alive: list[int]) -> np.ndarray:
         held[-1] = 1
         for t in range(longest) if side == "f" else range(longest - 1, -1, -1):
             n = alive[t]
-            held[HIDDEN:-1, :n] = np.take(embed, symbols[t, :n], axis=1)
-            z = matrix @ held[:, :n]
-            np.tanh(z, out=z)
-            gates = z[: 3 * HIDDEN]
-            gates *= np.float32(0.5)
-            gates += np.float32(0.5)
-            c = cell[:, :n]
-            c *= gates[HIDDEN : 2 * HIDDEN]
-            z[3 * HIDDEN :] *= gates[:HIDDEN]
-            c += z[3 * HIDDEN :]
-            np.multiply(np.tanh(c), gates[2 * HIDDEN :], out=held[:HIDDEN, :n])
+            held[HIDDEN:-1, :n] = np.take(embed, symbols[t, :n], axis=0).T
+            # Sigmoids by numpy's exponential, which takes two thirds of the time of its tanh here. Beyond its range it is infinite, and they are 0.
+            z = _sigmoid_of_negative(matrix @ held[:, :n])
+            new, c = z[3 * HIDDEN :], cell[:, :n]
+            new *= two
+            new -= one
+            c *= z[HIDDEN : 2 * HIDDEN]
+            new *= z[:HIDDEN]
+            c += new
+            squashed = _sigmoid_of_negative(c * -two)
+            squashed *= two
+            squashed -= one
+            np.multiply(squashed, z[2 * HIDDEN : 3 * HIDDEN], out=held[:HIDDEN, :n])
             if side == "f":
                 np.add(out @ held[:HIDDEN, :n], w["bias"][:, None], out=score[t, :, :n])
             else:
@@ -375,6 +388,30 @@ def _viterbi(w: Weights, score: np.ndarray, alive: list[int]) -> np.ndarray:
     return tags
 
 
+def _untagged(w: Weights, score: np.ndarray, alive: list[int]) -> np.ndarray:
+    """Windows whose best tags are all 0 for certain.
+
+    All kinds are taken as one, begin and inside, with the best score and the best moves of any: no path scores more than by these.
+    """
+    longest, _, count = score.shape
+    move, first = w["move"].astype(np.float32), w["first"].astype(np.float32)
+    begin, inside = slice(1, TAGS, 2), slice(2, TAGS, 2)
+    # Moves against that from zero to zero.
+    (to_b, b_b, i_b), (to_i, b_i, i_i), (b_to, i_to) = ([move[x, y].max() - move[0, 0] for x in over] for y, over in ((begin, (0, begin, inside)), (inside, (0, begin, inside)), (0, (begin, inside))))
+    # By how much paths that end in another tag are ahead of the one of zeros at most. It is the best if none is ahead where it comes back, or at the end.
+    in_b, in_i = (score[0, x].max(0) - score[0, 0] + (first[x].max() - first[0]) for x in (begin, inside))
+    sure = np.ones(count, bool)
+    for t in range(1, longest):
+        n = alive[t]
+        b, i, zero = in_b[:n], in_i[:n], score[t, 0, :n]
+        sure[:n] &= np.maximum(b + b_to, i + i_to) < -MARGIN
+        now = np.maximum(np.maximum(b + b_b, i + i_b), to_b)
+        np.maximum(np.maximum(b + b_i, i + i_i), to_i, out=i)
+        np.add(now, score[t, begin, :n].max(0) - zero, out=b)
+        i += score[t, inside, :n].max(0) - zero
+    return sure & (np.maximum(in_b, in_i) < -MARGIN)
+
+
 def decode(w: Weights, windows: list[str]) -> list[np.ndarray | None]:
     """The best tags of each window; None where none of its characters is tagged."""
     sizes = np.fromiter(map(len, windows), np.int64, len(windows))
@@ -386,9 +423,13 @@ def decode(w: Weights, windows: list[str]) -> list[np.ndarray | None]:
     sizes = sizes[order]
     longest, alive = int(sizes[0]), _alive(sizes)
     symbols = encode("".join([windows[i].ljust(longest, "\0") for i in order])).reshape(-1, longest)
-    tags = np.ascontiguousarray(_viterbi(w, _scores(w, np.ascontiguousarray(symbols.T), alive), alive).T)
-    for i in np.flatnonzero(tags.any(1)).tolist():
-        found[order[i]] = tags[i, : sizes[i]].copy()
+    score = _scores(w, np.ascontiguousarray(symbols.T), alive)
+    rest = np.flatnonzero(~_untagged(w, score, alive))
+    if len(rest):
+        tags = np.ascontiguousarray(_viterbi(w, np.take(score[: sizes[rest[0]]], rest, axis=2), _alive(sizes[rest])).T)
+        for i, own in zip(rest.tolist(), tags, strict=True):
+            if own.any():
+                found[order[i]] = own[: sizes[i]].copy()
     return found
 
 
